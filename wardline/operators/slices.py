@@ -175,3 +175,19 @@ def sessions(
     opened = own_rows(wide.withColumn("_opens", opening))
     span = max(width or 8 * gap, gap)
     return running(opened, keys, at, ties, {"session_start": ("max", F.col("_opens"))}, span).drop("_opens")
+
+
+def previous(
+    df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str], value: str, name: str, width: int = HOUR
+) -> DataFrame:
+    """Adds ``value`` of the key's row just before this one, however far back it is."""
+    sliced = df.withColumn(SLICE, slice_of(at, width))
+    order = F.struct(at, *ties, F.col(value).alias("_value"))
+    last = sliced.groupBy(*keys, SLICE).agg(F.max(order).alias("_last"))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE)
+    carried = last.select(*keys, SLICE, F.lag("_last").over(earlier)["_value"].alias("_carried"))
+    frame = in_slice(keys, at, *ties)
+    here = sliced.withColumns({"_before": F.lag(value).over(frame), "_nth": F.row_number().over(frame)})
+    joined = here.join(carried, [*keys, SLICE], "left")
+    found = F.when(F.col("_nth") > 1, F.col("_before")).otherwise(F.col("_carried"))
+    return joined.withColumn(name, found).drop(SLICE, "_carried", "_before", "_nth")

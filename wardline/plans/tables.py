@@ -66,7 +66,7 @@ def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same view for the SQL twins.
 SEC = """sec AS (
-  SELECT CAST(event_id AS VARCHAR) AS event_id, event_id AS seq, ts, epoch_us(ts) AS at,
+  SELECT CAST(event_id AS VARCHAR) AS event_id, event_id AS seq, ts, epoch_us(ts) AS us,
     't' || CAST(user_id % 5 AS VARCHAR) AS tenant_id,
     'h' || CAST(user_id % 20 AS VARCHAR) AS host,
     'u' || CAST(user_id AS VARCHAR) AS user_name,
