@@ -1,4 +1,4 @@
 """All named queries; importing this package registers them."""
 
-from wardline.plans import behavior_plans, intake_plans, scoring_plans, timeline_plans, ueba_plans  # noqa: F401
+from wardline.plans import behavior_plans, data_plans, intake_plans, scoring_plans, timeline_plans, ueba_plans  # noqa: F401
 from wardline.plans.registry import PLANS, TWINS  # noqa: F401
