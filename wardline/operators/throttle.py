@@ -4,12 +4,12 @@ No window frame expresses them.  Each (key, time slice) is folded on its own and
 small end state to the key's next slice.  All slices start from the empty state; then only
 those whose real start state differs are folded again, until none differs.  Quiet stretches
 longer than the time-to-live empty the state, so a handful of rounds is usual; the result
-is exact in any case, and no task ever holds more than one slice of one key.
+is exact in any case.  A task reads its rows sorted, in Arrow batches, and holds only the state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,6 +21,7 @@ from wardline.session import settle
 # Duplicate time, rate window and size, in microseconds and tokens.
 DEDUP_TTL = 180_000_000
 RATE_SPAN, RATE_LIMIT = 60_000_000, 15
+DAY = 86_400_000_000
 STATE = "array<struct<name:string,at:bigint>>"
 
 # A fold takes (entries, time, name) and returns the decision; entries is the state, a list of
@@ -28,24 +29,30 @@ STATE = "array<struct<name:string,at:bigint>>"
 Fold = Callable[[list, int, str], str]
 
 
-def _expired(entries: list, now: int, alive: Callable[[str], int]) -> list:
+def expired(entries: list, now: int, alive: Callable[[str], int]) -> list:
     return [entry for entry in entries if now - entry[1] <= alive(entry[0])]
 
 
-def _folded(fold: Fold, alive: Callable[[str], int], at: str, name: str, tie: str):
-    """(frame of one slice with its start state) -> (decisions, start time, end state)."""
+def _runs(batches: Iterator[pd.DataFrame], group: list[str], at: str, name: str, fold: Fold, alive):
+    """Folds sorted batches row by row; yields (batch, its decisions, the runs that ended in it).
 
-    def run(frame: pd.DataFrame):
-        frame = frame.sort_values([at, tie], kind="stable")
-        start = frame["_state"].iloc[0]
-        entries = [(e["name"], int(e["at"])) for e in start] if start is not None else []
-        decisions = []
-        for now, label in zip(frame[at].tolist(), frame[name].tolist()):
-            entries = _expired(entries, now, alive)
+    A run is the rows of one (key, slice).  Only its small state is held, however many rows it has.
+    """
+    key, begin, entries = None, 0, []
+    for frame in batches:
+        decisions, ended = [], []
+        keys = list(zip(*[frame[column].tolist() for column in group]))
+        for here, now, label, start in zip(keys, frame[at].tolist(), frame[name].tolist(), frame["_state"].tolist()):
+            if here != key:
+                if key is not None:
+                    ended.append((key, begin, entries))
+                key, begin = here, now
+                entries = [] if start is None else [(e["name"], int(e["at"])) for e in start]
+            entries = expired(entries, now, alive)
             decisions.append(fold(entries, now, label))
-        return frame, decisions, entries
-
-    return run
+        yield frame, decisions, ended
+    if key is not None:
+        yield None, [], [(key, begin, entries)]
 
 
 def sliced_fold(
@@ -58,37 +65,38 @@ def sliced_fold(
     alive: Callable[[str], int],
     longest: int,
     width: int | None = None,
-    rounds: int | None = None,
 ) -> DataFrame:
     """``df`` with a ``decision`` per row.  ``name`` is the entry name a row may leave in the state.
 
-    Rows that are not events of the key (null time) must be filtered out before.  ``rounds``
-    bounds nothing by default: the loop ends when every slice started from its real state.
+    Rows without a time must be filtered out before.  The default slice is a day, or twenty
+    times ``longest`` if that is more: traffic without any quiet stretch needs a round per slice.
     """
-    width = max(width or 20 * longest, longest)
+    width = max(width or max(DAY, 20 * longest), longest)
     keys = list(keys)
     slim = settle(
         df.select(*keys, F.col(at), F.col(tie), F.col(name)).withColumn(SLICE, slice_of(at, width))
     )
-    key_schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in slim.schema if field.name in keys)
-    work = _folded(fold, alive, at, name, tie)
-
-    def ends(frame: pd.DataFrame) -> pd.DataFrame:
-        _, _, entries = work(frame)
-        head = {k: [frame[k].iloc[0]] for k in keys}
-        state = [[{"name": n, "at": t} for n, t in sorted(entries)]]
-        return pd.DataFrame(
-            {**head, SLICE: [frame[SLICE].iloc[0]], "_begin": [int(frame[at].min())], "_end": state}
-        )
+    group = [*keys, SLICE]
+    kinds = {column.name: column.dataType.simpleString() for column in slim.schema}
+    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
-    def marks(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered, decisions, _ = work(frame)
-        return ordered[[*keys, at, tie]].assign(decision=decisions)
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, ended in _runs(batches, group, at, name, fold, alive):
+            if ended:
+                rows = [(*key, begin, [{"name": n, "at": t} for n, t in sorted(state)]) for key, begin, state in ended]
+                yield pd.DataFrame(rows, columns=[*group, "_begin", "_end"])
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, decisions, _ in _runs(batches, group, at, name, fold, alive):
+            if frame is not None:
+                yield frame[[*keys, at, tie]].assign(decision=decisions)
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*group).sortWithinPartitions(*group, at, tie)
 
     end_schema = f"{key_schema}, {SLICE} bigint, _begin bigint, _end {STATE}"
     empty = F.array().cast(STATE)
-    group = [*keys, SLICE]
-    states = slim.withColumn("_state", empty).groupBy(*group).applyInPandas(ends, end_schema)
+    states = in_order(slim.withColumn("_state", empty)).mapInPandas(ends, end_schema)
     states = settle(states.withColumn("_used", empty))
     order = Window.partitionBy(*keys).orderBy(SLICE)
 
@@ -99,21 +107,18 @@ def sliced_fold(
         )
         return table.withColumn("_state", alive_at)
 
-    done = 0
-    while rounds is None or done < rounds:
-        joined = linked(states)
-        stale = settle(joined.filter(~F.col("_state").eqNullSafe(F.col("_used"))).select(*group, "_state"))
+    while True:
+        # ``states`` is a settled table with one row per key and slice; this check is cheap.
+        stale = linked(states).filter(~F.col("_state").eqNullSafe(F.col("_used"))).select(*group, "_state")
         if stale.isEmpty():
             break
-        again = slim.join(stale, group).groupBy(*group).applyInPandas(ends, end_schema)
+        again = in_order(slim.join(stale, group)).mapInPandas(ends, end_schema)
         fresh = again.join(stale.withColumnRenamed("_state", "_used"), group)
         kept = states.join(stale.select(*group), group, "left_anti")
         states = settle(kept.unionByName(fresh.select(*kept.columns)))
-        done += 1
     starts = states.select(*group, F.col("_used").alias("_state"))
-    kinds = {field.name: field.dataType.simpleString() for field in slim.schema}
     mark_schema = f"{key_schema}, {at} {kinds[at]}, {tie} {kinds[tie]}, decision string"
-    decided = slim.join(starts, group).groupBy(*group).applyInPandas(marks, mark_schema)
+    decided = in_order(slim.join(starts, group)).mapInPandas(marks, mark_schema)
     return df.join(decided, [*keys, at, tie])
 
 
@@ -155,6 +160,22 @@ def api_rate_limit(
     return sliced_fold(named, [key], at, tie, "_name", fold, lambda _: span, span, width).drop("_name")
 
 
+def rate_fold(limit: int) -> Fold:
+    """The delivery decision: entries with an empty name are tokens, others mark sent alert keys."""
+
+    def fold(entries, now, label):
+        if sum(1 for name, _ in entries if name == "") >= limit:
+            return "rate_limited"
+        entries.append(("", now))
+        if any(name == label for name, _ in entries):
+            return "duplicate"
+        entries.append((label, now))
+        entries.append(("", now))
+        return "sent"
+
+    return fold
+
+
 def throttle_rate(
     alerts: DataFrame,
     dedup_key: str = "dedup_key",
@@ -173,17 +194,7 @@ def throttle_rate(
     of the same key.
     """
 
-    def fold(entries, now, label):
-        if sum(1 for name, _ in entries if name == "") >= limit:
-            return "rate_limited"
-        entries.append(("", now))
-        if any(name == label for name, _ in entries):
-            return "duplicate"
-        entries.append((label, now))
-        entries.append(("", now))
-        return "sent"
-
     # Token names are empty; alert keys get a prefix so that none is.
     named = alerts.withColumn("_name", F.concat(F.lit("k"), F.coalesce(F.col(dedup_key), F.lit(""))))
     alive = lambda name: ttl if name else span - 1
-    return sliced_fold(named, [tenant], at, tie, "_name", fold, alive, max(ttl, span), width).drop("_name")
+    return sliced_fold(named, [tenant], at, tie, "_name", rate_fold(limit), alive, max(ttl, span), width).drop("_name")

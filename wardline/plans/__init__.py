@@ -1,4 +1,12 @@
 """All named queries; importing this package registers them."""
 
-from wardline.plans import behavior_plans, data_plans, intake_plans, scoring_plans, timeline_plans, ueba_plans  # noqa: F401
+from wardline.plans import (  # noqa: F401
+    behavior_plans,
+    data_plans,
+    intake_plans,
+    scoring_plans,
+    stream_plans,
+    timeline_plans,
+    ueba_plans,
+)
 from wardline.plans.registry import PLANS, TWINS  # noqa: F401

@@ -422,5 +422,5 @@ def _api(spark, sf_dir):
 @plan("delivered_alerts")
 def _delivered(spark, sf_dir):
     scored = scored_events(spark, sf_dir)
-    sent = alerts.deliver_alerts(scored, span=6 * 3_600_000_000, ttl=DAY, width=4 * DAY)
+    sent = alerts.deliver_alerts(scored, span=6 * 3_600_000_000, ttl=DAY)
     return sent.select("seq", "tenant_id", "decision")
