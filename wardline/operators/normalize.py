@@ -73,9 +73,12 @@ def canonicalize(df: DataFrame) -> DataFrame:
         raw_log = F.coalesce(coalesce_fields(df, ["raw_log"]), inner, coalesce_fields(df, ["message"], ""))
     metadata = _map(df, "metadata")
     used = {n for names in CANONICAL_ALIASES.values() for n in names[:1]} | set(CANONICAL)
-    extras = [name for name in df.columns if name not in used]
+    kinds = dict(df.dtypes)
+    extras = [name for name in df.columns if name not in used and name not in ("raw", "raw_features")]
     if extras:
-        pairs = [F.struct(F.lit(n).alias("k"), F.col(n).cast("string").alias("v")) for n in extras if not dict(df.dtypes)[n].startswith(("map", "array", "struct"))]
+        # Plain values as text, nested ones as JSON.
+        texts = {n: F.to_json(n) if kinds[n].startswith(("map", "array", "struct")) else F.col(n).cast("string") for n in extras}
+        pairs = [F.struct(F.lit(n).alias("k"), text.alias("v")) for n, text in texts.items()]
         present = F.filter(F.array(*pairs), lambda e: e["v"].isNotNull())
         metadata = merged(F.map_from_entries(present), metadata)
 

@@ -4,6 +4,7 @@ from wardline.plans import (  # noqa: F401
     behavior_plans,
     data_plans,
     intake_plans,
+    model_plans,
     scoring_plans,
     stream_plans,
     timeline_plans,
