@@ -31,3 +31,11 @@ def coalesce_fields(df: DataFrame, names: list[str], default=None) -> Column:
 
 def sorted_set(array: Column) -> Column:
     return F.array_sort(F.array_distinct(array))
+
+
+def beside(df: DataFrame, single: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row frame: a scalar subquery, evaluated once, and no join."""
+    names = single.columns
+    value = single.select(F.struct(*names).alias("_one")).scalar()
+    added = df.withColumn("_one", value)
+    return added.select(*df.columns, *[F.col("_one")[name].alias(name) for name in names])

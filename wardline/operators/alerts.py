@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import risk
-from wardline.functions.fields import coalesce_fields, field
+from wardline.functions.fields import beside, coalesce_fields, field
 from wardline.operators.throttle import throttle_rate
 
 # Actions the response engine knows.
@@ -85,7 +85,7 @@ def kill_switch_decision(alerts: DataFrame, policies: DataFrame) -> DataFrame:
     fallback = rules.filter("_tenant = 'default'").agg(
         F.first("_allowed").alias("_default_allowed"), F.first("_auto").alias("_default_auto")
     )
-    joined = alerts.join(rules, F.col("tenant_id") == F.col("_tenant"), "left").crossJoin(F.broadcast(fallback))  # one row
+    joined = beside(alerts.join(rules, F.col("tenant_id") == F.col("_tenant"), "left"), fallback)
     allowed = F.coalesce("_allowed", "_default_allowed")
     auto = F.coalesce("_auto", "_default_auto", F.lit(False))
     approved = field(alerts, "approved", False)

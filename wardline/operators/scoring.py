@@ -93,6 +93,7 @@ def failed_login_burst(
     Only failure rows are shuffled; all other rows pass straight through.
     """
     back = seconds_to_micros(span)
+    df = df.withColumn(user, F.coalesce(F.col(user), F.lit("unknown")))
     failure = F.col("event_type") == "login_failure"
     failures = halo(df.filter(failure), at, back).withColumn(
         "failures_in_window", count_back([user], at, [tie], back)

@@ -46,6 +46,20 @@ def halo(df: DataFrame, at: str, back: int, width: int | None = None) -> DataFra
     return spread.withColumn(OWN, F.col(SLICE) == slice_of(at, width))
 
 
+def halo_numbers(wide: DataFrame, df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str], name: str, width: int) -> DataFrame:
+    """1-based row numbers per key on the own rows of a ``halo`` frame of ``df``.
+
+    The frame is already spread by (key, slice), so only the small table of slice counts moves.
+    """
+    counts = df.groupBy(*keys, slice_of(at, width).alias(SLICE)).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select(*keys, SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_from"))
+    so_far = in_slice(keys, at, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    counted = wide.withColumn("_here", F.sum(F.col(OWN).cast("bigint")).over(so_far))
+    joined = counted.join(carried, [*keys, SLICE])
+    return joined.withColumn(name, F.col("_from") + F.col("_here")).drop("_from", "_here")
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     return df.filter(OWN).drop(OWN, SLICE)
 
@@ -169,12 +183,20 @@ def sessions(
 ) -> DataFrame:
     """Adds ``session_start``: a new session opens when more than ``gap`` passed since the
     key's previous row.  (keys, session_start) names the session."""
-    wide = halo(df, at, gap, width)
     before = F.lag(at).over(in_slice(keys, at, *ties))
-    opening = F.when(before.isNull() | (F.col(at) - before > F.lit(gap)), F.col(at))
-    opened = own_rows(wide.withColumn("_opens", opening))
-    span = max(width or 8 * gap, gap)
-    return running(opened, keys, at, ties, {"session_start": ("max", F.col("_opens"))}, span).drop("_opens")
+    opening = F.col(OWN) & (before.isNull() | (F.col(at) - before > F.lit(gap)))
+
+    def opened(rows: DataFrame) -> DataFrame:
+        return halo(rows, at, gap, width).withColumn("_opens", F.when(opening, F.col(at)))
+
+    # The latest opening of earlier slices: one row per key and slice, from the order columns alone.
+    last = opened(df.select(*keys, at, *ties)).groupBy(*keys, SLICE).agg(F.max("_opens").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, SLICE, F.max("_last").over(earlier).alias("_from"))
+    so_far = in_slice(keys, at, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    here = opened(df).withColumn("_here", F.max("_opens").over(so_far))
+    joined = own_rows(here.join(carried, [*keys, SLICE], "left"))
+    return joined.withColumn("session_start", F.coalesce("_here", "_from")).drop("_opens", "_here", "_from")
 
 
 def previous(

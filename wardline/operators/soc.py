@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.fields import beside
 from wardline.functions.risk import SEVERITIES
 from wardline.operators.slices import newest
 
@@ -29,7 +30,7 @@ def soc_kpis(events: DataFrame, incidents: DataFrame, baselines: DataFrame, at:
     """One row of headline numbers."""
     seen = events.agg(F.count(F.lit(1)).alias("events"), F.max(at).alias("last_event_at"))
     profiled = baselines.agg(F.count(F.lit(1)).alias("users_profiled"))
-    return seen.crossJoin(F.broadcast(threat_count(incidents))).crossJoin(F.broadcast(profiled))  # one row each
+    return beside(beside(seen, threat_count(incidents)), profiled)
 
 
 def top_flows(df: DataFrame, source: str, target: str, limit: int = 25) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import risk
 from wardline.functions.casts import seconds_to_micros
 from wardline.functions.rounding import exact_round
-from wardline.operators.slices import count_back, halo, in_slice, numbered, own_rows
+from wardline.operators.slices import count_back, halo, halo_numbers, in_slice, numbered, own_rows
 
 # Window lengths in seconds, saturation counts and the address ring size.
 LOGIN_SPAN, LOGIN_FULL = 900, 15
@@ -28,6 +28,10 @@ FEATURE_ORDER = [
 ]
 
 
+def _named(df: DataFrame, user: str) -> DataFrame:
+    return df.withColumn(user, F.coalesce(F.col(user), F.lit("unknown")))
+
+
 def _saturating(count, full: int):
     return F.bround(F.least(count / F.lit(float(full)), F.lit(1.0)), 4)
 
@@ -39,10 +43,18 @@ def activity_rates(
     tie: str = "seq",
     login_span: float = LOGIN_SPAN,
     request_span: float = REQUEST_SPAN,
+    number: str | None = None,
 ) -> DataFrame:
-    """Adds ``login_frequency`` and ``request_rate``: trailing event counts per user, saturating at 1."""
+    """Adds ``login_frequency`` and ``request_rate``: trailing event counts per user, saturating at 1.
+
+    With ``number`` the user's row numbers come along under that name, at no further shuffle.
+    """
+    df = _named(df, user)
     login, request = seconds_to_micros(login_span), seconds_to_micros(request_span)
-    wide = halo(df, at, max(login, request))
+    width = 8 * max(login, request)
+    wide = halo(df, at, max(login, request), width)
+    if number:
+        wide = halo_numbers(wide, df, [user], at, [tie], number, width)
     return own_rows(
         wide.withColumns(
             {
@@ -62,13 +74,15 @@ def ip_change_frequency(
     ring: int = ADDRESS_RING,
     width: int = 3_600_000_000,
     rows_per_slice: int = 100_000,
+    number: str | None = None,
 ) -> DataFrame:
     """Adds ``ip_change_frequency``: changes among the last ``ring`` addresses / (addresses - 1).
 
     Rows are numbered per user, then cut into runs of ``rows_per_slice`` rows, so that the
-    ring of a busy user needs no single task.
+    ring of a busy user needs no single task.  ``number`` names a column that holds the numbers.
     """
-    ordered = numbered(df, [user], at, [tie], "_row", width)
+    df = _named(df, user)
+    ordered = df.withColumnRenamed(number, "_row") if number else numbered(df, [user], at, [tie], "_row", width)
     wide = halo(ordered, "_row", ring, max(rows_per_slice, ring))
     order = in_slice([user], "_row")
     known = F.coalesce(F.col(address), F.lit("unknown"))
@@ -88,11 +102,10 @@ def stream_features(
     tie: str = "seq",
     login_span: float = LOGIN_SPAN,
     request_span: float = REQUEST_SPAN,
-    width: int = 3_600_000_000,
 ) -> DataFrame:
     """Adds the ten online features of ``FEATURE_ORDER``."""
-    rated = activity_rates(df, user, at, tie, login_span, request_span)
-    moved = ip_change_frequency(rated, user, address, at, tie, width=width)
+    rated = activity_rates(df, user, at, tie, login_span, request_span, number="_nth")
+    moved = ip_change_frequency(rated, user, address, at, tie, number="_nth")
     clock = F.timestamp_micros(F.col(at))
     hour, minute = F.hour(clock), F.minute(clock)
     source = F.lower(F.coalesce(F.col("source"), F.lit("")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.fields import beside
 from wardline.operators.slices import HOUR, newest, numbered, running
 
 FILTERS = {
@@ -174,7 +175,7 @@ def positions(df: DataFrame, keys: list[str], at: str = "at", tie: str = "seq",
     """Adds the 0-based ``position`` of each event, the total and the progress in percent."""
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     placed = numbered(df, keys, at, [tie], "_row", width)
-    joined = placed.join(totals, keys) if keys else placed.crossJoin(F.broadcast(totals))  # one row
+    joined = placed.join(totals, keys) if keys else beside(placed, totals)
     return joined.withColumns(
         {"position": F.col("_row") - 1, "progress": F.bround(F.col("_row") / F.col("total") * 100.0, 2)}
     ).drop("_row")
@@ -231,7 +232,7 @@ def timeline_stats(df: DataFrame, at: str = "at") -> DataFrame:
         F.count(F.lit(1)).alias("tenants"),
         F.max("last_at").alias("store_last_at"),
     )
-    return per.crossJoin(F.broadcast(whole))  # one row
+    return beside(per, whole)
 
 
 def display_event(df: DataFrame) -> DataFrame:

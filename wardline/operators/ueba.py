@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.functions.fields import coalesce_fields, field
+from wardline.functions.fields import beside, coalesce_fields, field
 from wardline.functions.lookup import capped, lookup, points, reasons
 from wardline.functions.rounding import exact_round
 
@@ -93,12 +93,10 @@ def ueba_filter_stats(df: DataFrame) -> DataFrame:
         ).withColumnRenamed("rejected_by_event_type", "rejected_by_type")
 
     share = F.col("passed_filter") / F.col("total_events") * 100
-    return (
-        totals.withColumn("rejected", F.col("total_events") - F.col("passed_filter"))
-        .withColumn("pass_rate", F.when(F.col("total_events") > 0, F.bround(share, 2)).otherwise(0.0))
-        .crossJoin(F.broadcast(counted("event_type")))  # one row each
-        .crossJoin(F.broadcast(counted("source")))
+    rated = totals.withColumn("rejected", F.col("total_events") - F.col("passed_filter")).withColumn(
+        "pass_rate", F.when(F.col("total_events") > 0, F.bround(share, 2)).otherwise(0.0)
     )
+    return beside(beside(rated, counted("event_type")), counted("source"))
 
 
 def _identity_rows(df: DataFrame, user: str, at: str) -> DataFrame:

@@ -391,6 +391,7 @@ def _responses(spark, sf_dir):
 
 
 DEDUP_DAYS = 2
+API_LIMIT, API_HOURS = 5, 2
 
 
 @plan(
@@ -409,17 +410,31 @@ def _dedup(spark, sf_dir):
     return throttle.throttle_dedup(keyed, ["alert_key"], ttl=DEDUP_DAYS * DAY).select("seq", "decision")
 
 
-API_LIMIT, API_HOURS = 5, 2
-
-
-@plan("api_rate_limit")
+@plan(
+    "api_rate_limit",
+    f"""WITH RECURSIVE {SEC}, o AS MATERIALIZED (SELECT seq, us, tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY us, seq) AS rn FROM sec),
+    f AS (SELECT tenant_id, rn, seq, [us] AS log, 'admitted' AS decision FROM o WHERE rn = 1 UNION ALL
+      SELECT tenant_id, rn, seq, CASE WHEN len(l) < {API_LIMIT} THEN list_append(l, us) ELSE l END, CASE WHEN len(l) < {API_LIMIT} THEN 'admitted' ELSE 'rejected' END
+      FROM (SELECT o.*, list_filter(f.log, lambda x: o.us - x <= {API_HOURS * 3_600_000_000}) AS l FROM f JOIN o ON o.tenant_id = f.tenant_id AND o.rn = f.rn + 1))
+    SELECT seq, tenant_id, decision FROM f""",
+)
 def _api(spark, sf_dir):
     calls = security_events(spark, sf_dir)
     limited = throttle.api_rate_limit(calls, API_LIMIT, span=API_HOURS * 3_600_000_000, width=DAY)
     return limited.select("seq", "tenant_id", "decision")
 
 
-@plan("delivered_alerts")
+DELIVERY = f"""{ALERT_SQL}, o AS MATERIALIZED (SELECT event_id, seq, us, tenant_id, tenant_id || ':' || host || ':' || user_name || ':' || event_type || ':' || action AS key,
+   row_number() OVER (PARTITION BY tenant_id ORDER BY us, seq) AS rn FROM al),
+ d AS (SELECT tenant_id, rn, event_id, seq, [us, us] AS log, [{{'k': key, 't': us}}] AS marks, 'sent' AS decision FROM o WHERE rn = 1 UNION ALL
+   SELECT tenant_id, rn, event_id, seq, CASE WHEN limited THEN l WHEN dup THEN list_append(l, us) ELSE list_append(list_append(l, us), us) END,
+     CASE WHEN limited OR dup THEN m ELSE list_append(m, {{'k': key, 't': us}}) END, CASE WHEN limited THEN 'rate_limited' WHEN dup THEN 'duplicate' ELSE 'sent' END
+   FROM (SELECT *, len(l) >= 15 AS limited, len(list_filter(m, lambda x: x.k = key)) > 0 AS dup FROM
+     (SELECT o.*, list_filter(d.log, lambda x: o.us - x < {6 * 3_600_000_000}) AS l, list_filter(d.marks, lambda x: o.us - x.t <= {DAY}) AS m
+      FROM d JOIN o ON o.tenant_id = d.tenant_id AND o.rn = d.rn + 1)))"""
+
+
+@plan("delivered_alerts", f"WITH RECURSIVE {DELIVERY} SELECT seq, tenant_id, decision FROM d")
 def _delivered(spark, sf_dir):
     scored = scored_events(spark, sf_dir)
     sent = alerts.deliver_alerts(scored, span=6 * 3_600_000_000, ttl=DAY)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import lexicon
 from wardline.functions.casts import safe_cast
+from wardline.functions.fields import beside
 from wardline.operators import normalize, quality
 from wardline.plans.registry import plan
 from wardline.plans.tables import SEC, security_events, table
@@ -68,7 +69,7 @@ def _canonical(spark, sf_dir):
     ]
     good = numbered.filter("seq IS NOT NULL").select("seq", *columns)
     blank = kept.filter("event_id = 'fallback-event'").select(*columns).distinct()
-    return good.unionByName(lost.crossJoin(F.broadcast(blank)))  # one distinct row
+    return good.unionByName(beside(lost, blank.limit(1)))
 
 
 @plan(

@@ -61,7 +61,7 @@ CHAIN = ", ".join([SEC, RATES, MOVES, FEATURES, SCORES])
 
 
 def featured(spark, sf_dir):
-    return stream_features(security_events(spark, sf_dir), width=WIDTH, **SPANS)
+    return stream_features(security_events(spark, sf_dir), **SPANS)
 
 
 def scored_events(spark, sf_dir):

@@ -6,10 +6,22 @@ from pyspark.sql import functions as F
 
 from wardline.ml.online import learn_batches, load_state
 from wardline.operators.stream_features import FEATURE_ORDER
-from wardline.plans.behavior_plans import CHAIN_DAYS, KEYED
+from wardline.plans.behavior_plans import CHAIN_DAYS, DELIVERY, KEYED
 from wardline.plans.data_plans import scratch
+from wardline.plans.intake_plans import WINDOWS as INTAKE_WINDOWS
+from wardline.plans.intake_plans import windows_records
 from wardline.plans.registry import plan
-from wardline.plans.scoring_plans import CHAIN, LOGIN_DAYS, REQUEST_DAYS, featured, scored_events
+from wardline.plans.scoring_plans import (
+    CHAIN,
+    FEATURES,
+    LOGIN_DAYS,
+    MOVES,
+    RATES,
+    REQUEST_DAYS,
+    SCORES,
+    featured,
+    scored_events,
+)
 from wardline.plans.tables import DAY, SEC, security_events
 from wardline.plans.ueba_plans import RAW_AUTH, UEBA_SQL, raw_auth
 from wardline.streaming import jobs
@@ -131,7 +143,7 @@ def _ingest(spark, sf_dir):
     return jobs.ingest_stream(spark.readStream.text(folder), lateness=LATE)
 
 
-@plan("streamed_alert_delivery")
+@plan("streamed_alert_delivery", f"WITH RECURSIVE {DELIVERY} SELECT event_id, tenant_id, decision FROM d")
 def _alerts(spark, sf_dir):
     scored = scored_events(spark, sf_dir).select(
         "event_id", "seq", "at", "tenant_id", "host", "user_name", "event_type", "source", "attack_type", "severity", "risk_score"
@@ -141,10 +153,23 @@ def _alerts(spark, sf_dir):
     return done.select("event_id", "tenant_id", "decision")
 
 
-@plan("streamed_windows_scores")
-def _windows(spark, sf_dir):
-    from wardline.plans.intake_plans import windows_records
+# The scoring steps of the batch twin, over Windows records instead of the view.
+WINDOWS_CHAIN = ", ".join(
+    [
+        INTAKE_WINDOWS,
+        """wsec AS (SELECT CAST(seq AS VARCHAR) AS event_id, seq, us, make_timestamp(us) AS ts, host, "user" AS user_name, source, severity, ip_address, 'none' AS attack_type,
+     CASE event_id WHEN 4624 THEN 'login_success' WHEN 4625 THEN 'login_failure' WHEN 4634 THEN 'logout' WHEN 4688 THEN 'process_creation' WHEN 4689 THEN 'process_termination' ELSE 'unknown' END AS event_type
+    FROM win WHERE "user" IS NOT NULL)""",
+        RATES.replace("FROM sec)", "FROM wsec)"), MOVES, FEATURES, SCORES,
+    ]
+)
+
 
+@plan(
+    "streamed_windows_scores",
+    f"WITH {WINDOWS_CHAIN} SELECT event_id, user_name, event_type, risk AS risk_score, band AS severity, risk >= 30 AS alert FROM banded",
+)
+def _windows(spark, sf_dir):
     rows = windows_records(spark, sf_dir).join(security_events(spark, sf_dir).select("seq", "at", "ts"), "seq")
     stream = as_stream(spark, rows.filter(F.col("user").isNotNull()), "windows")
     done = finished(spark, jobs.windows_stream(stream, **WINDOWS), "windows")

@@ -297,7 +297,7 @@ def _insider(spark, sf_dir):
 
 
 @plan(
-    "pipeline_metrics",
+    "ingest_counters",
     f"""WITH {SEC} SELECT tenant_id, source, device AS component, count(*) FILTER (k % 10 > 1) AS ingested, count(*) FILTER (k % 10 = 0) AS failed, count(*) FILTER (k % 10 = 1) AS dead_lettered FROM sec GROUP BY ALL""",
 )
 def _metrics(spark, sf_dir):
