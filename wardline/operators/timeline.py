@@ -18,7 +18,12 @@ FILTERS = {
 
 
 def between(df: DataFrame, start: int, end: int, at: str = "at") -> DataFrame:
-    return df.filter(F.col(at).between(start, end))
+    """Rows from ``start`` to ``end``.  A stored ``day`` column is filtered too, so other days' folders are not read."""
+    found = df.filter(F.col(at).between(start, end))
+    if "day" not in df.columns:
+        return found
+    first, last = (F.to_date(F.timestamp_micros(F.lit(edge))) for edge in (start, end))
+    return found.filter(F.col("day").between(first, last))
 
 
 def timeline_range(

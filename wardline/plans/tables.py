@@ -3,20 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
 
-# How the view names the five kinds of test event.
-EVENT_NAMES = {
-    "error": "login_failure",
-    "signup": "process_create",
-    "view": "network_connection",
-    "purchase": "anomaly",
-    "click": "login_success",
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,43 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` read as security telemetry; ``at`` is the event time in microseconds."""
-    raw = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.col("event_type")
-    user = F.col("user_id")
-    named = F.lit(None).cast("string")
-    for word, name in EVENT_NAMES.items():
-        named = F.when(kind == word, name).otherwise(named)
-    return raw.select(
-        F.col("event_id").cast("string").alias("event_id"),
-        F.col("event_id").alias("seq"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-        F.concat(F.lit("t"), (user % 5).cast("string")).alias("tenant_id"),
-        F.concat(F.lit("h"), (user % 20).cast("string")).alias("host"),
-        F.concat(F.lit("u"), user.cast("string")).alias("user_name"),
-        F.coalesce(named, F.lit("login_success")).alias("event_type"),
-        F.when(kind.isin("error", "click"), "auth")
-        .when(kind == "view", "network")
-        .when(kind == "signup", "process")
-        .otherwise("system")
-        .alias("source"),
-        F.when(F.col("value") >= 150, "critical")
-        .when(F.col("value") >= 75, "high")
-        .when(F.col("value") >= 25, "medium")
-        .otherwise("low")
-        .alias("severity"),
-        F.when(k % 10 == 0, "brute_force")
-        .when(k % 10 == 1, "ddos")
-        .when(k % 10 == 2, "insider_threat")
-        .otherwise("none")
-        .alias("attack_type"),
-        F.concat(F.lit("10.0."), (k % 4).cast("string"), F.lit("."), k.cast("string")).alias("ip_address"),
-        F.concat(F.lit("d"), (k % 7).cast("string")).alias("device"),
-        (F.col("event_id") % 500 + 1).cast("int").alias("pid"),
-        ((F.col("event_id") * 7) % 500).cast("int").alias("parent_pid"),
-        F.col("value"),
-        k.alias("k"),
+    keyed = table(spark, sf_dir, "events").selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+    return keyed.selectExpr(
+        "CAST(event_id AS STRING) AS event_id",
+        "event_id AS seq",
+        "CAST(ts AS TIMESTAMP) AS ts",
+        "unix_micros(CAST(ts AS TIMESTAMP)) AS at",
+        "concat('t', user_id % 5) AS tenant_id",
+        "concat('h', user_id % 20) AS host",
+        "concat('u', user_id) AS user_name",
+        """CASE event_type WHEN 'error' THEN 'login_failure' WHEN 'signup' THEN 'process_create'
+           WHEN 'view' THEN 'network_connection' WHEN 'purchase' THEN 'anomaly' ELSE 'login_success' END AS event_type""",
+        """CASE WHEN event_type IN ('error', 'click') THEN 'auth' WHEN event_type = 'view' THEN 'network'
+           WHEN event_type = 'signup' THEN 'process' ELSE 'system' END AS source""",
+        "CASE WHEN value >= 150 THEN 'critical' WHEN value >= 75 THEN 'high' WHEN value >= 25 THEN 'medium' ELSE 'low' END AS severity",
+        "CASE k % 10 WHEN 0 THEN 'brute_force' WHEN 1 THEN 'ddos' WHEN 2 THEN 'insider_threat' ELSE 'none' END AS attack_type",
+        "concat('10.0.', k % 4, '.', k) AS ip_address",
+        "concat('d', k % 7) AS device",
+        "CAST(event_id % 500 + 1 AS INT) AS pid",
+        "CAST((event_id * 7) % 500 AS INT) AS parent_pid",
+        "value",
+        "k",
     )
 
 

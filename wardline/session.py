@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", name: str = "wardline", **conf: str) -
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Recording a call site for every column expression costs more than building the plan.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
