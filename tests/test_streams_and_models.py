@@ -9,6 +9,7 @@ from wardline.operators import behavior, throttle
 from wardline.operators.stream_features import FEATURE_ORDER, activity_rates, ip_change_frequency
 from wardline.plans import PLANS
 from wardline.streaming import jobs
+from wardline.streaming.batches import score_batches
 from wardline.streaming.io import stream_sink, to_messages
 
 SECOND = 1_000_000
@@ -46,6 +47,46 @@ def test_window_stream_equals_batch(spark):
     assert got == want
 
 
+def test_scored_batches_equal_the_stream(spark):
+    """A foreachBatch run over three micro-batches, one of them repeated, against one batch."""
+    events = made_events(spark).cache()
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    sink = lambda df, number: df.write.mode("overwrite").parquet(f"{folder}/rows/part={number}")
+    handle = score_batches(f"{folder}/tail", sink)
+    for number, (low, high) in enumerate([(0, 3000), (3000, 6000), (6000, 99999)]):
+        part = events.filter(F.col("at").between(low * SECOND, high * SECOND - 1))
+        handle(part, number)
+        if number == 1:
+            handle(part, number)
+    whole = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    score_batches(f"{whole}/tail", lambda df, _: df.write.mode("overwrite").parquet(f"{whole}/rows"))(events, 0)
+    names = ["event_id", *FEATURE_ORDER, "risk_score", "related_event_count", "suspicious_chain", "response_action"]
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{folder}/rows").select(*names).collect())
+    assert got == sorted(tuple(r) for r in spark.read.parquet(f"{whole}/rows").select(*names).collect())
+
+
+def test_stateless_streams_equal_batch(spark):
+    rows = [(i, ["4624", "4625", "1"][i % 3], f"h{i}", f" u{i} ", "2024-01-01 00:00:00") for i in range(30)]
+    df = spark.createDataFrame(rows, "event_key int, event_id string, host string, user string, timestamp string")
+    typed = df.withColumn("event_id", F.col("event_id").cast("int"))
+    done = run_parts(spark, [typed.filter("event_key < 11"), typed.filter("event_key >= 11")], jobs.os_stream)
+    assert sorted(map(str, done.collect())) == sorted(map(str, jobs.os_stream(typed).collect()))
+    good = run_parts(spark, [typed], lambda s: jobs.validated_stream(s)[0])
+    bad = run_parts(spark, [typed], lambda s: jobs.validated_stream(s)[1])
+    assert good.count() == 0 and bad.count() == 30
+
+
+def test_metric_counts_close_with_the_watermark(spark):
+    rows = [(i * 10, "t0", "auth", "ingested" if i % 3 else "failed") for i in range(30)] + [(90000, "t0", "auth", "ingested")]
+    df = spark.createDataFrame(rows, "second bigint, tenant_id string, source string, outcome string").withColumn(
+        "ts", F.timestamp_seconds("second")
+    )
+    parts = [df.filter("second < 80000"), df.filter("second > 80000")]
+    done = run_parts(spark, parts, lambda s: jobs.metrics_stream(s.select("ts", "tenant_id", "source", "outcome")))
+    total = done.agg(F.sum("ingested"), F.sum("failed")).first()
+    assert tuple(total) == (20, 10)
+
+
 def test_alert_stream_equals_batch(spark):
     scored = made_events(spark).withColumn("risk_score", F.lit(50)).drop("ts").cache()
     parts = [scored.filter(F.col("at") < 4600 * SECOND), scored.filter(F.col("at") >= 4600 * SECOND)]

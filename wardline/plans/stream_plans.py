@@ -25,6 +25,7 @@ from wardline.plans.scoring_plans import (
 from wardline.plans.tables import DAY, SEC, security_events
 from wardline.plans.ueba_plans import RAW_AUTH, UEBA_SQL, raw_auth
 from wardline.streaming import jobs
+from wardline.streaming.batches import score_batches
 from wardline.streaming.io import stream_sink
 
 LATE = "60 days"  # the tables are one file, so one batch; nothing may count as late
@@ -62,6 +63,25 @@ def _scores(spark, sf_dir):
     )
 
 
+@plan(
+    "batched_stream_scores",
+    f"WITH {CHAIN} SELECT event_id, risk AS risk_score, band AS severity, login_frequency, ip_change_frequency FROM banded",
+)
+def _batches(spark, sf_dir):
+    """Two micro-batches in time order, the second one scored with the rows the first one left."""
+    events = security_events(spark, sf_dir)
+    place = scratch(spark, "batches")
+    middle = events.agg(F.expr("percentile_approx(at, 0.5)")).first()[0]
+    sink = lambda scored, number: scored.select(
+        "event_id", "risk_score", "severity", "login_frequency", "ip_change_frequency"
+    ).write.mode("overwrite").parquet(f"{place}/rows/part={number}")
+    spans = {name: value for name, value in WINDOWS.items() if name != "lateness"}
+    handle = score_batches(f"{place}/tail", sink, **spans)
+    handle(events.filter(F.col("at") <= middle), 0)
+    handle(events.filter(F.col("at") > middle), 1)
+    return spark.read.parquet(f"{place}/rows").drop("part")
+
+
 @plan(
     "streamed_suspicious_chains",
     f"""WITH {SEC}, w AS (SELECT event_id, count(*) OVER v AS n, max((event_type = 'login_failure')::INT) OVER v + max((event_type = 'process_create')::INT) OVER v + max((event_type = 'network_connection')::INT) OVER v AS kinds
