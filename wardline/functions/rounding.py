@@ -25,6 +25,11 @@ def exact_round(value: Column, digits: int) -> Column:
     return F.when(up, low + 1.0).otherwise(low) / scale
 
 
+def fixed_text(value: Column, digits: int) -> Column:
+    """``value`` as text with that many decimals, rounded on its binary value."""
+    return F.format_string(f"%.{digits}f", exact_round(value, digits))
+
+
 def exact_round_sql(value: str, digits: int) -> str:
     """The same in SQL text, for the twins."""
     scale = 10**digits

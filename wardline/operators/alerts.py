@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import risk
 from wardline.functions.fields import beside, coalesce_fields, field
+from wardline.functions.rounding import fixed_text
 from wardline.operators.throttle import throttle_rate
 
 # Actions the response engine knows.
@@ -49,7 +50,7 @@ def alert_payload(df: DataFrame, user: str = "user_name") -> DataFrame:
         F.lit(" | Source: "), field(df, "source", "unknown"),
         F.lit(" | Attack type: "), F.coalesce(F.nullif(field(df, "attack_type", ""), F.lit("")), F.lit("unknown")),
         F.lit(" | MITRE technique: "), F.coalesce(F.nullif(field(df, "mitre_technique", ""), F.lit("")), F.lit("N/A")),
-        F.lit(" | Risk score: "), F.format_string("%.2f", score),
+        F.lit(" | Risk score: "), fixed_text(score, 2),
     )
     shaped = df.withColumns(
         {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import risk
 from wardline.functions.casts import seconds_to_micros
 from wardline.functions.fields import coalesce_fields, field
-from wardline.functions.rounding import exact_round
+from wardline.functions.rounding import exact_round, fixed_text
 from wardline.functions.times import iso_text
 from wardline.operators.slices import sessions
 
@@ -114,7 +114,7 @@ def incident_rollup(sessions_df: DataFrame, user: str = "user_name", at: str = "
             F.lit(" events were grouped between "), iso_text("start_at"),
             F.lit(" and "), iso_text("end_at"),
             F.lit(" with "), F.col("severity"),
-            F.lit(" severity and peak risk score "), F.format_string("%.1f", F.col("_peak")),
+            F.lit(" severity and peak risk score "), fixed_text(F.col("_peak"), 1),
             F.lit(". Indicators: "), named, F.lit("."),
         ).alias("summary"),
     )

@@ -9,6 +9,7 @@ from wardline.functions import risk
 from wardline.functions.casts import seconds_to_micros
 from wardline.functions.fields import field, sorted_set
 from wardline.functions.lookup import capped, lookup, points, reasons
+from wardline.functions.rounding import exact_round, fixed_text
 from wardline.operators.slices import count_back, halo, own_rows
 
 # Burst rule.
@@ -215,17 +216,15 @@ def analyze(df: DataFrame) -> DataFrame:
     )
     return scored.withColumns(
         {
-            "risk_score": F.bround("_score", 2),
+            "risk_score": exact_round(F.col("_score"), 2),
             "severity": risk.severity_band("_score"),
             "response_action": response_action("_score", ANALYZE_ACTIONS),
-            "explanation": F.format_string(
-                "Supervised model confidence=%.2f, anomaly score=%.2f, behavior deviation=%.2f, "
-                "rule adjustment=%d. Triggered indicators: %s.",
-                supervised,
-                anomaly,
-                behavior,
-                F.col("rule_adjustment"),
-                listed,
+            "explanation": F.concat(
+                F.lit("Supervised model confidence="), fixed_text(supervised, 2),
+                F.lit(", anomaly score="), fixed_text(anomaly, 2),
+                F.lit(", behavior deviation="), fixed_text(behavior, 2),
+                F.lit(", rule adjustment="), F.col("rule_adjustment").cast("string"),
+                F.lit(". Triggered indicators: "), listed, F.lit("."),
             ),
         }
     ).withColumn("incident_story", incident_story(df)).drop("_score")

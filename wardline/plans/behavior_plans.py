@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.functions.rounding import exact_round_sql
-from wardline.operators import alerts, behavior, chains, incidents, throttle, timeline
+from wardline.operators import alerts, behavior, chains, incidents, throttle
 from wardline.plans.registry import plan
 from wardline.plans.scoring_plans import CHAIN, WIDTH, scored_events
 from wardline.plans.tables import DAY, SEC, security_events

@@ -352,14 +352,14 @@ def analyzed(spark, sf_dir):
     'User ' || user_id || ' ' || action || CASE WHEN len(rules) > 0 THEN ', triggering ' || array_to_string(rules, ', ') || '. The incident was classified as '
       || severity || ' severity and the recommended response is ' || lower(response_action) || '.'
       ELSE '. Behavioral and anomaly models marked the activity as ' || severity || ' severity, so the recommended response is ' || lower(response_action) || '.' END AS incident_story,
-    position(CASE WHEN len(rules) > 0 THEN array_to_string(rules, ', ') ELSE 'no explicit SOC rules triggered' END || '.' IN
-      'x' || CASE WHEN len(rules) > 0 THEN array_to_string(rules, ', ') ELSE 'no explicit SOC rules triggered' END || '.') > 0 AS explained FROM word""",
+    'Supervised model confidence=' || printf('%.2f', sp) || ', anomaly score=' || printf('%.2f', an) || ', behavior deviation=0.00, rule adjustment=' || CAST(adjustment AS VARCHAR)
+      || '. Triggered indicators: ' || CASE WHEN len(rules) > 0 THEN array_to_string(rules, ', ') ELSE 'no explicit SOC rules triggered' END || '.' AS explanation FROM word""",
 )
 def _analyzed(spark, sf_dir):
     return analyzed(spark, sf_dir).select(
         "event_id", "rule_adjustment", F.array_join("triggered_rules", ",").alias("triggered_rules"),
         F.round("risk_score", 2).alias("risk_score"), "severity", "response_action", "incident_story",
-        F.startswith("explanation", F.lit("Supervised model confidence=")).alias("explained"),
+        "explanation",
     )
 
 
