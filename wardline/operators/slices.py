@@ -36,12 +36,13 @@ def halo(df: DataFrame, at: str, back: int, width: int | None = None) -> DataFra
 
     Adds the slice and a flag that is true on the row's own copy.  Every look-back of up
     to ``back`` then sees all its rows inside (key, slice).  About back/width rows are
-    copied; the default width keeps that at an eighth.
+    copied; the default width keeps that at an eighth.  Rows whose ``at`` is null are not
+    own rows of any slice: send them to the dead letters first.
     """
     width = max(width or 8 * back, back, 1)
     home = slice_of(at, width)
     edge = (home + 1) * F.lit(width) - F.lit(back)
-    copies = F.array_compact(F.array(home, F.when(F.col(at) >= edge, home + 1)))
+    copies = F.when(F.col(at) >= edge, F.array(home, home + 1)).otherwise(F.array(home))
     spread = df.withColumn(SLICE, F.explode(copies))
     return spread.withColumn(OWN, F.col(SLICE) == slice_of(at, width))
 
