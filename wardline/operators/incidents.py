@@ -62,8 +62,11 @@ def sessionize_incidents(
         }
     )
     cut = sessions(keyed, ["incident_key"], at, [tie], seconds_to_micros(gap), width)
-    name = F.sha2(F.concat_ws("|", "incident_key", F.col("session_start").cast("string")), 256)
-    return cut.withColumn("incident_id", name)
+    return cut.withColumn("incident_id", _incident_id())
+
+
+def _incident_id() -> Column:
+    return F.sha2(F.concat_ws("|", "incident_key", F.col("session_start").cast("string")), 256)
 
 
 def incident_members(sessions_df: DataFrame) -> DataFrame:
@@ -74,7 +77,8 @@ def incident_members(sessions_df: DataFrame) -> DataFrame:
 def incident_rollup(sessions_df: DataFrame, user: str = "user_name", at: str = "at") -> DataFrame:
     """One row per incident: span, peak risk, worst severity, counts, type and trigger sets, summary."""
     triggers = F.col("triggers") if "triggers" in sessions_df.columns else F.array().cast("array<string>")
-    grouped = sessions_df.groupBy("incident_id", "incident_key", "incident_attack").agg(
+    # Grouped by what the id is made of; the hash is taken once per incident, not per event.
+    grouped = sessions_df.groupBy("incident_key", "session_start", "incident_attack").agg(
         F.min(at).alias("start_at"),
         F.max(at).alias("end_at"),
         F.first(user).alias("user"),  # part of the key, so one value
@@ -94,7 +98,7 @@ def incident_rollup(sessions_df: DataFrame, user: str = "user_name", at: str = "
         }
     )
     return rolled.select(
-        "incident_id",
+        _incident_id().alias("incident_id"),
         "incident_key",
         F.col("incident_attack").alias("attack_type"),
         "start_at",
