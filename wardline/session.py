@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +52,15 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python jobs find it there."""
+    context = spark.sparkContext
+    if getattr(context, "_wardline_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="wardline-package-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from the driver
+    context.addPyFile(shutil.make_archive(f"{folder}/wardline", "zip", root, "wardline"))
+    context._wardline_shipped = True
