@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.llm import sentencepieces, warc
+from wardline.llm.shared import Scratch
 from wardline.llm.simhash import near_groups
 
+PIECES = "piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,7 +25,31 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = sentencepieces.read_model(public_tokenizers.path(PIECES))
+    trip = sentencepieces.round_trip(spark, F.col("text"), model)
+    return table(spark, sf_dir, "documents").select("doc_id", trip.alias("trip")).select(
+        "doc_id", "trip.n_tokens", "trip.ids_sha256", "trip.decoded_sha256", "trip.decoded_same"
+    )
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark).path("archives")
+    warc.write(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    return warc.read(spark, path, payloads=False).select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op8_warc": op8_warc,
 }
 SQL: dict[str, str] = {}
