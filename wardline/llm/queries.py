@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import sentencepieces, warc
+from wardline.llm import sentencepieces, toxicity, warc
 from wardline.llm.shared import Scratch
 from wardline.llm.simhash import near_groups
 
@@ -47,9 +47,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(toxicity.labelled(docs, labels))
+    scored = docs.select("doc_id", toxicity.held_out().alias("held_out"), toxicity.scores(spark, F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
 }
 SQL: dict[str, str] = {}
