@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import sentencepieces, toxicity, warc
+from wardline.llm import sentencepieces, toxicity, treeweight, warc
 from wardline.llm.shared import Scratch
 from wardline.llm.simhash import near_groups
 
@@ -54,10 +54,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op10_treeweight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    found = treeweight.score(table(spark, sf_dir, "documents"), ~held_out)
+    return found.withColumn("held_out", held_out).withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
+    "op10_treeweight": op10_treeweight,
 }
 SQL: dict[str, str] = {}
