@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import sentencepieces, toxicity, treeweight, warc
+from wardline.llm.quantised import near_vectors
 from wardline.llm.shared import Scratch
 from wardline.llm.simhash import near_groups
 
@@ -25,6 +26,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +67,7 @@ def op10_treeweight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_quantised": op3_quantised,
     "op4_sentencepiece": op4_sentencepiece,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,

@@ -34,10 +34,17 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        return self._read(df, path)
+
+    def _read(self, df: DataFrame, path: str) -> DataFrame:
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
 
+    def again(self, kept: DataFrame) -> DataFrame:
+        """The same table with columns of its own, to join it with itself."""
+        return self._read(kept, kept._scratch_path)
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             self.remove(table._scratch_path)
