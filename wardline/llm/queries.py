@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import sentencepieces, toxicity, treeweight, warc
+from wardline.llm import sentencepieces, tokencounts, toxicity, treeweight, warc
 from wardline.llm.quantised import near_vectors
 from wardline.llm.shared import Scratch
 from wardline.llm.simhash import near_groups
 
-PIECES = "piece_bpe_32k.model"
+PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,15 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per encoded length: with its sums every context limit can be answered."""
+    import public_tokenizers
+
+    ranks = sentencepieces.read_model(public_tokenizers.path(RANKS))
+    docs = table(spark, sf_dir, "documents")
+    return tokencounts.length_histogram(docs, tokencounts.counted(spark, F.col("text"), ranks, public_tokenizers.PATTERN))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark).path("archives")
     warc.write(table(spark, sf_dir, "pages"), path, least_bytes=0)
@@ -69,6 +78,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_quantised": op3_quantised,
     "op4_sentencepiece": op4_sentencepiece,
+    "op7_tokencounts": op7_tokencounts,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_treeweight": op10_treeweight,

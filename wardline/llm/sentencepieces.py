@@ -234,7 +234,7 @@ def codec(model: bytes) -> PieceCodec:
 
 
 def read_model(path: str) -> bytes:
-    """The model file, read on the driver and sent along with the job: under 1 MB for 32,000 pieces."""
+    """A vocabulary file, read on the driver and sent along with the job: about 1 MB at most."""
     with open(path, "rb") as file:
         return file.read()
 
