@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import sentencepieces, tokencounts, toxicity, treeweight, warc
+from wardline.llm import decontaminate, sentencepieces, tokencounts, toxicity, treeweight, warc
 from wardline.llm.quantised import near_vectors
 from wardline.llm.shared import Scratch
 from wardline.llm.simhash import near_groups
@@ -40,6 +40,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item that a document holds; clean documents have none."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per encoded length: with its sums every context limit can be answered."""
     import public_tokenizers
@@ -78,6 +83,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_quantised": op3_quantised,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_decontaminate": op5_decontaminate,
     "op7_tokencounts": op7_tokencounts,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
