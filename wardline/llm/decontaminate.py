@@ -175,11 +175,23 @@ def _banded(pattern: np.ndarray, text: np.ndarray, low: int, cost: np.ndarray) -
     return cost
 
 
+def _exact(pattern: np.ndarray, text: np.ndarray) -> int:
+    """The first place of the pattern without edits, or -1."""
+    needle, hay, at = pattern.tobytes(), text.tobytes(), -1
+    while True:
+        at = hay.find(needle, at + 1)
+        if at < 0 or at % pattern.itemsize == 0:
+            return at // pattern.itemsize
+
+
 def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of the pattern on diagonals low to high, if within ``edits``.
 
     The band is widened by the edits on both sides. Ties: the first end, then the shortest place.
     """
+    place = _exact(pattern, text)
+    if place >= 0:
+        return 0, place, place + len(pattern)
     first = low - edits
     ends = _banded(pattern, text, first, np.zeros(high - low + 2 * edits + 1, np.int64))
     cost = int(ends.min())
