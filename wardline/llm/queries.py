@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontaminate, sentencepieces, tokencounts, toxicity, treeweight, warc
+from wardline.llm import decontaminate, personal, sentencepieces, tokencounts, toxicity, treeweight, warc
 from wardline.llm.quantised import near_vectors
 from wardline.llm.shared import Scratch
 from wardline.llm.simhash import near_groups
@@ -45,6 +45,20 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.base)
+
+    def of_kind(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [of_kind(kind) for kind in personal.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(personal.listed(base), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s.base)).cast("long").alias("n_added"),
+    )
+
+
 def op7_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per encoded length: with its sums every context limit can be answered."""
     import public_tokenizers
@@ -84,6 +98,7 @@ QUERIES = {
     "op3_quantised": op3_quantised,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decontaminate": op5_decontaminate,
+    "op6_personal": op6_personal,
     "op7_tokencounts": op7_tokencounts,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
