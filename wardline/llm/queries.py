@@ -9,6 +9,7 @@ from wardline.llm import decontaminate, personal, sentencepieces, tokencounts, t
 from wardline.llm.quantised import near_vectors
 from wardline.llm.shared import Scratch
 from wardline.llm.simhash import near_groups
+from wardline.llm.suffixes import without_repeats
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
@@ -26,6 +27,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op3_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -95,6 +100,7 @@ def op10_treeweight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_suffixes": op2_suffixes,
     "op3_quantised": op3_quantised,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decontaminate": op5_decontaminate,
