@@ -1,13 +1,70 @@
-"""A corpus from raw documents: each stage works on what the one before it kept."""
+"""A training corpus from raw documents, in five stages; each works on all that the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardline.llm import decontaminate, personal, sentencepieces, toxicity
+from wardline.llm.shared import Scratch
+from wardline.llm.simhash import without_near_copies
+
+#: A document goes if its toxicity score reaches this.
+TOXIC = 0.3
+PIECES = "piece_bpe_32k.model"
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity limit, by a model fitted on the labelled ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(toxicity.labelled(docs, labels))
+    return docs.where(toxicity.scores(spark, F.col("text"), model) < TOXIC)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    return without_near_copies(docs, words=5, similarity=0.8)
+
+
+def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    held = decontaminate.matches(docs, benchmark).select("doc_id").distinct()
+    held = Scratch(spark).keep(held, "contaminated")
+    hit = held.select(F.col("doc_id").alias("hit"))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit"]), "left_anti")
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    return personal.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its token ids; decoding them again must give the text."""
+    import public_tokenizers
+
+    model = sentencepieces.read_model(public_tokenizers.path(PIECES))
+    return docs.withColumn("ids", sentencepieces.encoded(spark, F.col("text"), model)).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", not_toxic),
+    ("simhash", no_near_copies),
+    ("decontamination", no_benchmarks),
+    ("personal", no_personal_data),
+    ("sentencepiece", encoded),
+]
+#: SQL can't train the classifier of the first stage, nor verify alignments or encode; see tests/llm.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written and read again for the next."""
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
