@@ -72,7 +72,7 @@ def train(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def _archives(batches: Iterator[pa.RecordBatch], dictionary: bytes, date: str) -> Iterator[pa.RecordBatch]:
+def _archives(batches: Iterator[pa.RecordBatch], dictionary: bytes, date: str, archive_bytes: int) -> Iterator[pa.RecordBatch]:
     words = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     if words:
         words.precompute_compress(level=LEVEL)
@@ -91,7 +91,7 @@ def _archives(batches: Iterator[pa.RecordBatch], dictionary: bytes, date: str) -
             )
             frames.append(frame)
             size += len(frame)
-            if size >= ARCHIVE_BYTES:
+            if size >= archive_bytes:
                 yield archive()
                 frames, size = [], 0
     if frames:
@@ -117,7 +117,7 @@ def with_revisits(pages: DataFrame, key: str, uri: str, payload: str, least_byte
 
 def write(
     pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html",
-    least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z",
+    least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
     """Write a record per row to archives below ``path``. An empty table leaves no archive.
 
@@ -131,7 +131,7 @@ def write(
         .limit(SAMPLE_RECORDS)
     )
     dictionary = train([record(r.key, None, r.text.encode(), None, False, date) for r in sample.collect()])
-    archives = rows.mapInArrow(lambda batches: _archives(batches, dictionary, date), "archive binary")
+    archives = rows.mapInArrow(lambda batches: _archives(batches, dictionary, date, archive_bytes), "archive binary")
     (
         archives.select(F.col("archive").cast("string").alias("value"))
         .write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
