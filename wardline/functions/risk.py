@@ -17,7 +17,6 @@ SCORING_BANDS = (80.0, 60.0, 30.0)
 STREAM_SEVERITY = {"low": 0.25, "medium": 0.5, "high": 0.8, "critical": 1.0}
 FEATURE_SEVERITY = {"low": 0.25, "medium": 0.5, "high": 0.75, "critical": 1.0}
 CHAIN_SEVERITY = {"low": 2.0, "medium": 8.0, "high": 15.0, "critical": 25.0}
-HEAT_SEVERITY = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 STREAM_ATTACK = {"brute_force": 0.5, "ddos": 0.75, "insider_threat": 1.0, "insider": 1.0}
 SCORING_ATTACK = {"brute_force": 2.0, "ddos": 3.0, "insider_threat": 4.0, "insider": 4.0}
 SEVERITIES = ["low", "medium", "high", "critical"]

@@ -140,10 +140,10 @@ def save_state(spark: SparkSession, state: OnlineState, path: str, batch_id: int
 
 def load_state(spark: SparkSession, path: str, before: int | None = None) -> OnlineState:
     """The newest stored state (older than batch ``before``), or a fresh one."""
-    try:
-        kept = spark.read.schema("batch_id bigint, state string").json(path)
-    except Exception:  # nothing stored yet
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return OnlineState()
+    kept = spark.read.schema("batch_id bigint, state string").json(path)
     if before is not None:
         kept = kept.filter(F.col("batch_id") < before)
     newest_row = kept.agg(F.max_by("state", "batch_id").alias("state")).first()

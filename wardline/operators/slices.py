@@ -7,10 +7,13 @@ its own task, and what crosses a slice edge travels in one of three exact ways:
 ``halo``      copies the rows of the look-back span into the following slice;
 ``running``   adds the total of all earlier slices (one row per key and slice) to
               the running value inside the slice;
-``newest``    uses the per-slice counts to keep whole slices and ranks rows only in
-              the slice where the limit falls.
+``newest``    uses the per-slice counts to leave out whole slices before rows are
+              ranked inside the slices that stay.
 
-Key columns must not be null: joins on them are plain equi-joins.
+Rows without a time form a slice of their own: they are kept, counts of a look-back are null
+for them, and they are the oldest rows of their key. ``newest`` and ``lowest`` take null keys
+as a key of their own; elsewhere key columns must not be null, since joins on them are plain
+equi-joins.
 """
 
 from __future__ import annotations
@@ -36,15 +39,15 @@ def halo(df: DataFrame, at: str, back: int, width: int | None = None) -> DataFra
 
     Adds the slice and a flag that is true on the row's own copy.  Every look-back of up
     to ``back`` then sees all its rows inside (key, slice).  About back/width rows are
-    copied; the default width keeps that at an eighth.  Rows whose ``at`` is null are not
-    own rows of any slice: send them to the dead letters first.
+    copied; the default width keeps that at an eighth.  Rows whose ``at`` is null are own
+    rows of a slice without number.
     """
     width = max(width or 8 * back, back, 1)
     home = slice_of(at, width)
     edge = (home + 1) * F.lit(width) - F.lit(back)
     copies = F.when(F.col(at) >= edge, F.array(home, home + 1)).otherwise(F.array(home))
     spread = df.withColumn(SLICE, F.explode(copies))
-    return spread.withColumn(OWN, F.col(SLICE) == slice_of(at, width))
+    return spread.withColumn(OWN, F.col(SLICE).eqNullSafe(slice_of(at, width)))
 
 
 def halo_numbers(wide: DataFrame, df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str], name: str, width: int) -> DataFrame:
@@ -80,7 +83,17 @@ def count_back(keys: Sequence[str], at: str, ties: Sequence[str], span: int, tes
     too_old = F.count(unit).over(
         in_slice(keys, at).rangeBetween(Window.unboundedPreceding, -span - 1)
     )
-    return so_far - too_old
+    return F.when(F.col(at).isNotNull(), so_far - too_old)
+
+
+def _with_room(rows: DataFrame, room: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the slices that have room, with ``_n`` and ``_room``; null keys and slices match themselves."""
+    names = [*keys, SLICE]
+    other = room.select(*[F.col(name).alias(f"_of_{name}") for name in names], "_n", "_room")
+    same = F.lit(True)
+    for name in names:
+        same = same & rows[name].eqNullSafe(other[f"_of_{name}"])
+    return rows.join(other, same).drop(*[f"_of_{name}" for name in names])
 
 
 def running(
@@ -139,9 +152,11 @@ def numbered(
 def newest(
     df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str], limit: int, width: int = HOUR
 ) -> DataFrame:
-    """The last ``limit`` rows of each key in (at, ties) order."""
+    """The last ``limit`` rows of each key in (at, ties) order; without keys, of all rows."""
+    if not keys:
+        return df.orderBy(F.desc(at), *[F.desc(t) for t in ties]).limit(limit)
     sliced = df.withColumn(SLICE, slice_of(at, width))
-    later = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(SLICE)).rowsBetween(
+    later = Window.partitionBy(*keys).orderBy(F.desc(SLICE)).rowsBetween(
         Window.unboundedPreceding, -1
     )
     counts = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
@@ -149,11 +164,9 @@ def newest(
         counts.withColumn("_room", F.lit(limit) - F.coalesce(F.sum("_n").over(later), F.lit(0)))
         .filter("_room > 0")
     )
-    kept = sliced.join(room, [*keys, SLICE])
     rank = F.row_number().over(in_slice(keys, F.desc(at), *[F.desc(t) for t in ties]))
-    whole = kept.filter("_n <= _room")
-    cut = kept.filter("_n > _room").withColumn("_rank", rank).filter("_rank <= _room").drop("_rank")
-    return whole.unionByName(cut).drop(SLICE, "_n", "_room")
+    ranked = _with_room(sliced, room, keys).withColumn("_rank", rank).filter("_rank <= _room")
+    return ranked.drop(SLICE, "_n", "_room", "_rank")
 
 
 def lowest(
@@ -161,7 +174,7 @@ def lowest(
 ) -> DataFrame:
     """The rows with the smallest hex rank of each key, up to the column ``limit``.
 
-    Ranks are cut by their leading ``digits``; only the cell where the limit falls is sorted.
+    Ranks are cut by their leading ``digits``; cells beyond the limit are left out before rows are ranked.
     """
     celled = df.withColumn(SLICE, F.substring(rank_hex, 1, digits)).withColumn("_limit", limit)
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -172,11 +185,9 @@ def lowest(
         .filter("_room > 0")
         .drop("_top")
     )
-    kept = celled.join(room, [*keys, SLICE])
     rank = F.row_number().over(in_slice(keys, rank_hex))
-    whole = kept.filter("_n <= _room")
-    cut = kept.filter("_n > _room").withColumn("_rank", rank).filter("_rank <= _room").drop("_rank")
-    return whole.unionByName(cut).drop(SLICE, "_n", "_room", "_limit")
+    ranked = _with_room(celled, room, keys).withColumn("_rank", rank).filter("_rank <= _room")
+    return ranked.drop(SLICE, "_n", "_room", "_limit", "_rank")
 
 
 def sessions(

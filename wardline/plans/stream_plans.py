@@ -198,15 +198,15 @@ def _windows(spark, sf_dir):
 
 @plan("online_learning_batches")
 def _online(spark, sf_dir):
-    """Five daily-range batches: each is scored with the model of the batches before, then learned."""
+    """Batches of six days, as many as there are: each is scored with the model of the batches before, then learned."""
     rows = featured(spark, sf_dir).select("event_id", "at", "seq", *FEATURE_ORDER, (F.col("k") > 60).cast("int").alias("label"))
     place = scratch(spark, "online")
     kept = f"{place}/scored"
-    begin = rows.agg(F.min("at")).first()[0]
+    begin, end = rows.agg(F.min("at"), F.max("at")).first()
     sink = lambda scored, number: scored.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{kept}/part={number}")
     handle = learn_batches(f"{place}/state", sink=sink)
     settled = rows.persist()
-    for number in range(5):
+    for number in range((end - begin) // (6 * DAY) + 1 if end is not None else 0):
         low = begin + number * 6 * DAY
         handle(settled.filter(F.col("at").between(low, low + 6 * DAY - 1)), number)
     settled.unpersist()

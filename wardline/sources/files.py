@@ -46,12 +46,12 @@ def read_events_jsonl(
 def append_events(df: DataFrame, path: str, at: str = "at", tenant: str = "tenant_id", form: str = "parquet") -> None:
     """Append to an event store laid out by day and tenant, so range and tenant reads prune folders.
 
-    Rows are spread by day, tenant and a hash of the row, so one busy tenant writes from many
-    tasks and a day does not break into a file per task.
+    Rows are rebalanced by day and tenant: adaptive execution splits a busy tenant over many tasks by
+    its size, and a day does not break into a file per task.
     """
     day = F.to_date(F.timestamp_micros(F.col(at)))
     dated = df.withColumn("day", day)
-    spread = dated.repartition("day", tenant, F.pmod(F.xxhash64(*df.columns[:3]), F.lit(16)))
+    spread = dated.hint("rebalance", "day", tenant)
     spread.write.mode("append").partitionBy("day", tenant).format(form).save(path)
 
 
