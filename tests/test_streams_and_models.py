@@ -30,7 +30,7 @@ def made_events(spark):
     rows = []
     for i in range(300):
         kind = ["login_failure", "process_create", "network_connection", "login_success"][i * 7 % 4]
-        rows.append((f"e{i}", i, i * 97 % 40 * SECOND + i * 30 * SECOND, f"u{i % 3}", f"h{i % 2}", kind, f"10.0.0.{i * i % 5}", "auth", "low", "none", "t0"))
+        rows.append((f"e{i}", i, (1 + i * 97 % 40 + i * 30) * SECOND, f"u{i % 3}", f"h{i % 2}", kind, f"10.0.0.{i * i % 5}", "auth", "low", "none", "t0"))
     schema = "event_id string, seq bigint, at bigint, user_name string, host string, event_type string, ip_address string, source string, severity string, attack_type string, tenant_id string"
     return spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("at"))
 
@@ -156,3 +156,75 @@ def test_training_saves_and_loads(spark, tables):
 def test_online_plan_runs(spark, tables):
     rows = PLANS["online_learning_batches"](spark, tables).collect()
     assert sum(r.events for r in rows) == spark.read.parquet(f"{tables}/events.parquet").count()
+
+
+def test_late_rows_and_disorder(spark):
+    """Rows late within the watermark count the rows up to their time; rows behind it are dropped and counted."""
+    events = made_events(spark).cache()
+    second = F.col("at") / SECOND
+    late, lost = (second >= 2900) & (second < 3000), (second >= 900) & (second < 1000)
+    parts = [events.filter((second < 3100) & ~late & ~lost), events.filter(late), events.filter((second >= 3100) & (second < 9000))]
+    parts += [events.filter(lost), events.filter(second >= 9000)]
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    parts[0].limit(0).write.mode("overwrite").parquet(f"{folder}/in")
+    stream = jobs.window_features(spark.readStream.schema(parts[0].schema).parquet(f"{folder}/in"))
+    dropped = 0
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        query = stream_sink(stream, f"{folder}/checkpoint", path=f"{folder}/out", once=True).start()
+        query.awaitTermination()
+        dropped += sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
+    names = ["login_frequency", "request_rate", "ip_change_frequency", "related_event_count", "suspicious_chain"]
+    got = {r.event_id: tuple(r[n] for n in names) for r in spark.read.schema(stream.schema).parquet(f"{folder}/out").collect()}
+    rows = {r.event_id: r.at / SECOND for r in events.collect()}
+    gone = {e for e, t in rows.items() if 900 <= t < 1000}
+    assert gone and not gone & set(got) and dropped == len(gone)
+    batch = behavior.suspicious_chain(ip_change_frequency(activity_rates(events.filter(~lost))))
+    want = {r.event_id: tuple(r[n] for n in names) for r in batch.collect()}
+    # Rows that were out before a late one came could not count it; all others equal the batch.
+    assert {e: v for e, v in got.items() if rows[e] < 3000} == {e: v for e, v in want.items() if rows[e] < 3000}
+    assert {e: v for e, v in got.items() if rows[e] >= 9000} == {e: v for e, v in want.items() if rows[e] >= 9000}
+
+
+def test_dead_letters_keep_the_line_and_can_be_replayed(spark):
+    lines = [
+        '{"event_id": "a", "tenant_id": "t1", "timestamp": "2024-01-01T00:00:00", "risk_score": "much", "user": "u"}',
+        '{"event_id": "b", "timestamp": "2024-01-01T00:00:00"}',
+        '{"event_id": "c", "tenant_id": "t1", "timestamp": "soon"}',
+        '{"event_id": "d", "tenant_id',
+        '{"event_id": "e", "tenant_id": "t1", "timestamp": "2024-01-01T00:00:00"}',
+    ]
+    frame = spark.createDataFrame([(x,) for x in lines], "value string")
+    bad = {r.value: r.dlq_reason for r in run_parts(spark, [frame], lambda s: jobs.ingest_stream(s)[1]).collect()}
+    assert bad == {
+        lines[0]: "a number or the severity is not readable", lines[1]: "tenant_id is required",
+        lines[2]: "timestamp is not readable", lines[3]: "malformed JSON",
+    }
+    mended = [x.replace("much", "7").replace('"b"', '"b", "tenant_id": "t2"').replace("soon", "2024-01-02T00:00:00") for x in bad if x != lines[3]]
+    again = spark.createDataFrame([(x,) for x in mended], "value string")
+    good = run_parts(spark, [frame, again], lambda s: jobs.ingest_stream(s)[0])
+    assert {(r.event_id, r.tenant_id) for r in good.collect()} == {("a", "t1"), ("b", "t2"), ("c", "t1"), ("e", "t1")}
+
+
+def test_rows_without_time_or_key_stay(spark):
+    from wardline.operators import slices
+
+    rows = [(None, 5, 1), (None, 7, 2), ("u", None, 3), ("u", 4, 4), ("u", 9, 5), (None, None, 6)]
+    frame = spark.createDataFrame(rows, "user_name string, at bigint, seq bigint")
+    assert {r.seq for r in slices.newest(frame, ["user_name"], "at", ["seq"], 2, 3).collect()} == {1, 2, 4, 5}
+    assert {r.seq for r in slices.newest(frame, ["user_name"], "at", ["seq"], 9, 3).collect()} == {1, 2, 3, 4, 5, 6}
+    assert {r.seq for r in slices.newest(frame, [], "at", ["seq"], 4).collect()} == {1, 2, 4, 5}
+    hashed = frame.withColumn("h", F.sha2(F.col("seq").cast("string"), 256))
+    assert slices.lowest(hashed, ["user_name"], "h", F.lit(9), digits=1).count() == 6
+    wide = slices.halo(frame, "at", 3)
+    counted = slices.own_rows(wide.withColumn("n", slices.count_back(["user_name"], "at", ["seq"], 3))).collect()
+    assert {r.seq: r.n for r in counted} == {1: 1, 2: 2, 3: None, 4: 1, 5: 1, 6: None}
+    assert slices.sessions(frame, ["user_name"], "at", ["seq"], 2).count() == 6
+
+
+def test_exact_quantile(spark):
+    values = [0.1] * 50 + [i / 977 for i in range(900)] + [0.5 + 1e-15 * i for i in range(300)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for share in (0.0, 0.3, 0.5, 0.92, 1.0):
+        wanted = min(v for v in values if sum(w <= v for w in values) >= share * len(values))
+        assert isolation.exact_quantile(frame, "x", share) == wanted

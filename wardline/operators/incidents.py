@@ -36,6 +36,12 @@ def incident_attack_type(df: DataFrame) -> Column:
     )
 
 
+def incident_parts(df: DataFrame, user: str) -> tuple[Column, Column, Column]:
+    """User, source and device that, after the attack type, make the key of an incident."""
+    device = F.coalesce(coalesce_fields(df, ["device_id", "device"]), F.lit("unknown"))
+    return F.coalesce(F.col(user), F.lit("unknown")), field(df, "source", "unknown"), device
+
+
 def sessionize_incidents(
     df: DataFrame,
     gap: float = GAP_SECONDS,
@@ -48,16 +54,13 @@ def sessionize_incidents(
     risky = df.filter(
         (F.coalesce(F.col("risk_score"), F.lit(0.0)) >= RISKY) | F.col("severity").isin("high", "critical")
     )
-    device = F.coalesce(coalesce_fields(df, ["device_id", "device"]), F.lit("unknown"))
     keyed = risky.withColumns(
         {
             "incident_attack": incident_attack_type(df),
             "incident_key": F.concat_ws(
                 "|",
                 incident_attack_type(df),
-                F.coalesce(F.col(user), F.lit("unknown")),
-                field(df, "source", "unknown"),
-                device,
+                *incident_parts(df, user),
             ),
         }
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +53,8 @@ def merged(first: Column, second: Column) -> Column:
     return F.map_concat(kept, second)
 
 
-def canonicalize(df: DataFrame) -> DataFrame:
-    """Any event frame to the eighteen canonical columns.
+def canonicalize(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Any event frame to the eighteen canonical columns, with the columns of ``keep`` beside them.
 
     Null stands for a missing key.  Unknown columns go to ``metadata``.  A row whose numbers
     cannot be read, or whose severity is a known word in another case, becomes the fallback
@@ -74,7 +74,7 @@ def canonicalize(df: DataFrame) -> DataFrame:
     metadata = _map(df, "metadata")
     used = {n for names in CANONICAL_ALIASES.values() for n in names[:1]} | set(CANONICAL)
     kinds = dict(df.dtypes)
-    extras = [name for name in df.columns if name not in used and name not in ("raw", "raw_features")]
+    extras = [name for name in df.columns if name not in used and name not in ("raw", "raw_features", *keep)]
     if extras:
         # Plain values as text, nested ones as JSON.
         texts = {n: F.to_json(n) if kinds[n].startswith(("map", "array", "struct")) else F.col(n).cast("string") for n in extras}
@@ -96,7 +96,7 @@ def canonicalize(df: DataFrame) -> DataFrame:
     score = F.coalesce(numbers["risk_score"].try_cast("double"), F.lit(0.0))
     severity = F.when(F.lower(given).isin(risk.SEVERITIES), given).otherwise(risk.severity_band(score))
     identity = F.coalesce(
-        coalesce_fields(df, ["event_id"]), F.sha2(F.to_json(F.struct(*df.columns)), 256)
+        coalesce_fields(df, ["event_id"]), F.sha2(F.to_json(F.struct(*[c for c in df.columns if c not in keep])), 256)
     )
     good = {
         "event_id": identity,
@@ -122,7 +122,8 @@ def canonicalize(df: DataFrame) -> DataFrame:
         "metadata": F.create_map().cast(MAP),
         "ml_score": F.lit(0.0), "risk_score": F.lit(0.0), "anomaly_score": F.lit(0.0), "label": F.lit(0),
     }
-    return df.select(*[F.when(broken, blank[name]).otherwise(good[name]).alias(name) for name in CANONICAL])
+    made = [F.when(broken, blank[name]).otherwise(good[name]).alias(name) for name in CANONICAL]
+    return df.select(*made, *keep)
 
 
 def fill_missing(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:

@@ -1,13 +1,14 @@
 """Streaming jobs.  Each takes a streaming frame and returns one (or more) to be written.
 
-Event time counts: within a micro-batch a key's rows are handled in (time, id) order, and
-rows older than the watermark are dropped by Spark and show in its progress metrics.
+Event time counts: within a micro-batch a key's rows are handled in (time, id) order. In window
+features and incidents, rows older than the watermark are dropped by Spark and show in its progress
+metrics; alert throttles take rows as they come.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wardline.functions import risk
 from wardline.functions.casts import instant, seconds_to_micros
 from wardline.operators import alerts, behavior, normalize, quality, scoring, ueba
-from wardline.operators.incidents import GAP_SECONDS, RISKY, incident_attack_type
+from wardline.operators.incidents import GAP_SECONDS, RISKY, incident_attack_type, incident_parts
 from wardline.operators.stream_features import (
     ADDRESS_RING,
     LOGIN_FULL,
@@ -34,35 +35,28 @@ from wardline.sources.schemas import CANONICAL_EVENT
 from wardline.streaming.io import use_rocksdb
 
 USER_STATE = "body string"
+# A user's addresses are forgotten when no row came for this long after the windows have passed.
+IDLE_MS = 30 * 24 * 3600 * 1000
 WINDOW_SCHEMA = (
     "login_frequency double, request_rate double, ip_change_frequency double, related_event_count bigint, suspicious_chain boolean"
 )
 
 
-class HostTrail:
-    """What a host's chain check needs: the last row times, and the latest row of each needed type."""
-
-    def __init__(self, times=(), rows: int = 0, last=None) -> None:
-        self.times, self.rows, self.last = list(times), rows, dict(last or {})
-
-    def add(self, at: int, kind: str, span: int, limit: int) -> tuple[int, bool]:
-        self.rows += 1
-        insort(self.times, at)
-        del self.times[:-limit]
-        if kind in behavior.CHAIN_TYPES:
-            self.last[kind] = [at, self.rows]
-        recent = [
-            kind in self.last and self.last[kind][0] >= at - span and self.last[kind][1] > self.rows - limit
-            for kind in behavior.CHAIN_TYPES
-        ]
-        return len(self.times) - bisect_left(self.times, at - span), all(recent)
+def _kept(rows: list, watermark: int, limit: int, span: int = 0) -> list:
+    """What later rows may look back on: rows after the watermark, and before it the last ``limit``
+    (of those that a look-back of ``span`` from the watermark reaches, if there is a span)."""
+    old = bisect_left(rows, [watermark])
+    reached = bisect_left(rows, [watermark - span]) if span else 0
+    return rows[max(old - limit, reached, 0) :]
 
 
 class UserWindows(StatefulProcessor):
-    """Window features of one user, row by row.
+    """Window features of one user, row by row in event time.
 
-    The state holds as many times as saturate the rates, the ring of addresses, and a trail for
-    each host seen within the chain window.
+    A row counts the rows at or before it only, however late it comes within the watermark. The state
+    holds the rows after the watermark, and of those before it as many as rates, the ring of addresses and
+    a host's chain check can look back on. Rows behind the watermark are dropped and counted by Spark;
+    a timer clears the state of a user that has been idle for the chain window.
     """
 
     def __init__(self, columns: list[str], login: int, request: int, chain: int, chain_rows: int) -> None:
@@ -70,40 +64,54 @@ class UserWindows(StatefulProcessor):
         self.chain, self.chain_rows = chain, chain_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("windows", USER_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable").reset_index(drop=True)
-        held = json.loads(self.state.get()[0]) if self.state.exists() else {"times": [], "ips": [], "hosts": {}}
-        times, ips = held["times"], held["ips"]
-        hosts = {host: HostTrail(*parts) for host, parts in held["hosts"].items()}
+        held = json.loads(self.state.get()[0]) if self.state.exists() else {"seen": [], "hosts": {}}
+        seen, hosts = held["seen"], held["hosts"]
         full = max(LOGIN_FULL, REQUEST_FULL)
         made = []
-        for at, address, host, kind in zip(
-            frame["at"].tolist(), frame["ip_address"].tolist(), frame["host"].tolist(), frame["event_type"].tolist()
+        for at, seq, address, host, kind in zip(
+            frame["at"].tolist(), frame["seq"].tolist(), frame["ip_address"].tolist(), frame["host"].tolist(), frame["event_type"].tolist()
         ):
-            insort(times, at)
-            del times[:-full]
-            ips = (ips + [address if address is not None else "unknown"])[-ADDRESS_RING:]
+            row = [at, seq, address if address is not None else "unknown"]
+            here = bisect_right(seen, row)
+            seen.insert(here, row)
+            logins = here + 1 - bisect_left(seen, [at - self.login])
+            requests = here + 1 - bisect_left(seen, [at - self.request])
+            ips = [r[2] for r in seen[max(here + 1 - ADDRESS_RING, 0) : here + 1]]
             changes = sum(a != b for a, b in zip(ips, ips[1:]))
-            related, complete = hosts.setdefault(str(host), HostTrail()).add(at, kind, self.chain, self.chain_rows)
-            logins = len(times) - bisect_left(times, at - self.login)
-            requests = len(times) - bisect_left(times, at - self.request)
+            trail = hosts.setdefault(str(host), [])
+            step = [at, seq, kind if kind in behavior.CHAIN_TYPES else ""]
+            place = bisect_right(trail, step)
+            trail.insert(place, step)
+            first = max(bisect_left(trail, [at - self.chain]), place + 1 - self.chain_rows)
+            recent = {r[2] for r in trail[first : place + 1]}
             made.append(
                 (
                     round(min(logins / LOGIN_FULL, 1.0), 4),
                     round(min(requests / REQUEST_FULL, 1.0), 4),
                     round(changes / (len(ips) - 1), 4) if len(ips) > 1 else 0.0,
-                    related,
-                    complete,
+                    place + 1 - first,
+                    recent.issuperset(behavior.CHAIN_TYPES),
                 )
             )
-        horizon = times[-1] - self.chain
-        trails = {host: [t.times, t.rows, t.last] for host, t in hosts.items() if t.times[-1] >= horizon}
-        self.state.update((json.dumps({"times": times, "ips": ips, "hosts": trails}),))
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        trails = {host: _kept(trail, watermark, self.chain_rows, self.chain) for host, trail in hosts.items()}
+        seen = _kept(seen, watermark, max(full, ADDRESS_RING))
+        self.state.update((json.dumps({"seen": seen, "hosts": {h: t for h, t in trails.items() if t}}),))
+        self.handle.registerTimer((seen[-1][0] + max(self.chain, self.login, self.request)) // 1000 + IDLE_MS)
         names = [part.split()[0] for part in WINDOW_SCHEMA.split(", ")]
         yield pd.concat([frame[self.columns], pd.DataFrame(made, columns=names)], axis=1)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = json.loads(self.state.get()[0])["seen"][-1][0] if self.state.exists() else None
+        if last is not None and expiredTimerInfo.getExpiryTimeInMs() >= last // 1000 + IDLE_MS + max(self.chain, self.login, self.request) // 1000:
+            self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -126,7 +134,7 @@ def window_features(
     return (
         events.withWatermark("ts", lateness)
         .groupBy("user_name")
-        .transformWithStateInPandas(windows, schema, outputMode="Append", timeMode="None")
+        .transformWithStateInPandas(windows, schema, outputMode="Append", timeMode="EventTime")
     )
 
 
@@ -175,29 +183,27 @@ def windows_stream(records: DataFrame, **windows) -> DataFrame:
 def ingest_stream(lines: DataFrame, schema: str = CANONICAL_EVENT, lateness: str = "1 hour") -> tuple[DataFrame, DataFrame]:
     """(canonical events, dead letters) of a stream of JSON lines; write each with its own query.
 
-    Events without a tenant or a readable time go to the dead letters.  Repeated ids are dropped
-    while the watermark remembers them.
+    Events without a tenant, a readable time or readable numbers go to the dead letters, as the line
+    they came as and with the reason, so that they can be mended and replayed.  Repeated ids are
+    dropped while the watermark remembers them.
     """
-    good, malformed = parse_json_lines(lines, schema)
+    kept = lines.withColumn("_line", F.col("value"))
+    good, malformed = parse_json_lines(kept, schema)
     tenant = F.nullif(F.coalesce(F.col("tenant_id"), F.try_element_at("metadata", F.lit("tenant_id"))), F.lit(""))
-    checked = normalize.canonicalize(good.withColumn("_tenant", tenant).drop("tenant_id")).withColumn(
-        "tenant_id", F.try_element_at("metadata", F.lit("_tenant"))
-    )
-    # Fallback rows keep their time but not their metadata: without a tenant they are rejected below.
-    timed = checked.withColumn("ts", instant("timestamp"))
+    checked = normalize.canonicalize(good.withColumn("_tenant", tenant).drop("tenant_id"), keep=["_line", "_tenant"])
+    timed = checked.withColumn("tenant_id", F.col("_tenant")).withColumn("ts", instant("timestamp"))
     reason = (
         F.when(F.col("tenant_id").isNull(), "tenant_id is required")
         .when(F.col("ts").isNull(), "timestamp is not readable")
+        .when(F.col("event_id") == normalize.FALLBACK["event_id"], "a number or the severity is not readable")
     )
     judged = timed.withColumn("dlq_reason", reason)
     events = (
-        judged.filter("dlq_reason IS NULL").drop("dlq_reason")
+        judged.filter("dlq_reason IS NULL").drop("dlq_reason", "_line", "_tenant")
         .withWatermark("ts", lateness)
         .dropDuplicatesWithinWatermark(["event_id"])
     )
-    rejected = judged.filter("dlq_reason IS NOT NULL").select(
-        F.to_json(F.struct(*[c for c in judged.columns if c != "dlq_reason"])).alias("value"), "dlq_reason"
-    )
+    rejected = judged.filter("dlq_reason IS NOT NULL").select(F.col("_line").alias("value"), "dlq_reason")
     return events, rejected.unionByName(malformed.select("value", "dlq_reason"))
 
 
@@ -205,12 +211,12 @@ def incident_stream(
     scored: DataFrame, gap: float = GAP_SECONDS, lateness: str = "10 minutes", user: str = "user_name"
 ) -> DataFrame:
     """Incidents as session windows, emitted once no event can extend them any more."""
-    risky = scored.filter((F.col("risk_score") >= RISKY) | F.col("severity").isin("high", "critical"))
+    risky = scored.filter((F.coalesce(F.col("risk_score"), F.lit(0.0)) >= RISKY) | F.col("severity").isin("high", "critical"))
     keyed = risky.withColumn("attack_type", incident_attack_type(scored)).withWatermark("ts", lateness)
-    device = F.col("device") if "device" in scored.columns else F.lit("unknown")
+    who, source, device = incident_parts(scored, user)
     sessions = keyed.groupBy(
-        F.session_window("ts", f"{int(gap)} seconds").alias("_window"), "attack_type", F.col(user).alias("user"),
-        "source", device.alias("device"),
+        F.session_window("ts", f"{int(gap)} seconds").alias("_window"), "attack_type", who.alias("user"),
+        source.alias("source"), device.alias("device"),
     ).agg(
         F.count(F.lit(1)).alias("event_count"), F.min("at").alias("start_at"), F.max("at").alias("end_at"),
         F.max("risk_score").alias("peak_risk"), F.max(risk.severity_rank("severity")).alias("_rank"),
