@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from wardline.llm.shared import ready_python
+from wardline.llm.shared import Scratch, ready_python
 
 Q = 8
 #: Edits allowed, as a share of a passage.
@@ -244,12 +245,13 @@ def matches(
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = total // BLOCK_CHARS + 1
     kinds = {c: t for c, t in [*docs.select(F.col(key).alias("key")).dtypes, *items.dtypes]}
+    types = [to_arrow_type(items.schema["item"].dataType), *[pa.int64()] * 3]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = None
     for block in range(blocks):
         # A block's items reach the driver and then every worker; its size is bounded whatever the benchmark's.
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        own = sorted(((r["item"], r["text"]) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        own = sorted(((r["item"], r["text"]) for r in own), key=lambda r: (r[0] is None, () if r[0] is None else (r[0],), r[1]))
         shared = spark.sparkContext.broadcast(Index.of(own, error))
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -260,10 +262,23 @@ def matches(
                     for match in found_in(text.as_py(), shared.value):
                         at.append(i)
                         out.append(match)
-                columns = [pa.array(c) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4
+                columns = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, types)]
                 columns = [keys.take(pa.array(at, pa.int64())), *columns]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "item", "start", "end", "edits"])
 
         part = rows.mapInArrow(searched, f"key {kinds['key']}, item {kinds['item']}, start long, end long, edits long")
         found = part if found is None else found.unionByName(part)
     return found.select(F.col("key").alias(key), F.col("item").alias(item), "start", "end", "edits")
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item; ``settings`` as for ``matches``.
+
+    Rows are told apart by number, so null and repeated keys don't matter; ``docs`` must be a table that
+    reads alike each time.
+    """
+    number = "row number of matches"
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    held = matches(numbered, benchmark, number, text, **settings).select(number).distinct()
+    held = Scratch(docs.sparkSession).keep(held, "held")
+    return numbered.join(held, number, "left_anti").drop(number)

@@ -374,6 +374,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     table = f"texts_{scratch.folder[-32:]}"
     rows.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", scratch.path("texts")).format("parquet").saveAsTable(table)
     texts = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and the frame reads them
     filed = texts.select("row", "data").mapInArrow(
         lambda b: _filed(b, length, gram), "row long, anchor long, name long, n long, low long, high long"
     )
