@@ -80,8 +80,13 @@ def _low(segments: int) -> int:
 
 
 def _within(left: Column, right: Column, differing: int) -> Column:
-    """All prefixes of the chain, and with the last one all bits, keep to their budgets."""
-    odd, keeps = left.bitwiseXOR(right), F.lit(True)
+    """All prefixes of the chain, and with the last one all bits, keep to their budgets.
+
+    A chain whose segment before its start is equal too can begin there as well: its sums are those of a
+    shorter prefix. So chains begin where the segment before differs, and a pair is met less often.
+    """
+    odd = left.bitwiseXOR(right)
+    keeps = (F.shiftrightunsigned(odd, 64 - WIDTH) != 0) | (odd == 0)
     for length in range(1, SEGMENTS + 1):
         keeps &= F.bit_count(odd.bitwiseAND(F.lit(_low(length)))) <= length * differing // SEGMENTS
     return keeps
