@@ -12,7 +12,7 @@ import codecs
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import ahocorasick
 import pandas as pd
@@ -24,10 +24,12 @@ from wardline.llm.shared import ready_python
 
 SPACE = "▁"
 #: Memo of chunk encodings: number of chunks, and the longest chunk kept. Memos only save time.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 800_000
 MEMO_CHARS = 48
 #: Pairs of neighbours whose compatibility is remembered.
 MEMO_PAIRS = 1_000_000
+#: Texts of this length are taken word by word rather than as a list of words.
+LONG_TEXT = 1 << 20
 #: Positions for which matches are held at a time.
 BLOCK = 4096
 #: Normalised as it is by models that this encoder takes.
@@ -62,16 +64,22 @@ class PieceCodec:
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.control = {i for i in range(size) if source.is_control(i)}
         self.longest = max(map(len, self.ids))
+        # Pieces that merging never makes are left out; a character without a piece stands for itself.
+        made = {piece: i for piece, i in self.ids.items() if len(piece) == 1 or self.merged(piece) == [piece]}
         self.finder = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.finder.add_word(piece, self.ids[piece])
+        for piece, i in made.items():
+            self.finder.add_word(piece, (len(piece) - 1, i))
         self.finder.make_automaton()
+        #: By id of a piece: the next shorter token that starts alike, or -1.
+        self.shorter = [-1] * size
+        for piece, i in made.items():
+            starts = (made[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in made)
+            self.shorter[i] = next(starts, size + ord(piece[0]) if len(piece) > 1 else -1)
         # Where no piece reaches from a word into the next space mark, words can be encoded one by one.
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.lengths = list(map(len, self.pieces))
         self.fits: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -97,27 +105,19 @@ class PieceCodec:
             self.fits[left << 21 | right] = fits
         return fits
 
-    def _options(self, text: str, block: int) -> list[list[int]]:
-        """By position of the block: the tokens that start there, shortest first.
-
-        Pieces that merging never makes are left out; a character without a piece stands for itself.
-        """
+    def _longest(self, text: str, block: int) -> list[int]:
+        """By position of the block: the longest token that starts there."""
         start = block * BLOCK
         size = min(BLOCK, len(text) - start)
-        found: list[list[int]] = [[] for _ in range(size)]
-        lengths, whole = self.lengths, self.whole
-        for last, token in self.finder.iter(text, start, min(start + size + self.longest, len(text))):
-            at = last + 1 - lengths[token] - start
+        found = [-1] * size
+        # Matches come by their end, so a longer one at the same start comes later.
+        for last, (back, token) in self.finder.iter(text, start, min(start + size + self.longest, len(text))):
+            at = last - back - start
             if at < size:
-                known = whole.get(token)
-                if known is None:
-                    piece = self.pieces[token]
-                    known = whole[token] = self.merged(piece) == [piece]
-                if known:
-                    found[at].append(token)
-        for at, tokens in enumerate(found):
-            if not tokens or lengths[tokens[0]] > 1:
-                tokens.insert(0, len(self.pieces) + ord(text[start + at]))
+                found[at] = token
+        if -1 in found:
+            base = len(self.pieces)
+            found = [base + ord(text[start + at]) if token < 0 else token for at, token in enumerate(found)]
         return found
 
     def split(self, text: str) -> list[int]:
@@ -125,41 +125,38 @@ class PieceCodec:
         size, at = len(text), 0
         failed = bytearray(size // 8 + 1)
         taken: list[int] = []
-        left: list[int] = []  # by taken token: how many shorter ones are untried there
-        blocks: dict[int, list[list[int]]] = {}
-        lengths, fits, highest = self.lengths, self.fits, len(self.pieces)
-        untried = -1
+        blocks: dict[int, list[int]] = {}
+        lengths, fits, highest, shorter = self.lengths, self.fits, len(self.pieces), self.shorter
+        token, before, block, longest = -2, -1, -1, []
         while at < size:
-            block = at // BLOCK
-            options = blocks.get(block)
-            if options is None:
-                if len(blocks) > 2:
-                    blocks.clear()
-                options = blocks[block] = self._options(text, block)
-            here = options[at - block * BLOCK]
-            if untried < 0:
-                untried = len(here)
-            before = taken[-1] if taken else -1
-            while untried:
-                untried -= 1
-                token = here[untried]
+            if token == -2:
+                if at // BLOCK != block:
+                    block = at // BLOCK
+                    if block not in blocks:
+                        if len(blocks) > 2:
+                            blocks.clear()
+                        blocks[block] = self._longest(text, block)
+                    longest = blocks[block]
+                token = longest[at - block * BLOCK]
+            while token >= 0:
                 end = at + (lengths[token] if token < highest else 1)
-                if failed[end >> 3] >> (end & 7) & 1:
-                    continue
-                if before < 0:
-                    break
-                known = fits.get(before << 21 | token)
-                if self._fit(before, token) if known is None else known:
-                    break
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if before < 0:
+                        break
+                    known = fits.get(before << 21 | token)
+                    if self._fit(before, token) if known is None else known:
+                        break
+                token = shorter[token] if token < highest else -1
             else:
+                # No token fits here: never come back, and shorten the one before.
                 failed[at >> 3] |= 1 << (at & 7)
-                token = taken.pop()
-                at -= lengths[token] if token < highest else 1
-                untried = left.pop()
+                before = taken.pop()
+                at -= lengths[before] if before < highest else 1
+                token = shorter[before] if before < highest else -1
+                before = taken[-1] if taken else -1
                 continue
             taken.append(token)
-            left.append(untried)
-            at, untried = end, -1
+            before, at, token = token, end, -2
         return taken
 
     def _ids(self, chunk: str) -> tuple[int, ...]:
@@ -189,12 +186,12 @@ class PieceCodec:
             ids.append(self.end)
         return ids
 
-    def _chunks(self, marked: str) -> Iterator[str]:
+    def _chunks(self, marked: str) -> Iterable[str]:
         if not self.by_word:
-            yield marked
-            return
-        for match in self.words.finditer(marked):
-            yield match[0]
+            return (marked,)
+        if len(marked) < LONG_TEXT:
+            return self.words.findall(marked)
+        return (match[0] for match in self.words.finditer(marked))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: control ids are nothing, bytes that make no character are marks each."""
@@ -258,7 +255,7 @@ def decoded(spark: SparkSession, ids: Column, model: bytes) -> Column:
     @F.pandas_udf("string")
     def text_of(lists: pd.Series) -> pd.Series:
         own = codec(model)
-        return lists.map(lambda i: own.decode([] if i is None else i.tolist()))
+        return lists.map(lambda i: own.decode([] if i is None else list(i)))
 
     return text_of(ids)
 
