@@ -19,7 +19,7 @@ PIECES = "piece_bpe_32k.model"
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity limit, by a model fitted on the labelled ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(toxicity.labelled(docs, labels))
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
     return docs.where(toxicity.scores(spark, F.col("text"), model) < TOXIC)
 
 
@@ -31,10 +31,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    held = decontaminate.matches(docs, benchmark).select("doc_id").distinct()
-    held = Scratch(spark).keep(held, "contaminated")
-    hit = held.select(F.col("doc_id").alias("hit"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit"]), "left_anti")
+    return decontaminate.without_items(docs, benchmark)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

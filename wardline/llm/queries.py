@@ -87,7 +87,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.train(toxicity.labelled(docs, labels))
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
     scored = docs.select("doc_id", toxicity.held_out().alias("held_out"), toxicity.scores(spark, F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

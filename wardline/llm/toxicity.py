@@ -107,29 +107,30 @@ class Model:
         return float(1 / (1 + np.exp(-(self.bias + self.weights[at] @ values))))
 
 
-@dataclass
 class Rows:
-    """Sparse rows end to end."""
-
-    at: np.ndarray
-    values: np.ndarray
-    row: np.ndarray
-    size: int
-
-    @classmethod
-    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
-        sizes = [len(at) for at, _ in vectors]
-        empty = (np.empty(0, np.int32), np.empty(0, np.float32))
-        return cls(
-            np.concatenate([at for at, _ in [*vectors, empty]]), np.concatenate([v for _, v in [*vectors, empty]]),
-            np.repeat(np.arange(len(vectors)), sizes), len(vectors),
-        )
+    """Sparse rows end to end, in blocks, so that sums over them need little memory beside."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], block: int = 256) -> None:
+        self.size = len(vectors)
+        self.blocks = []
+        for start in range(0, len(vectors), block):
+            part = vectors[start : start + block]
+            row = np.repeat(np.arange(len(part), dtype=np.int32), [len(at) for at, _ in part])
+            self.blocks.append((np.concatenate([at for at, _ in part]), np.concatenate([v for _, v in part]), row, len(part)))
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.at] * self.values, self.size)
+        return np.concatenate([np.bincount(row, weights[at] * values, n) for at, values, row, n in self.blocks] or [np.zeros(0)])
 
     def back(self, errors: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, errors[self.row] * self.values, DIMENSIONS)
+        out, start = np.zeros(DIMENSIONS), 0
+        for at, values, row, n in self.blocks:
+            out += np.bincount(at, errors[start : start + n][row] * values, DIMENSIONS)
+            start += n
+        return out
+
+    def counts(self) -> np.ndarray:
+        """Rows that have each feature."""
+        return sum((np.bincount(at, minlength=DIMENSIONS) for at, *_ in self.blocks), np.zeros(DIMENSIONS, int))
 
 
 def fit(rows: list[tuple], labels: list[int], pairs: list[tuple], fairness: float = FAIRNESS) -> Model:
@@ -141,9 +142,9 @@ def fit(rows: list[tuple], labels: list[int], pairs: list[tuple], fairness: floa
     share = float(np.mean(labels)) if labels else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(DIMENSIONS), 40.0 if share else -40.0)
-    x, y = Rows.of(rows), np.asarray(labels, float)
-    common = np.bincount(x.at, minlength=DIMENSIONS) >= LEAST_ROWS
-    one, other = Rows.of([p for p, _ in pairs]), Rows.of([q for _, q in pairs])
+    x, y = Rows(rows), np.asarray(labels, float)
+    common = x.counts() >= LEAST_ROWS
+    one, other = Rows([p for p, _ in pairs]), Rows([q for _, q in pairs])
     weights, bias = np.zeros(DIMENSIONS), float(np.log(share / (1 - share)))
     mean, spread = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for step in range(1, ROUNDS + 1):
@@ -161,13 +162,17 @@ def fit(rows: list[tuple], labels: list[int], pairs: list[tuple], fairness: floa
     return Model(weights, float(bias))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, fairness: float = FAIRNESS) -> Model:
-    """Fit on the ``fit_rows`` different labelled texts of the lowest hash; rows without a label are left out.
+def train(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    fit_rows: int = FIT_ROWS, fairness: float = FAIRNESS,
+) -> Model:
+    """Fit on the ``fit_rows`` different labelled texts of the lowest hash.
 
-    Copies with the same label count once. Texts become hashed vectors in Spark's tasks; only those of the
-    fitted rows reach the driver.
+    ``labels`` has (key, label) of the rows to learn from; those without a label 0 or 1, or without a
+    document, are left out, and copies with the same label count once. Hashes are chosen by keys alone;
+    then the chosen texts become hashed vectors in Spark's tasks, and only those reach the driver.
     """
-    ready_python(labelled.sparkSession)
+    ready_python(docs.sparkSession)
 
     @F.pandas_udf("at binary, value binary, other_at binary, other_value binary")
     def vectors(texts: pd.Series) -> pd.DataFrame:
@@ -180,13 +185,12 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", fit_row
             out.append((at.tobytes(), value.tobytes(), *(None if v is None else v.tobytes() for v in (other_at, other_value))))
         return pd.DataFrame(out, columns=["at", "value", "other_at", "other_value"])
 
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-    rows = rows.withColumn("mark", F.xxhash64("text"))
-    few = rows.select("mark", "label").distinct().orderBy("mark", "label").limit(fit_rows)
-    last = few.agg(F.max("mark")).first()[0]
-    if last is None:
-        return fit([], [], [])
-    chosen = rows.where(F.col("mark") <= last).select("mark", "label", vectors("text").alias("v"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    marks = rows.select("key", "mark").join(known, "key").groupBy("mark", "label").agg(F.min("key").alias("key"))
+    few = marks.orderBy("mark", "label").limit(fit_rows)
+    # At most fit_rows rows of three numbers are broadcast; a key may come more than once, so its text counts too.
+    chosen = rows.join(F.broadcast(few), ["key", "mark"]).select("mark", "label", vectors("text").alias("v"))
     found = chosen.select("mark", "label", "v.*").dropDuplicates(["mark", "label"]).collect()
     found.sort(key=lambda r: (r.mark, r.label))
 
@@ -215,9 +219,3 @@ def held_out(key: str = "doc_id") -> Column:
     """Rows that the model must not learn from: crc32 of the key as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
-
-def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(text, label) of labelled documents that are not held out; columns of the same name don't clash."""
-    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    theirs = labels.where(~held_out(key)).select(F.col(key).alias("key"), F.col(label).alias("toxic"))
-    return own.join(theirs, "key").select("text", "toxic")
