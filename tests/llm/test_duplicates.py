@@ -160,3 +160,17 @@ def test_probed_pairs_count_once(spark, monkeypatch):
     found = {r.vec_id: r.n_links for r in quantised.near_vectors(frame).collect()}
     assert all(found[i] <= degree[i] for i in found)
     assert sum(found.values()) >= 0.9 * degree.sum()
+
+
+def test_links_of_a_large_group_are_whole(spark):
+    """Most rows are near copies of each other, over more lists than a few probes reach."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=64) / 8
+    x = np.concatenate([base + rng.normal(size=(1000, 64)) * 0.029, rng.normal(size=(500, 64))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = quantised.unit(x)
+    near = unit @ unit.T >= 0.9
+    root = classes([(i, j) for i, j in zip(*np.nonzero(near)) if i < j], range(len(x)))
+    found = {r.vec_id: (r.n_links, r.component_id) for r in quantised.near_vectors(frame).collect()}
+    assert near[:1000, :1000].mean() > 0.99
+    assert found == {i: (near[i].sum() - 1, root[i]) for i in range(len(x))}

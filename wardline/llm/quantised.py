@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by product quantisation over coarse inverted lists.
 
 Every vector is filed under its nearest coarse centre, with its residual coded by sub-space. Each vector
-then asks the ``PROBES`` nearest lists: table look-ups give its approximate cosine to the coded vectors, the
-length of what the code leaves out bounds the error, and only pairs that may reach the threshold are
-compared exactly, in double precision. Centres and codes are fitted on a bounded sample; all rows are indexed.
+then asks every list that geometry allows to hold a vector at the threshold: table look-ups give its
+approximate cosine to the coded vectors, the length of what the code leaves out bounds the error, and only
+pairs that may reach the threshold are compared exactly, in double precision. So no link is lost, however
+the vectors lie. Centres and codes are fitted on a bounded sample; all rows are indexed.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.graph import components
@@ -23,11 +24,14 @@ from wardline.llm.shared import Scratch, ready_python
 SAMPLE = 20_000
 #: Lists: the square root of the number of vectors, at most so many.
 MOST_LISTS = 2000
-PROBES = 8
 SUBSPACES, CODES, ROUNDS = 8, 256, 8
-#: A list is cut into blocks of so many vectors, and those that ask it into blocks too: a task compares
-#: one block with one, however long the list is. Blocks change nothing in the result.
-FILED_BLOCK, ASKING_BLOCK, SLICE = 2048, 8192, 256
+#: Short lists are put together to blocks of at most so many vectors and long ones cut, and those that ask
+#: are cut into blocks too: a task compares one block with one. Blocks change nothing in the result.
+FILED_BLOCK, ASKING_BLOCK, SLICE = 8192, 8192, 256
+#: Fewer vectors are still dealt to about so many blocks, of LEAST_BLOCK vectors or more.
+BLOCKS, LEAST_BLOCK = 12, 64
+#: Room for rounding in angles and distances.
+_ROUNDING = 1e-6
 
 
 @dataclass
@@ -66,6 +70,75 @@ class Index:
         return np.concatenate(picked, axis=1)[:, : self.size]
 
 
+@dataclass
+class Regions:
+    """Lists put together to regions, by number, with the blocks of each and what can lie within reach.
+
+    Lists within reach of a vector are bounded twice. A list's vectors are within its largest angle of its
+    centre (triangle inequality), and they are nearer to its centre than to that of the vector's own list,
+    so the vector's distance to the plane between both centres is at most its distance to any of them.
+    """
+
+    index: Index
+    cosine: float
+    angles: np.ndarray  # the largest of each list, below 0 if it is empty
+    region: np.ndarray  # of each list, rising
+    turns: np.ndarray  # blocks that ask and blocks that are filed, by region
+    lots: np.ndarray
+
+    @classmethod
+    def of(cls, index: Index, cosine: float, filed: np.ndarray, angles: np.ndarray) -> Regions:
+        """``filed`` are the vectors of each list."""
+        even = max(LEAST_BLOCK, math.ceil(filed.sum() / BLOCKS))
+        held, asking = min(FILED_BLOCK, even), min(ASKING_BLOCK, even)
+        region, last, size = np.zeros(len(filed), int), 0, 0
+        for i, n in enumerate(filed):
+            if size and size + n > held:
+                last, size = last + 1, 0
+            region[i] = last
+            size += n
+        rows = np.bincount(region, filed, last + 1)
+        return cls(index, cosine, angles, region, *(np.maximum(1, np.ceil(rows / b)).astype(int) for b in (asking, held)))
+
+    def _by_region(self, lists: np.ndarray) -> np.ndarray:
+        """Of a table (row, list) whether any list of a region is set."""
+        return np.logical_or.reduceat(lists, np.searchsorted(self.region, np.arange(len(self.lots))), axis=1)
+
+    @property
+    def apart(self) -> np.ndarray:
+        """(list, list): the angles between the centres."""
+        return np.arccos(np.clip(self.index.centres @ self.index.centres.T, -1, 1))
+
+    @property
+    def near(self) -> np.ndarray:
+        """(region, later or same region): whether some vectors of both may be linked."""
+        full = self.angles >= 0
+        near = self.apart - self.angles[:, None] - self.angles <= math.acos(min(1.0, self.cosine)) + _ROUNDING
+        return np.triu(self._by_region(self._by_region(near & full[:, None] & full).T).T)
+
+    def asked(self, rows: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """(row, region) for unit vectors of the lists ``home``: whether a list may hold a linked vector."""
+        dots = rows @ self.index.centres.T
+        ball = np.arccos(np.clip(dots, -1, 1)) - self.angles <= math.acos(min(1.0, self.cosine)) + _ROUNDING
+        between = 2 * np.sin(self.apart[home] / 2)
+        gap = dots[np.arange(len(rows)), home][:, None] - dots
+        plane = gap <= (math.sqrt(max(0.0, 2 - 2 * self.cosine)) + _ROUNDING) * between + _ROUNDING
+        return self._by_region(ball & plane & (self.angles >= 0)) & self.near[self.region[home]]
+
+    @staticmethod
+    def block(gids: np.ndarray, region: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The block of each vector, numbered over all regions; vectors of a region are dealt by a hash."""
+        mixed = (gids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        dealt = (mixed >> np.uint64(33)).astype(np.int64) % blocks[region]
+        return (np.cumsum(blocks) - blocks)[region] + dealt
+
+    @staticmethod
+    def blocks_of(regions: np.ndarray, blocks: np.ndarray) -> list[np.ndarray]:
+        """For each row of a table (row, region) the blocks of the regions set."""
+        owner = np.repeat(np.arange(len(blocks)), blocks)
+        return [np.nonzero(row[owner])[0].astype(np.int32) for row in regions]
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows at length 1, scaled first so that no square overflows or vanishes."""
     top = np.abs(rows).max(axis=1, keepdims=True, initial=0)
@@ -106,21 +179,22 @@ def fit(sample: np.ndarray, lists: int) -> Index:
     return Index(centres, np.stack(books))
 
 
-def linked(asking: pd.DataFrame, filed: pd.DataFrame, index: Index, place: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (asking, filed) of the pairs of one list at ``cosine`` or more."""
+def linked(asking: pd.DataFrame, filed: pd.DataFrame, index: Index, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (asking, filed) of the pairs of two blocks at ``cosine`` or more; within a region each pair once."""
     codes = np.stack(filed["codes"].to_numpy()).astype(np.int64)
     exact = index.unit(filed["vector"])
     slack = filed["left_out"].to_numpy()
-    gids, lengths = filed["gid"].to_numpy(), filed["length"].to_numpy()
+    gids, lengths, regions = (filed[c].to_numpy() for c in ("gid", "length", "region"))
+    homes, home = np.unique(filed["home"].to_numpy(), return_inverse=True)
     ones, others = [], []
     for start in range(0, len(asking), SLICE):
         part = asking.iloc[start : start + SLICE]
         rows = index.unit(part["vector"])
-        near = np.repeat((rows @ index.centres[place])[:, None], len(filed), axis=1)
+        near = (rows @ index.centres[homes].T)[:, home]
         for i, (own, book) in enumerate(zip(index.parts(rows), index.books)):
             near += (own @ book.T)[:, codes[:, i]]
         may = near + slack >= cosine - 1e-9
-        may &= part["gid"].to_numpy()[:, None] != gids
+        may &= (part["gid"].to_numpy()[:, None] < gids) | (part["region"].to_numpy()[:, None] < regions)
         may &= part["length"].to_numpy()[:, None] == lengths
         a, b = np.nonzero(may)
         for at in range(0, len(a), 1 << 16):
@@ -144,24 +218,18 @@ def least_linked(one: np.ndarray, other: np.ndarray, names: np.ndarray) -> np.nd
     return label
 
 
-def _compared(place: int, asking: pd.DataFrame, filed: pd.DataFrame, index: Index, cosine: float) -> pd.DataFrame:
-    """(gid, n, least): links that this block adds to each vector, and the smallest vector it is linked to.
-
-    A pair may be met from both sides. The one that asks counts the one that is filed; the other way round
-    it counts only if the filed one does not ask the list of the asking one itself.
-    """
-    one, other = linked(asking, filed, index, place, cosine)
+def _compared(asking: pd.DataFrame, filed: pd.DataFrame, index: Index, cosine: float) -> pd.DataFrame:
+    """(gid, n, least): links that these blocks add to each vector, and the smallest vector it is linked to."""
+    one, other = linked(asking, filed, index, cosine)
     if not len(one):
         return pd.DataFrame({"gid": [], "n": [], "least": []}).astype("int64")
-    homes, weights, own = asking["home"].to_numpy(), filed["n"].to_numpy(), asking["n"].to_numpy()
-    probes = np.stack(filed["probes"].to_numpy())
-    back = ~(probes[other] == homes[one][:, None]).any(axis=1)
     gids = np.concatenate([asking["gid"].to_numpy(), filed["gid"].to_numpy()])
     names, at = np.unique(gids, return_inverse=True)
-    n = np.bincount(at[one], weights[other], len(names))
-    n += np.bincount(at[len(asking) + other][back], own[one][back], len(names))
-    least = least_linked(at[one], at[len(asking) + other], np.arange(len(names)))
-    met = np.unique(np.concatenate([at[one], at[len(asking) + other]]))
+    one_at, other_at = at[one], at[len(asking) + other]
+    n = np.bincount(one_at, filed["n"].to_numpy()[other], len(names))
+    n += np.bincount(other_at, asking["n"].to_numpy()[one], len(names))
+    least = least_linked(one_at, other_at, np.arange(len(names)))
+    met = np.unique(np.concatenate([one_at, other_at]))
     return pd.DataFrame({"gid": names[met], "n": n[met].astype(np.int64), "least": names[least[met]]})
 
 
@@ -193,41 +261,47 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     lists = min(math.ceil(math.sqrt(count)), MOST_LISTS)
     shared = spark.sparkContext.broadcast(fit(padded, lists))  # at most MOST_LISTS centres and 8 * 256 codes
 
-    @F.pandas_udf("probes array<int>, codes array<int>, left_out double")
+    @F.pandas_udf("home int, angle double, codes array<int>, left_out double")
     def filing(vectors: pd.Series) -> pd.DataFrame:
         index = shared.value
         units = index.unit(vectors)
-        probes = index.nearest(units, PROBES)
-        residuals = units - index.centres[probes[:, 0]] if len(units) else units
+        home = index.nearest(units, 1)[:, 0]
+        angle = np.arccos(np.clip((units * index.centres[home]).sum(axis=1), -1, 1))
+        residuals = units - index.centres[home] if len(units) else units
         codes = index.code(residuals)
         left_out = np.sqrt(((residuals - index.approximate(codes)) ** 2).sum(axis=1))
-        return pd.DataFrame({"probes": list(probes), "codes": list(codes.astype(np.int32)), "left_out": left_out})
-
-    filed = groups.withColumn("f", filing("vector")).select("gid", "n", "length", "vector", "f.*").withColumn("home", F.col("probes")[0])
-    filed = scratch.keep(filed, "filed")
-    asked = filed.select(F.explode("probes").alias("place")).groupBy("place").agg(F.count("*").alias("asking"))
-    homes = filed.groupBy(F.col("home").alias("place")).agg(F.count("*").alias("filed"))
-    cuts = scratch.keep(
-        homes.join(asked, "place").select("place", F.ceil(F.col("filed") / FILED_BLOCK).alias("lots"), F.ceil(F.col("asking") / ASKING_BLOCK).alias("turns")), "cuts"
-    )
-
-    def dealt(number: str) -> Column:
-        return F.pmod(F.xxhash64("gid"), F.col(number)).cast("long")
-
-    def every(number: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(number) - 1))
-
-    left = filed.withColumn("place", F.explode("probes")).join(F.broadcast(cuts), "place")  # a row per list
-    left = left.withColumn("turn", dealt("turns")).withColumn("lot", every("lots")).select("place", "lot", "turn", "gid", "n", "length", "vector", "home")
-    right = scratch.again(filed).withColumn("place", F.col("home")).join(F.broadcast(scratch.again(cuts)), "place")
-    right = right.withColumn("lot", dealt("lots")).withColumn("turn", every("turns")).select("place", "lot", "turn", "gid", "n", "length", "vector", "probes", "codes", "left_out")
-
-    def compared(block: tuple, asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"home": home, "angle": angle, "codes": list(codes.astype(np.int32)), "left_out": left_out})
+
+    filed = scratch.keep(groups.withColumn("f", filing("vector")).select("gid", "n", "length", "vector", "f.*"), "filed")
+    sizes, angles = np.zeros(lists), np.full(lists, -1.0)
+    for r in filed.groupBy("home").agg(F.count("*").alias("filed"), F.max("angle").alias("angle")).collect():  # a row per list
+        sizes[r.home], angles[r.home] = r.filed, r.angle
+    regions = spark.sparkContext.broadcast(Regions.of(shared.value, cosine, sizes, angles))
+
+    @F.pandas_udf("region int, turn int, lots array<int>")
+    def asking(gids: pd.Series, homes: pd.Series, vectors: pd.Series) -> pd.DataFrame:
+        r, home = regions.value, homes.to_numpy()
+        region = r.region[home]
+        lots = r.blocks_of(r.asked(r.index.unit(vectors), home), r.lots)
+        return pd.DataFrame({"region": region, "turn": r.block(gids.to_numpy(), region, r.turns), "lots": lots})
+
+    @F.pandas_udf("region int, lot int, turns array<int>")
+    def holding(gids: pd.Series, homes: pd.Series) -> pd.DataFrame:
+        r = regions.value
+        region = r.region[homes.to_numpy()]
+        turns = r.blocks_of(r.near.T[region], r.turns)
+        return pd.DataFrame({"region": region, "lot": r.block(gids.to_numpy(), region, r.lots), "turns": turns})
+
+    left = filed.withColumn("a", asking("gid", "home", "vector")).select("gid", "n", "length", "vector", "a.region", "a.turn", F.explode("a.lots").alias("lot"))
+    right = scratch.again(filed).withColumn("h", holding("gid", "home"))
+    right = right.select("gid", "n", "length", "vector", "home", "codes", "left_out", "h.region", "h.lot", F.explode("h.turns").alias("turn"))
+
+    def compared(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(held):
             return pd.DataFrame({"gid": [], "n": [], "least": []}).astype("int64")
-        return _compared(int(block[0]), asking, held, shared.value, cosine)
+        return _compared(asking, held, shared.value, cosine)
 
-    by = ["place", "lot", "turn"]
+    by = ["turn", "lot"]
     met = left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(compared, "gid long, n long, least long")
     met = scratch.keep(met, "met")
     counts = met.groupBy("gid").agg(F.sum("n").alias("others"))
