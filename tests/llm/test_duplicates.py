@@ -84,6 +84,20 @@ def test_near_classes_keep_one_of_each(stored, no_docs, texts):
     assert simhash.without_near_copies(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("changed", [44, 40, 36, 30])  # similarities of 0.800, 0.817, 0.833 and 0.859
+def test_near_classes_at_the_threshold(spark, changed):
+    """Pairs that share 396 - changed of 396 + changed shingles: nearly all lose one of their texts."""
+    rng = random.Random(changed)
+    rows = []
+    for i in range(150):
+        own = [f"w{rng.getrandbits(40):x}" for _ in range(400 + changed)]
+        rows += [(2 * i, " ".join(own[:400])), (2 * i + 1, " ".join(own[: 400 - changed] + own[400:]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_classes(frame).where("kept").collect()}
+    assert {2 * i for i in range(150)} <= kept
+    assert sum(2 * i + 1 in kept for i in range(150)) <= 6
+
+
 def kept_bytes(rows, length):
     data = [(t or "").encode() for _, t in rows]
     count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))

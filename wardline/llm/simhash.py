@@ -165,8 +165,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
 
 #: Fingerprints per text for documents that share most of their shingles: at a similarity of 0.8, 64 bits
-#: differ in nine or ten places, so one fingerprint in RING_BITS bits would miss too many.
-RINGS, RING_BITS = 6, 7
+#: differ in nine or ten places, so one fingerprint in RING_BITS bits would miss too many. A fingerprint of a
+#: pair at exactly 0.8 is within RING_BITS with a chance of 0.23; that all RINGS miss it has one of 1 %.
+RINGS, RING_BITS = 18, 7
 #: Segments that are joined on by the number of different texts: longer chains when there are more of them.
 _CHAIN = ((1 << 18, 1), (1 << 24, 2))
 
