@@ -1,10 +1,12 @@
 import importlib
+import itertools
 import sys
 
 import pytest
 
 import corpus_pipeline
 from wardline.llm.queries import QUERIES
+from wardline.llm.shared import Scratch
 
 from .conftest import DOCS
 
@@ -42,6 +44,33 @@ def test_stages_one_after_the_other(spark, folder):
     assert all(r.n_tokens == len(r.ids) and r.ids[0] == 1 and r.ids[-1] == 2 for r in found)
 
 
+def test_rows_keep_their_numbers_when_splits_change(spark, folder, tmp_path, monkeypatch):
+    """Files are cut into other splits after each table that is written, as when executors come and go."""
+    path = str(tmp_path / "parts.parquet")
+    corpus_pipeline.not_toxic(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).repartition(12).write.parquet(path)
+    docs = spark.read.parquet(path)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def found(name):
+        return sorted((str(r.doc_id), str(r.text)) for r in stages[name](spark, docs, folder).collect())
+
+    names = ["simhash", "decontamination", "personal"]
+    expected = {name: found(name) for name in names}
+    keep, sizes = Scratch.keep, itertools.cycle(["4k", "128m", "12k"])
+
+    def shifting(self, df, name="table"):
+        kept = keep(self, df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", shifting)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        assert {name: found(name) for name in names} == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_stages_take_empty_tables(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:

@@ -274,11 +274,11 @@ def matches(
 def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item; ``settings`` as for ``matches``.
 
-    Rows are told apart by number, so null and repeated keys don't matter; ``docs`` must be a table that
-    reads alike each time.
+    Rows are written once with a number that tells them apart, so null and repeated keys don't matter.
     """
     number = "row number of matches"
-    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    scratch = Scratch(docs.sparkSession)
+    numbered = scratch.numbered(docs, number)
     held = matches(numbered, benchmark, number, text, **settings).select(number).distinct()
-    held = Scratch(docs.sparkSession).keep(held, "held")
+    held = scratch.keep(held, "held")
     return numbered.join(held, number, "left_anti").drop(number)

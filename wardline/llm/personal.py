@@ -197,12 +197,12 @@ def masked(text: Column, spans_: Column) -> Column:
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """``docs``, all columns, with each span of ``text`` replaced by its kind in angle brackets.
 
-    ``docs`` must be a table that reads alike each time: spans meet their texts by row number. Null texts
-    stay null.
+    Rows are written once with a number, by which spans meet their texts. Null texts stay null.
     """
     number = "row number of spans"
-    found = spans(docs, key, text, rounds).where(F.size("spans") > 0).select(F.col("row").alias(number), F.col("spans").alias("its spans"))
-    numbered = docs.withColumn(number, F.monotonically_increasing_id())
-    joined = numbered.join(Scratch(docs.sparkSession).keep(found, "found"), number, "left")
+    scratch = Scratch(docs.sparkSession)
+    numbered = scratch.numbered(docs, number)
+    found = spans(numbered, number, text, rounds).where(F.size("spans") > 0).select(number, F.col("spans").alias("its spans"))
+    joined = numbered.join(scratch.keep(found, "found"), number, "left")
     changed = F.when(F.col("its spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("its spans")))
     return joined.withColumn(text, changed).select(docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardline.session import shared_folder, ship_package
 
@@ -36,6 +37,14 @@ class Scratch:
         df.write.parquet(path)
         return self._read(df, path)
 
+    def numbered(self, df: DataFrame, number: str) -> DataFrame:
+        """``df`` written with a column that numbers its rows.
+
+        Numbers of ``monotonically_increasing_id`` follow the file splits, which Spark may cut otherwise in the
+        next job; so whatever is joined back by number must come from one written table.
+        """
+        return self.keep(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+
     def _read(self, df: DataFrame, path: str) -> DataFrame:
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path

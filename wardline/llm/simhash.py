@@ -228,7 +228,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, sc
 
 def near_classes(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-    rings: int = RINGS, differing: int = RING_BITS,
+    rings: int = RINGS, differing: int = RING_BITS, number: str | None = None,
 ) -> DataFrame:
     """(row, key, kept): a row for each input row; of each class of near copies the row of the smallest key stays.
 
@@ -236,19 +236,18 @@ def near_classes(
     sequence where there are fewer) have a Jaccard similarity of ``similarity`` or more and one of the
     fingerprints differs in at most ``differing`` bits; classes are what links reach. Texts with the same
     set are one class, and so are all texts without words, null ones included. Of rows with the same key
-    the first stays; null keys come last. ``row`` numbers the rows as ``monotonically_increasing_id`` does
-    on ``docs``, which must be a table that reads alike each time. Other columns are left out.
+    the first stays; null keys come last. ``row`` is the column ``number`` of
+    ``docs``, then a written table; without it the rows of the result are numbered. Other columns are left out.
 
     Members of a bucket are first linked to its smallest member, then only pairs of different classes are
     looked at, so a large group of near copies is not listed pair by pair.
     """
     scratch = Scratch(docs.sparkSession)
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    rows = scratch.keep(
-        numbered.select("row", F.col(key).alias("key"), _sketches(docs, text, words, rings).alias("s")).select("row", "key", "s.*"), "sketches"
-    )
+    columns = [F.col(key).alias("key"), F.col(text).alias("text")]
+    numbered = docs.select(F.col(number).alias("row"), *columns) if number else scratch.numbered(docs.select(columns), "row")
+    rows = scratch.keep(numbered.select("row", "key", _sketches(numbered, "text", words, rings).alias("s")).select("row", "key", "s.*"), "sketches")
     sets = scratch.keep(rows.groupBy("sameness").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("prints").alias("prints")), "sets")
-    texts = numbered.select("row", F.col(text).alias("text")).join(sets.select("row", "sameness"), "row").select("sameness", "text")
+    texts = numbered.select("row", "text").join(sets.select("row", "sameness"), "row").select("sameness", "text")
     turned = [
         F.struct(F.lit(r * SEGMENTS + i).alias("turn"), _ring(f"p{r}", i).alias("ring")) for r in range(rings) for i in range(SEGMENTS)
     ]
@@ -292,5 +291,6 @@ def near_classes(
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs``, all columns, that stay; ``docs`` and ``settings`` as for ``near_classes``."""
     number = "row number of near_classes"
-    stay = near_classes(docs, key, text, **settings).where("kept").select(F.col("row").alias(number))
-    return docs.withColumn(number, F.monotonically_increasing_id()).join(stay, number, "left_semi").drop(number)
+    numbered = Scratch(docs.sparkSession).numbered(docs, number)
+    stay = near_classes(numbered, key, text, number=number, **settings).where("kept").select(F.col("row").alias(number))
+    return numbered.join(stay, number, "left_semi").drop(number)
