@@ -40,11 +40,12 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its token ids; decoding them again must give the text."""
+    """Each document with its token ids, and whether decoding them gives the text; null counts as empty."""
     import public_tokenizers
 
     model = sentencepieces.read_model(public_tokenizers.path(PIECES))
-    return docs.withColumn("ids", sentencepieces.encoded(spark, F.col("text"), model)).withColumn("n_tokens", F.size("ids").cast("long"))
+    ids = docs.withColumn("ids", sentencepieces.encoded(spark, F.col("text"), model)).withColumn("n_tokens", F.size("ids").cast("long"))
+    return ids.withColumn("decoded_same", sentencepieces.decoded(spark, F.col("ids"), model) == F.coalesce("text", F.lit("")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

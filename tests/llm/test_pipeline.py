@@ -3,6 +3,7 @@ import itertools
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wardline.llm.queries import QUERIES
@@ -44,6 +45,20 @@ def test_stages_one_after_the_other(spark, folder):
     assert all(r.n_tokens == len(r.ids) and r.ids[0] == 1 and r.ids[-1] == 2 for r in found)
 
 
+def test_ids_are_decoded_and_compared(spark, folder, monkeypatch):
+    docs = spark.createDataFrame([(1, "Plain words and more", "en", "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0)], DOCS)
+    last = corpus_pipeline.STAGES[-1][1]
+    import public_tokenizers
+
+    from wardline.llm import sentencepieces
+
+    model = sentencepieces.read_model(public_tokenizers.path(corpus_pipeline.PIECES))
+    trip = docs.select("doc_id", sentencepieces.round_trip(spark, docs.text, model).alias("trip")).select("doc_id", "trip.decoded_same")
+    assert {(r.doc_id, r.decoded_same) for r in last(spark, docs, folder).collect()} == {tuple(r) for r in trip.collect()}
+    monkeypatch.setattr(sentencepieces, "decoded", lambda spark, ids, model: F.lit("Other words"))
+    assert not any(r.decoded_same for r in last(spark, docs, folder).collect())
+
+
 def test_rows_keep_their_numbers_when_splits_change(spark, folder, tmp_path, monkeypatch):
     """Files are cut into other splits after each table that is written, as when executors come and go."""
     path = str(tmp_path / "parts.parquet")
