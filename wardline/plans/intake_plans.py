@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wardline.functions import lexicon
 from wardline.functions.casts import safe_cast
-from wardline.functions.fields import beside
 from wardline.operators import normalize, quality
 from wardline.plans.registry import plan
 from wardline.plans.tables import SEC, security_events, table
@@ -58,18 +57,12 @@ def raw_records(spark, sf_dir):
 )
 def _canonical(spark, sf_dir):
     raw = raw_records(spark, sf_dir).withColumn("label", F.lit(0)).drop("ts", "value")
-    # The row number travels in an extra column, so it can be read back from the metadata.
-    kept = normalize.canonicalize(raw.withColumn("raw_features", F.create_map(F.lit("seq"), F.col("seq").cast("string"))))
-    # Fallback rows lose their extras by design; give them back their number for the comparison.
-    numbered = kept.withColumn("seq", F.col("parsed_fields")["seq"].cast("bigint"))
-    lost = raw.filter((F.col("k") % 5 == 1) | (F.coalesce("risk_score", F.lit("0")) == "n/a")).select("seq")
+    kept = normalize.canonicalize(raw, keep=["seq"])
     columns = [
         "event_id", "user", "hostname", "event_type", "source", "severity", "risk_score", "ml_score", "message", "raw_log",
         F.col("metadata")["device"].alias("device"), F.col("metadata")["k"].alias("extra_k"),
     ]
-    good = numbered.filter("seq IS NOT NULL").select("seq", *columns)
-    blank = kept.filter("event_id = 'fallback-event'").select(*columns).distinct()
-    return good.unionByName(beside(lost, blank.limit(1)))
+    return kept.select("seq", *columns)
 
 
 @plan(
