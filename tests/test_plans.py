@@ -4,6 +4,7 @@ import inspect
 
 import pytest
 
+from wardline.ml import isolation, models
 from wardline.operators import normalize
 from wardline.plans import PLANS
 
@@ -18,3 +19,30 @@ def test_canonical_events_shows_lost_fallback_rows(spark, tables, monkeypatch):
     assert PLANS["canonical_events"](spark, tables).filter("event_id = 'fallback-event'").count() > 1
     monkeypatch.setattr(normalize, "canonicalize", losing)
     assert PLANS["canonical_events"](spark, tables).filter("event_id = 'fallback-event'").count() == 1
+
+
+@pytest.mark.parametrize(
+    ("name", "module", "train"),
+    [
+        ("trained_model_report", models, "train_pipeline"),
+        ("model_predictions", models, "train_pipeline"),
+        ("flow_classifier_metrics", models, "train_flow_models"),
+        ("isolation_scores", isolation, "train_isolation_forest"),
+    ],
+)
+def test_model_queries_train_the_default_models(spark, tables, monkeypatch, name, module, train):
+    own = inspect.signature(getattr(module, train))
+
+    class Called(Exception):
+        pass
+
+    def called(*args, **kwargs):
+        given = own.bind(*args, **kwargs)
+        given.apply_defaults()
+        raise Called({k: v for k, v in given.arguments.items() if own.parameters[k].default is not inspect.Parameter.empty})
+
+    monkeypatch.setattr(module, train, called)
+    with pytest.raises(Called) as found:
+        PLANS[name](spark, tables)
+    defaults = {k: p.default for k, p in own.parameters.items() if p.default is not inspect.Parameter.empty}
+    assert found.value.args[0] == defaults
