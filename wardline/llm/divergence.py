@@ -1,13 +1,14 @@
 """How the vocabularies of sources differ, by exact whole-number arithmetic.
 
 Counting works on 64-bit digests of terms: texts of terms are not shuffled with the counts. The smallest and the
-largest term of each digest tell where different terms share one; only there the term itself joins the key. Texts
-are joined back at the end, for the terms that are put out.
+largest term of each kept digest tell where different terms share one; only there terms are counted anew, by text.
+Texts are joined back at the end, for the terms that are put out.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,31 +23,37 @@ from wardline.llm.shared import Scratch, ready_python
 LEAST_DOCUMENTS, TOP, UNIT = 10, 10, 1_000_000_000
 #: Fixed value: letters A-Z and a-z, and all that is beyond ASCII.
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-#: Different terms that a task holds before it hands their counts on.
-HELD = 1 << 17
-#: Groups (of a language and a source) whose numbers go to every worker; more of them are joined with a shuffle.
-BROADCAST_GROUPS = 100_000
+#: Different terms (by group) that a task holds before it hands their counts on.
+HELD = 1 << 19
+#: Texts of more characters are counted term by term, without a list of their terms.
+LONG = 1 << 20
+#: Groups (of a language and a source) whose numbers go to every worker, and kept terms whose digests do; more of them
+#: are joined with a shuffle.
+BROADCAST_GROUPS, BROADCAST_TERMS = 100_000, 2_000_000
 
 
-def terms_of(text: str) -> Iterator[str]:
+def terms_of(text: str) -> Counter:
+    """The terms of a text with their number."""
     lowered = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    return (m.group() for m in TERM.finditer(lowered))
+    if len(lowered) > LONG:
+        return Counter(m.group() for m in TERM.finditer(lowered))
+    return Counter(TERM.findall(lowered))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], digest_bits: int) -> Iterator[pa.RecordBatch]:
     """(lang, source, digest, term, n, docs): partial counts of one task."""
-    held: dict[tuple[str, str], dict[str, list[int]]] = {}
+    held: dict[tuple[str, str], tuple[dict[str, int], dict[str, int]]] = {}
     size, shift = 0, 64 - digest_bits
 
     def out() -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in held.items():
-            digests = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> shift for t in counts]
+        for (lang, source), (times, docs) in held.items():
+            digests = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> shift for t in times]
             rows = len(digests)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([lang] * rows, pa.string()), pa.array([source] * rows, pa.string()),
-                    pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(list(counts), pa.string()),
-                    pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64()),
+                    pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(list(times), pa.string()),
+                    pa.array(list(times.values()), pa.int64()), pa.array(list(docs.values()), pa.int64()),
                 ],
                 ["lang", "source", "digest", "term", "n", "docs"],
             )
@@ -54,17 +61,12 @@ def _counted(batches: Iterator[pa.RecordBatch], digest_bits: int) -> Iterator[pa
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            counts = held.setdefault((lang, source), {})
-            before, seen = len(counts), set()
-            for term in terms_of(text):
-                entry = counts.get(term)
-                if entry is None:
-                    entry = counts[term] = [0, 0]
-                entry[0] += 1
-                if term not in seen:
-                    seen.add(term)
-                    entry[1] += 1
-            size += len(counts) - before
+            times, docs = held.setdefault((lang, source), ({}, {}))
+            before, known, seen = len(times), times.get, docs.get
+            for term, n in terms_of(text).items():
+                times[term] = known(term, 0) + n
+                docs[term] = seen(term, 0) + 1
+            size += len(times) - before
             if size > HELD:
                 yield from out()
                 size = 0
@@ -115,18 +117,23 @@ class Audit:
         rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))))
         shape = "lang string, source string, digest long, term string, n long, docs long"
         partial = scratch.keep(rows.mapInArrow(lambda b: _counted(b, digest_bits), shape), "partial")
-        self.names = scratch.keep(partial.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "names")
-        shared = scratch.keep(self.names.where("low <> high").select("digest", F.lit(True).alias("shared")), "shared")
-        if shared.isEmpty():
-            keyed = partial.withColumn("name", F.lit(""))
-        else:
-            keyed = partial.join(shared, "digest", "left").withColumn("name", F.when(F.col("shared"), F.col("term")).otherwise(""))
-        counts = keyed.groupBy("lang", "source", "digest", "name").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        key = ["lang", "source", "digest", "name"]
+        sums = (F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        counts = partial.groupBy("lang", "source", "digest").agg(*sums).withColumn("name", F.lit("")).select(*key, "n", "docs")
         counts = scratch.keep(counts, "counts")
+        # A term that is kept has a digest that is kept, so only those need the smallest and largest term.
+        digests = self._kept(counts, least_documents).select("digest").distinct()
+        digests = scratch.keep(digests, "digests")
+        held = partial.join(F.broadcast(digests) if digests.count() <= BROADCAST_TERMS else digests, "digest", "left_semi")
+        names = held.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+        self.names = scratch.keep(names, "names")
+        shared = scratch.keep(self.names.where("low <> high").select("digest"), "shared")
+        if not shared.isEmpty():
+            split = partial.join(shared, "digest", "left_semi").groupBy("lang", "source", "digest", F.col("term").alias("name")).agg(*sums)
+            counts = scratch.keep(counts.join(shared, "digest", "left_anti").unionByName(split), "split")
         scratch.drop(partial)
-        kept = counts.groupBy("lang", "digest", "name").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        self.kept = scratch.keep(kept.where(F.col("docs") >= least_documents).select("lang", "digest", "name", "n"), "kept")
-        own = counts.select("lang", "source", "digest", "name", "n").join(self.kept.withColumnRenamed("n", "whole"), ["lang", "digest", "name"])
+        self.kept = scratch.keep(self._kept(counts, least_documents), "kept")
+        own = counts.select(*key, "n").join(self.kept.withColumnRenamed("n", "whole"), ["lang", "digest", "name"])
         self.own = scratch.keep(own, "own")
         scratch.drop(counts)
         langs = self.kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("whole_total"))
@@ -138,6 +145,12 @@ class Audit:
         )
         self.small = self.groups.count() <= BROADCAST_GROUPS
 
+    @staticmethod
+    def _kept(counts: DataFrame, least_documents: int) -> DataFrame:
+        """(lang, digest, name, n) of the terms in enough documents of their language."""
+        whole = counts.groupBy("lang", "digest", "name").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        return whole.where(F.col("docs") >= least_documents).select("lang", "digest", "name", "n")
+
     def _of_group(self) -> DataFrame:
         return F.broadcast(self.groups) if self.small else self.groups
 
