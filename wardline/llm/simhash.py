@@ -164,133 +164,17 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return rows.join(of_print, "print").select(F.col("key").alias(key), "print", "component")
 
 
-#: Fingerprints per text for documents that share most of their shingles: at a similarity of 0.8, 64 bits
-#: differ in nine or ten places, so one fingerprint in RING_BITS bits would miss too many. A fingerprint of a
-#: pair at exactly 0.8 is within RING_BITS with a chance of 0.23; that all RINGS miss it has one of 1 %.
-RINGS, RING_BITS = 18, 7
-#: Segments that are joined on by the number of different texts: longer chains when there are more of them.
-_CHAIN = ((1 << 18, 1), (1 << 24, 2))
+def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, differing: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each group of ``near_groups`` stays: that of the smallest key.
 
-
-def _sketches(docs: DataFrame, text: str, words: int, rings: int) -> Column:
-    """A column with (sameness, size, prints): of the set of shingles its hash, size and fingerprints."""
-    ready_python(docs.sparkSession)
-
-    @F.pandas_udf("sameness long, size long, prints array<long>")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            own = np.unique(shingle_hashes(t, words))
-            prints = []
-            for ring in range(rings):
-                mixed = (own ^ np.uint64(ring)) * np.uint64(0x9E3779B97F4A7C15 + 2 * ring)
-                prints.append(majority(mixed ^ (mixed >> np.uint64(32))))
-            same = np.array([xxhash.xxh3_64_intdigest(own.tobytes())], np.uint64).view(np.int64)[0]
-            rows.append((same, len(own), np.array(prints, np.uint64).view(np.int64)))
-        return pd.DataFrame(rows, columns=["sameness", "size", "prints"])
-
-    return sketch(F.col(text))
-
-
-def _flips(segments: int, differing: int) -> list[int]:
-    """Differences of the first segments of a chain that keep to its budgets."""
-    flips = [0]
-    for n in range(1, segments + 1):
-        budget = n * differing // SEGMENTS
-        grown = set(flips)
-        for flip in flips:
-            steps = {flip}
-            for _ in range(budget - flip.bit_count()):
-                steps |= {s ^ (1 << b) for s in steps for b in range((n - 1) * WIDTH, n * WIDTH) if s.bit_count() < budget}
-            grown |= steps
-        flips = sorted(grown)
-    return flips
-
-
-def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
-
-    @F.pandas_udf("boolean")
-    def similar(one: pd.Series, other: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(one, other):
-            a, b = np.unique(shingle_hashes(a, words)), np.unique(shingle_hashes(b, words))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both >= similarity * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
-
-    met = pairs.select(F.explode(F.array("a", "b")).alias("sameness")).distinct()
-    held = scratch.keep(texts.join(met, "sameness"), "texts")
-    one, other = held.toDF("a", "text_a"), scratch.again(held).toDF("b", "text_b")
-    joined = pairs.join(one, "a").join(other, "b")
-    return scratch.keep(joined.where(similar("text_a", "text_b")).select("a", "b"), "alike")
-
-
-def near_classes(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-    rings: int = RINGS, differing: int = RING_BITS, number: str | None = None,
-) -> DataFrame:
-    """(row, key, kept): a row for each input row; of each class of near copies the row of the smallest key stays.
-
-    Two texts are linked if their sets of ``words``-word shingles (words without A-Z case; the whole
-    sequence where there are fewer) have a Jaccard similarity of ``similarity`` or more and one of the
-    fingerprints differs in at most ``differing`` bits; classes are what links reach. Texts with the same
-    set are one class, and so are all texts without words, null ones included. Of rows with the same key
-    the first stays; null keys come last. ``row`` is the column ``number`` of
-    ``docs``, then a written table; without it the rows of the result are numbered. Other columns are left out.
-
-    Members of a bucket are first linked to its smallest member, then only pairs of different classes are
-    looked at, so a large group of near copies is not listed pair by pair.
+    Of rows with the same key the first stays; null keys come last. Rows without words (null texts too) have
+    fingerprint zero and are linked like any other. Columns may have any names. Rows are written once with a number,
+    by which groups meet their rows.
     """
     scratch = Scratch(docs.sparkSession)
-    columns = [F.col(key).alias("key"), F.col(text).alias("text")]
-    numbered = docs.select(F.col(number).alias("row"), *columns) if number else scratch.numbered(docs.select(columns), "row")
-    rows = scratch.keep(numbered.select("row", "key", _sketches(numbered, "text", words, rings).alias("s")).select("row", "key", "s.*"), "sketches")
-    sets = scratch.keep(rows.groupBy("sameness").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("prints").alias("prints")), "sets")
-    texts = numbered.select("row", "text").join(sets.select("row", "sameness"), "row").select("sameness", "text")
-    turned = [
-        F.struct(F.lit(r * SEGMENTS + i).alias("turn"), _ring(f"p{r}", i).alias("ring")) for r in range(rings) for i in range(SEGMENTS)
-    ]
-    prints = sets.where("size > 0").select("sameness", "size", *(F.col("prints")[r].alias(f"p{r}") for r in range(rings)))
-    chains_ = scratch.keep(prints.select("sameness", "size", F.explode(F.array(*turned)).alias("c")).select("sameness", "size", "c.turn", "c.ring"), "chains")
-    fit = (F.least("size", "size_b") >= similarity * F.greatest("size", "size_b")) & _within(F.col("ring"), F.col("ring_b"), differing)
-
-    def keyed(segments: int, flip: Column | None = None) -> Column:
-        ring = F.col("ring") if flip is None else F.col("ring").bitwiseXOR(flip)
-        return ring.bitwiseAND(F.lit(_low(segments)))
-
-    # First the smallest member of each bucket of two equal segments.
-    buckets = chains_.withColumn("key", keyed(2))
-    heads = buckets.groupBy("turn", "key").agg(F.count("*").alias("n"), F.min_by(F.struct("sameness", "size", "ring"), "sameness").alias("h"))
-    heads = scratch.keep(heads.where("n > 1").select("turn", "key", F.col("h.sameness").alias("b"), F.col("h.size").alias("size_b"), F.col("h.ring").alias("ring_b")), "heads")
-    first = buckets.join(heads, ["turn", "key"]).where((F.col("sameness") > F.col("b")) & fit)
-    first = scratch.keep(first.select(F.col("sameness").alias("a"), "b").distinct(), "first")
-    linked = _alike(first, texts, words, similarity, scratch)
-    early = scratch.keep(components(linked, scratch), "early")
-    # Then all pairs that the chains allow and that are not in one class yet.
-    classes = chains_.join(early, F.col("sameness") == F.col("node"), "left").withColumn("class", F.coalesce("component", "sameness"))
-    classes = scratch.keep(classes.select("sameness", "size", "turn", "ring", "class"), "classed")
-    count = sets.count()
-    segments = next((n for most, n in _CHAIN if count <= most), 3)
-    flips = F.explode(F.array(*(F.lit(f) for f in _flips(segments, differing))))
-    asking = classes.withColumn("flip", flips).withColumn("key", keyed(segments, F.col("flip"))).drop("flip")
-    other = scratch.again(classes).select(
-        "turn", F.col("sameness").alias("b"), F.col("size").alias("size_b"), F.col("ring").alias("ring_b"), F.col("class").alias("class_b"), keyed(segments).alias("key")
-    )
-    rest = asking.join(other, ["turn", "key"]).where((F.col("sameness") > F.col("b")) & (F.col("class") != F.col("class_b")) & fit)
-    rest = scratch.keep(rest.select(F.col("sameness").alias("a"), "b").distinct(), "rest")
-    linked = linked.unionByName(_alike(rest, texts, words, similarity, scratch))
-    final = scratch.keep(components(linked, scratch), "final")
-    rooted = rows.select("row", "key", "sameness").join(final, F.col("sameness") == F.col("node"), "left")
-    rooted = scratch.keep(rooted.select("row", "key", F.coalesce("component", "sameness").alias("class")), "rooted")
-    order = F.struct(F.col("key").isNull().alias("last"), F.col("key"), F.col("row"))
-    stay = scratch.keep(rooted.groupBy("class").agg(F.min(order).alias("stay")).select("class", F.col("stay.row").alias("stay")), "stay")
-    return rooted.join(stay, "class").select("row", F.col("key").alias(key), (F.col("row") == F.col("stay")).alias("kept"))
-
-
-def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay; ``docs`` and ``settings`` as for ``near_classes``."""
-    number = "row number of near_classes"
-    numbered = Scratch(docs.sparkSession).numbered(docs, number)
-    stay = near_classes(numbered, key, text, number=number, **settings).where("kept").select(F.col("row").alias(number))
-    return numbered.join(stay, number, "left_semi").drop(number)
+    number = "row number of near copies"
+    numbered = scratch.numbered(docs, number)
+    groups = near_groups(numbered, number, text, words, differing).select(F.col(number).alias("row"), F.col("component").alias("group"))
+    keyed = numbered.select(F.col(number).alias("row"), F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col(number).alias("row")).alias("place"))
+    stay = keyed.join(groups, "row").groupBy("group").agg(F.min("place").alias("first")).select(F.col("first.row").alias(number))
+    return numbered.join(scratch.keep(stay, "stay"), number, "left_semi").drop(number)
