@@ -24,8 +24,12 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles, similarity 0.8 or more."""
-    return without_near_copies(docs, words=5, similarity=0.8)
+    """One document of each group of near copies: SimHash over three-word shingles, two differing bits at most.
+
+    The one with the smallest doc_id stays (null ones last, the first of repeated ones); documents without words,
+    null texts included, are one group.
+    """
+    return without_near_copies(docs, words=3, differing=2)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
