@@ -121,6 +121,35 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect()} == {(i, i) for i in range(6)}
 
 
+def test_short_items_stand_between_word_borders(spark):
+    items = [(1, "Seven rivers?"), (2, "ja"), (3, "  "), (4, "seven  RIVERS?"), (5, "été 7")]
+    rows = [(1, "which SEVEN\n rivers? none"), (2, "seven rivers"), (3, "eseven rivers?"), (4, "jaja ja"), (5, "ja"), (6, "jab aja"), (7, "(été 7)"), (8, "été 77")]
+    rows += [(9, "x" * 600_000 + " ja " + "y" * 600_000), (10, None)]
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id, r.start, r.end, r.edits) for r in found.collect()}
+    assert got == {(1, 1, 6, 20, 0), (1, 4, 6, 20, 0), (4, 2, 5, 7, 0), (5, 2, 0, 2, 0), (7, 5, 1, 6, 0), (9, 2, 600_001, 600_003, 0)}
+
+
+def test_parts_of_items_are_found(spark):
+    """Any 99 characters of a longer item hold a whole passage."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    item = prose(70)
+    rows = [(i, f"{prose(9)} {item[(at := rng.randrange(len(item) - 99)) : at + 99]} {prose(9)}") for i in range(40)]
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == set(range(40))
+
+
+def test_repeating_texts_come_in_small_pieces():
+    """A long run of dashes meets an item of dashes at every place; no piece has more than HITS shared grams."""
+    index = decontaminate.Index.of([(1, "-" * 120), (2, "-" * 300), (3, "-=" * 90)], 0.1)
+    assert len(index.texts) == 2 and sorted(map(sorted, index.owners)) == [[0, 1], [2]]
+    chars = decontaminate.normal("-" * 600_000)[0]
+    sizes = [int(shared[2].sum()) for _, _, shared in index.pieces(chars)]
+    assert max(sizes) <= decontaminate.HITS and sum(sizes) > 20 * decontaminate.HITS
+    assert [(i, a, b, c) for i, a, b, c in decontaminate.found_in("-" * 30_000, index)] == [(1, 0, 80, 0), (2, 0, 80, 0)]
+
+
 def luhn(digits):
     return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(digits))) % 10 == 0
 
@@ -179,6 +208,38 @@ def test_patterns_lead_to_unseen_identifiers(spark, tmp_path):
     assert hidden[205] == texts[205]
 
 
+def test_contexts_reach_over_other_numbers(spark, tmp_path):
+    """Identifiers in groups of digits, and next to another number, have a context too."""
+    rng = random.Random(14)
+    prose = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit"]) for _ in range(n))
+    rows = [(i, f"{prose(5)} room {i % 9} tel {f'+1 (5{i:02d}) 555-0{i:03d}'} now {prose(4)}") for i in range(30)]
+    rows += [(100 + i, f"{prose(4)} room {i} tel 555 0{i} 77{i:03d} now {prose(3)}") for i in range(3)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    texts = dict(rows)
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if not s.base] for r in personal.spans(spark.read.parquet(path)).collect()}
+    assert [found[100 + i] for i in range(3)] == [[f"555 0{i} 77{i:03d}"] for i in range(3)]
+    assert not any(found[i] for i in range(30))
+
+
+def test_rounds_go_on_until_nothing_is_new(spark, tmp_path):
+    """Each stage of identifiers is known only through the stage before it; plain Python finds the same."""
+    rng = random.Random(2)
+    stages = 6
+    name = lambda k, j: f"+49 (30) 1234-000{j}" if k == 0 else f"id{k}{j}-{(k * 7 + j) * 9173:06d}"
+    rows = []
+    for k in range(stages):
+        for j in range(3):
+            for value in [*(name(k, i) for i in range(3)), name(k + 1, j)]:
+                rows.append((len(rows), f"stage{'abcdefgh'[k]}{'xyz'[j]} word {value} after{'abcdefgh'[k]}{'xyz'[j]} {'lorem ' * rng.randint(1, 3)}"))
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    frame = spark.read.parquet(path)
+    whole = {r.doc_id for r in personal.spans(frame).collect() if r.spans}
+    few = {r.doc_id for r in personal.spans(frame, rounds=3).collect() if r.spans}
+    assert whole == set(range(len(rows))) and few < whole
+
+
 def test_length_histogram(spark, docs, no_docs):
     import tiktoken
 
@@ -350,8 +411,8 @@ def test_tree_weighting(spark, docs, no_docs):
         tokens = [*re.findall(rb"[^\x20\x09-\x0d]+", d.lower()), None]
         base = sum(math.log10((counts[t] + 0.5) / (total + 0.5 * (distinct + 1))) for t in tokens)
         expected.append((k is None, k or 0, len(d), len(tokens), sum(counts[t] > 0 for t in tokens), total, base, score(d)))
-    for limit in (1 << 30, 0):  # by broadcast tables, and by joins
-        found = treeweight.score(short, ~held, depth=2, broadcast_bytes=limit).collect()
+    for entries in (1 << 30, 700):  # in one part, and in several
+        found = treeweight.score(short, ~held, depth=2, part_entries=entries).collect()
         got = [(r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found]
         for a, b in zip(sorted(got), sorted(expected), strict=True):
             assert a[:6] == b[:6] and np.allclose(a[6:], b[6:], rtol=1e-9, atol=1e-9), (a, b)

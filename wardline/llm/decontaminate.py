@@ -3,7 +3,7 @@
 A passage of m characters that occurs with at most k edits shares at least m + 1 - q - kq of its q-grams
 with the text, on diagonals (text position less passage position) that spread over no more than k + 1.
 Shared q-grams are counted in overlapping bands of diagonals; bands that reach the bound are verified by a
-banded alignment.
+banded alignment. Items too short for a bound are looked for as they stand, between word borders.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,14 +23,17 @@ from wardline.llm.shared import Scratch, ready_python
 Q = 8
 #: Edits allowed, as a share of a passage.
 ERROR = 0.1
-#: Longer items are looked for by overlapping passages, so that a part of an item counts too.
-PASSAGE, STRIDE = 160, 80
-#: Items of fewer characters say too little to be looked for.
+#: Longer items are looked for by overlapping passages, so that a part of an item counts too: any 99 characters of an
+#: item hold a whole passage.
+PASSAGE, STRIDE = 80, 20
+#: Items of fewer characters must occur without edits, between word borders.
 LEAST_CHARS = 50
 #: The benchmark is held against the documents in blocks of about so many characters, one after the other.
 BLOCK_CHARS = 8 << 20
 #: Characters of a text that are worked on at a time; pieces overlap by more than a passage with its edits.
-PIECE, OVERLAP = 1 << 19, 1024
+PIECE, OVERLAP = 1 << 19, 256
+#: A piece with more shared q-grams than this is halved, down to LEAST_PIECE characters.
+HITS, LEAST_PIECE = 1 << 21, 4 * OVERLAP
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE_BITS = 22
 
@@ -77,12 +81,25 @@ def shared_needed(size: int, error: float, q: int = Q) -> int:
     return max(size + 1 - q - edits_allowed(size, error) * q, 1)
 
 
+def short_item(text: str | None) -> str | None:
+    """The normal form of an item that has no passages; None for one that has some, or no characters."""
+    chars = normal((text or "").strip())[0]
+    return _string(chars) if 0 < len(chars) < LEAST_CHARS else None
+
+
+def _string(chars: np.ndarray) -> str:
+    return chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 @dataclass
 class Index:
-    """The q-grams of a block of items: sorted hashes with their passage and place, and a sieve before them."""
+    """The q-grams of a block of items: sorted hashes with their passage and place, and a sieve before them.
+
+    Equal passages are one, with all their items as owners. ``short`` finds the short items.
+    """
 
     items: list
-    owner: np.ndarray
+    owners: list[list[int]]
     texts: list[np.ndarray]
     hashes: np.ndarray
     passage: np.ndarray
@@ -91,14 +108,20 @@ class Index:
     step: np.ndarray
     needed: np.ndarray
     error: float
+    short: ahocorasick.Automaton | None
 
     @classmethod
     def of(cls, items: list[tuple], error: float) -> Index:
-        texts, owner = [], []
+        own: dict[bytes, list[int]] = {}
+        short: dict[str, list[int]] = {}
         for i, (_, text) in enumerate(items):
             for part in passages(text):
-                texts.append(part)
-                owner.append(i)
+                owners = own.setdefault(part.tobytes(), [])
+                if i not in owners[-1:]:
+                    owners.append(i)
+            if (word := short_item(text)) is not None:
+                short.setdefault(word, []).append(i)
+        texts = [np.frombuffer(data, "<u4") for data in own]
         hashes = [gram_hashes(t) for t in texts]
         sizes = [len(h) for h in hashes]
         joined = np.concatenate([*hashes, np.empty(0, np.uint64)])
@@ -111,21 +134,57 @@ class Index:
         step = np.array([edits_allowed(n, error) + 1 for n in lengths], int)
         needed = np.array([shared_needed(n, error) for n in lengths], int)
         keys = [key for key, _ in items]
-        return cls(keys, np.array(owner, int), texts, joined[order], passage[order], place[order], sieve, step, needed, error)
-
-    def hits(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, place in it, diagonal) of each q-gram that the text shares with a passage."""
+        exact = None
+        if short:
+            exact = ahocorasick.Automaton()
+            for word, owners in short.items():
+                exact.add_word(word, (len(word), owners))
+            exact.make_automaton()
+        return cls(keys, list(own.values()), texts, joined[order], passage[order], place[order], sieve, step, needed, error, exact)
+
+    def shared(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, first entry, number of entries) of each q-gram that the text shares with a passage."""
         found = gram_hashes(chars)
         at = np.nonzero(self.sieve[found >> np.uint64(64 - _SIEVE_BITS)])[0]
         low = np.searchsorted(self.hashes, found[at], "left")
         count = np.searchsorted(self.hashes, found[at], "right") - low
-        at, low, count = at[count > 0], low[count > 0], count[count > 0]
+        return at[count > 0], low[count > 0], count[count > 0]
+
+    def pieces(self, chars: np.ndarray) -> Iterator[tuple[int, np.ndarray, tuple]]:
+        """(begin, characters, shared q-grams) of overlapping pieces with a bounded number of hits each.
+
+        Text that repeats itself meets a passage that does so too at very many places; such pieces are halved.
+        """
+        todo = [(begin, min(begin + PIECE + OVERLAP, len(chars))) for begin in range(0, max(len(chars) - OVERLAP, 1), PIECE)][::-1]
+        while todo:
+            begin, end = todo.pop()
+            shared = self.shared(chars[begin:end])
+            if shared[2].sum() > HITS and end - begin > LEAST_PIECE:
+                middle = (begin + end) // 2
+                todo += [(middle - OVERLAP // 2, end), (begin, middle + OVERLAP // 2)]
+            else:
+                yield begin, chars[begin:end], shared
+
+    def hits(self, shared: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, place in it, diagonal) of each shared q-gram."""
+        at, low, count = shared
         each = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return self.passage[each], self.place[each], np.repeat(at, count) - self.place[each]
 
-    def bands(self, chars: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def whole_words(self, chars: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the short items between word borders, in the whole text."""
+        if self.short is None:
+            return
+        for begin in range(0, max(len(chars) - OVERLAP, 1), PIECE):
+            for last, (size, owners) in self.short.iter(_string(chars[begin : begin + PIECE + OVERLAP])):
+                start, end = begin + last + 1 - size, begin + last + 1
+                if not _joined(chars, start) and not _joined(chars, end):
+                    for item in owners:
+                        yield item, start, end
+
+    def bands(self, shared: tuple) -> Iterator[tuple[int, int, int]]:
         """(passage, first diagonal, last diagonal) of the bands that reach the bound."""
-        passage, place, diagonal = self.hits(chars)
+        passage, place, diagonal = self.hits(shared)
         if not len(passage):
             return
         step, needed = self.step, self.needed
@@ -154,6 +213,11 @@ class Index:
             yield p, n * int(step[p]), (n + 2) * int(step[p]) - 1
 
 
+def _joined(chars: np.ndarray, at: int) -> bool:
+    """Whether a letter or digit stands on both sides of this place."""
+    return 0 < at < len(chars) and chr(chars[at - 1]).isalnum() and chr(chars[at]).isalnum()
+
+
 def _banded(pattern: np.ndarray, text: np.ndarray, low: int, cost: np.ndarray) -> np.ndarray:
     """Edits of the whole pattern by the diagonal it ends on; the band is ``low`` and those after it, entered at ``cost``.
 
@@ -210,9 +274,13 @@ def found_in(text: str | None, index: Index) -> list[tuple]:
     """(item, start, end, edits) of the items that the whole text holds, each at its best place."""
     chars, places = normal(text or "")
     best: dict[int, tuple] = {}
-    for begin in range(0, max(len(chars) - OVERLAP, 1), PIECE):
-        piece = chars[begin : begin + PIECE + OVERLAP]
-        for p, low, high in index.bands(piece):
+
+    def candidate(item: int, cost: int, start: int, end: int) -> None:
+        place = (cost, int(places[start]), int(places[end - 1]) + 1)
+        best[item] = min(best.get(item, place), place)
+
+    for begin, piece, shared in index.pieces(chars):
+        for p, low, high in index.bands(shared):
             pattern = index.texts[p]
             edits = edits_allowed(len(pattern), index.error)
             from_, to = max(low - edits, 0), high + len(pattern) + 2 * edits + 1
@@ -220,10 +288,10 @@ def found_in(text: str | None, index: Index) -> list[tuple]:
             match = aligned(pattern, region, low - from_, high - from_, edits)
             if match:
                 cost, start, end = match
-                start, end = begin + from_ + start, begin + from_ + end
-                item = int(index.owner[p])
-                candidate = (cost, int(places[start]), int(places[end - 1]) + 1)
-                best[item] = min(best.get(item, candidate), candidate)
+                for item in index.owners[p]:
+                    candidate(item, cost, begin + from_ + start, begin + from_ + end)
+    for item, start, end in index.whole_words(chars):
+        candidate(item, 0, start, end)
     return [(index.items[i], start, end, cost) for i, (cost, start, end) in sorted(best.items())]
 
 
@@ -235,9 +303,9 @@ def matches(
 
     An item counts as held if one of its passages occurs with at most ``error`` of its length in edits,
     letter case and the amount of white space aside; start and end are code points of the whole text, of
-    the passage with the fewest edits, the first among equals. Items with null, empty or short texts
-    (under ``LEAST_CHARS``) and null or empty documents match nothing. Items of equal text are told apart by
-    their id. Repeated rows give repeated results; other columns are left out. Empty tables give none.
+    the passage with the fewest edits, the first among equals. Items of fewer than ``LEAST_CHARS`` characters count if
+    they occur without edits (case and white space aside) where no letter or digit goes on at either end. Items with null or
+    empty texts and null or empty documents match nothing. Items of equal text are told apart by their id. Repeated rows give repeated results; other columns are left out. Empty tables give none.
     """
     spark = docs.sparkSession
     ready_python(spark)

@@ -24,12 +24,12 @@ LEAST_DOCUMENTS, TOP, UNIT = 10, 10, 1_000_000_000
 #: Fixed value: letters A-Z and a-z, and all that is beyond ASCII.
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Different terms (by group) that a task holds before it hands their counts on.
-HELD = 1 << 19
+HELD = 1 << 20
 #: Texts of more characters are counted term by term, without a list of their terms.
 LONG = 1 << 20
 #: Groups (of a language and a source) whose numbers go to every worker, and kept terms whose digests do; more of them
 #: are joined with a shuffle.
-BROADCAST_GROUPS, BROADCAST_TERMS = 100_000, 2_000_000
+BROADCAST_GROUPS, BROADCAST_TERMS = 100_000, 1_000_000
 
 
 def terms_of(text: str) -> Counter:

@@ -1,12 +1,15 @@
 """Personal data: base patterns, and bootstrapped contextual extraction. DataFrame functions only.
 
 Matches of the base patterns are seeds. The words around them are lexical patterns; a pattern is as good as
-the share of its instances that are known, an instance as good as its patterns together. In a few rounds
-good instances become known, raise their patterns and so lead to identifiers that no base pattern matches.
+the share of its instances that are known, an instance as good as its patterns together. Round by round
+good instances become known, raise their patterns and so lead to identifiers that no base pattern matches,
+until a round finds nothing new.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,22 +32,32 @@ QUICK = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words with a digit or an at sign: what a pattern may turn out to point at.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Words with a digit or an at sign, with the groups of digits that follow: what a pattern may turn out to point at.
+TOKEN = (
+    r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+    r"(?:\x20[(+]?[0-9][0-9().,+/-]*+(?![^\x20\x09-\x0D]))*+"
+)
 #: A pattern counts from so many different known instances; an instance is accepted from this score.
 LEAST_KNOWN, ACCEPTED = 3, 0.9
-ROUNDS = 3
 #: An accepted instance has so many digits, or an at sign.
 LEAST_DIGITS = 5
-_NEAR = 64
+#: Characters around a match in which its words are sought, and matches before it that may stand there.
+_NEAR, _BACK = 64, 3
 
 
 def _matches(kind: str, pattern: str, found: str, gaps: str) -> Column:
-    """Matches in order, each with the length of the text since the one before and the words around."""
+    """Matches in order, each with the length of the text since the one before and the words around.
+
+    Gaps and matches in turn are the text, so what stands around a match is put together from those next to it.
+    """
+    before = [f"right({gaps}[i], {_NEAR})"]
+    for n in range(1, _BACK + 1):
+        before = [f"right(coalesce(get({gaps}, i - {n}), ''), {_NEAR})", f"right(coalesce(get({found}, i - {n}), ''), {_NEAR})", *before]
+    after = f"left({gaps}[i + 1], {_NEAR}), left(coalesce(get({found}, i + 1), ''), {_NEAR}), left(coalesce(get({gaps}, i + 2), ''), {_NEAR})"
     return F.expr(
         f"""CASE WHEN size({found}) > 0 THEN transform(sequence(0, size({found}) - 1), i -> struct(
             '{kind}' AS kind, i AS i, length({gaps}[i]) AS gap, {found}[i] AS value,
-            right({gaps}[i], {_NEAR}) AS before, left({gaps}[i + 1], {_NEAR}) AS after)) END"""
+            right(concat({", ".join(before)}), {_NEAR}) AS before, left(concat({after}), {_NEAR}) AS after)) END"""
     )
 
 
@@ -108,8 +121,13 @@ def occurrences(marks: DataFrame) -> DataFrame:
     rows = rows.withColumn("covered", F.max(base_end).over(past)).withColumn("coming", F.min(base_start).over(coming))
     free = (F.coalesce("covered", F.lit(0)) <= F.col("start")) & (F.coalesce("coming", F.col("end")) >= F.col("end"))
     fit = (F.length("digits") >= LEAST_DIGITS) | F.col("core").contains("@")
-    words = F.split(F.trim(F.regexp_replace(F.lower("before"), r"[\x20\x09-\x0D]+", " ")), " ")
-    following = F.split(F.trim(F.regexp_replace(F.lower("after"), r"[\x20\x09-\x0D]+", " ")), " ")
+
+    def around_words(part: str) -> Column:
+        """Words in lower case with every digit as #, so that numbers nearby don't make each context one of its own."""
+        plain = F.regexp_replace(F.regexp_replace(F.lower(part), r"[\x20\x09-\x0D]+", " "), "[0-9]", "#")
+        return F.split(F.trim(plain), " ")
+
+    words, following = around_words("before"), around_words("after")
     rows = rows.where(~token | (free & fit)).withColumn("words", words).withColumn("next", F.element_at(following, 1))
     two = F.when(F.size("words") >= 2, F.concat(F.lit("two "), F.element_at("words", -2), F.lit(" "), F.element_at("words", -1)))
     around = F.when(
@@ -120,16 +138,18 @@ def occurrences(marks: DataFrame) -> DataFrame:
     return rows.select("row", "kind", "start", "end", F.col("core").alias("value"), patterns.alias("patterns"))
 
 
-def bootstrapped(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def bootstrapped(found: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
     """(value, kind): the seeds of ``occurrences`` and what patterns lead to from them.
 
+    Rounds go on until one finds nothing new, or for ``rounds`` rounds; what is known only grows, so they end.
+
     Copies count once: a pattern is weighed by different instances. Counts are aggregated before they are
     joined, so a very common pattern or value is no burden on one task.
     """
     graph = scratch.keep(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "graph")
     seeds = found.where("kind <> 'token'").groupBy("value").agg(F.min_by("kind", _rank()).alias("kind"))
     known = scratch.keep(seeds, "known")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         edges = scratch.keep(graph.join(known, "value", "left"), "edges")
         sums = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
         share = [F.when(F.col(k) >= LEAST_KNOWN, F.col(k) / F.col("n")).otherwise(0.0).alias(k) for k in KINDS]
@@ -141,13 +161,15 @@ def bootstrapped(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> Da
         best = F.array_max(F.array(*(F.struct((1 - F.col(k)).alias("score"), F.lit(-n).alias("rank")) for n, k in enumerate(KINDS))))
         new = scores.select("value", best.alias("best")).where(F.col("best.score") >= ACCEPTED)
         new = scratch.keep(new.select("value", F.element_at(F.array(*map(F.lit, KINDS)), 1 - F.col("best.rank")).alias("kind")), "new")
+        scratch.drop(edges, weights)
         if new.isEmpty():
             break
-        known = scratch.keep(known.unionByName(new), "known")
+        known, before = scratch.keep(known.unionByName(new), "known"), known
+        scratch.drop(new, before)
     return known
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """(row, key, spans) for every row: all spans as struct(start, rank, end, kind, base), in order.
 
     ``base`` tells those of the base patterns from those that bootstrapping adds; an added span overlaps no
@@ -194,7 +216,7 @@ def masked(text: Column, spans_: Column) -> Column:
     )
 
 
-def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """``docs``, all columns, with each span of ``text`` replaced by its kind in angle brackets.
 
     Rows are written once with a number, by which spans meet their texts. Null texts stay null.

@@ -29,7 +29,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents"), length=400)
+    """A row per document; null texts are empty. Behind the contract's columns the words in passages that others share."""
+    return without_repeats(table(spark, sf_dir, "documents"), length=400, words=50)
 
 
 def op3_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +95,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_treeweight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; empty and null texts have score 0 and no bits per byte."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     found = treeweight.score(table(spark, sf_dir, "documents"), ~held_out)
-    return found.withColumn("held_out", held_out).withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes"))
+    bits = F.try_divide(-F.col("score") / F.log10(F.lit(2.0)), F.col("n_bytes"))
+    return found.withColumn("held_out", held_out).withColumn("bits_per_byte", bits)
 
 
 def op11_secretscan(spark: SparkSession, sf_dir: str) -> DataFrame:

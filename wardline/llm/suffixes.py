@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.passages import shared_words
+from wardline.llm.rolling import gram_hashes, lowest
 from wardline.llm.shared import Scratch, ready_python
 
 LENGTH, GRAM = 400, 64
@@ -27,43 +29,12 @@ LENGTH, GRAM = 400, 64
 CROWD = 1000
 #: Starts of a text that are worked on at a time; their number fits in the low bits of an order value.
 PIECE = (1 << 20) - 4096
+#: Bytes of texts in a bucket, about.
+BUCKET_BYTES = 64 << 20
 _PLACE = np.uint64((1 << 20) - 1)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 8
 #: Depth, in bytes beyond the gram, to which quicksort goes.
 SHALLOW = 32
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: int, size: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < size:
-        row = np.full(size, base, np.uint64)
-        row[0] = 1
-        _powers[name] = np.cumprod(row)
-    return _powers[name][:size]
-
-
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A well mixed hash of the ``gram`` bytes at each place, by one running sum over the data."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(data)), out=sums[1:])
-    found = (sums[gram:] - sums[:-gram]) * _power("down", pow(_BASE, -1, 1 << 64), len(sums) - gram)
-    found ^= found >> np.uint64(31)
-    found *= np.uint64(0xBF58476D1CE4E5B9)
-    found ^= found >> np.uint64(29)
-    return found
-
-
-def lowest(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` values in a row, from running minima of blocks in both directions."""
-    size = len(values) - width + 1
-    full = -(-len(values) // width) * width
-    padded = np.full(full, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(values)] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:size], ahead[width - 1 : width - 1 + size])
 
 
 def anchors(data: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
@@ -352,16 +323,22 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[
                 kept.update(data)
             out.append((len(data), removed, spans, kept.hexdigest()))
         columns = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.string()])]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        names = ["row", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), *columns], names)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row.
+def without_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, words: int | None = None
+) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row; with ``words`` also n_shared_words.
 
     Removed is each byte of a string of ``length`` bytes that starts anywhere else too, in the same text or
     another; strings overlap and are judged on the whole input. Texts are UTF-8, null is empty; texts
     shorter than ``length`` lose nothing. Repeated rows are texts of their own, so long ones go entirely.
     Other columns are left out.
+
+    ``n_shared_words`` counts the words of a row in passages of ``words`` words that another row has too, however few
+    bytes they are; nothing is removed for it.
     """
     spark = docs.sparkSession
     ready_python(spark)
@@ -370,7 +347,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     # Texts are written once, in buckets by row: what is later known of a row meets its text without
     # another shuffle of texts.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A bucket is one task later on, so there are more of them for more bytes.
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     table = f"texts_{scratch.folder[-32:]}"
     rows.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", scratch.path("texts")).format("parquet").saveAsTable(table)
     texts = spark.table(table)
@@ -395,7 +374,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     reached = scratch.keep(reached, "reached")
     held = filed.select("row", "anchor", "name").join(reached, ["anchor", "name"])
     held = held.groupBy("row").agg(F.collect_list(F.struct("anchor", "name", "before", "after")).alias("reaches"))
-    found = texts.join(held.hint("shuffle_merge"), "row", "left").select("key", "data", "reaches").mapInArrow(
-        lambda b: _cut(b, length, gram), f"key {shape}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    found = texts.join(held.hint("shuffle_merge"), "row", "left").select("row", "key", "data", "reaches").mapInArrow(
+        lambda b: _cut(b, length, gram), f"row long, key {shape}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
-    return found.withColumnRenamed("key", key)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    if words is not None:
+        found = found.join(shared_words(texts, scratch, words), "row", "left").fillna(0, ["n_shared_words"])
+        names.append("n_shared_words")
+    return found.select(F.col("key").alias(key), *names)

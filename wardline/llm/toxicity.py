@@ -44,7 +44,6 @@ IDENTITY_TERMS = (
     ("mujer", "hombre"),
     ("mujeres", "hombres"),
 )
-SWAPS = {term: tuple(t for t in line if t != term) for line in IDENTITY_TERMS for term in line}
 
 DIMENSIONS = 1 << 17
 BEGINNINGS = (4, 5, 6)
@@ -86,14 +85,19 @@ def vector(words: Counter) -> tuple[np.ndarray, np.ndarray]:
     return at, values.astype(np.float32)
 
 
-def swapped(words: Counter) -> Counter | None:
+def swaps(lines: tuple[tuple[str, ...], ...]) -> dict[str, str]:
+    """Each term of a line with the next one; the last with the first, so that a line's terms are all tied."""
+    return {term: line[(n + 1) % len(line)] for line in lines for n, term in enumerate(line) if len(line) > 1}
+
+
+def swapped(words: Counter, of: dict[str, str]) -> Counter | None:
     """The counts after each identity term is swapped for the next of its line; None without such a term."""
-    terms = [w for w in words if w in SWAPS]
+    terms = [w for w in words if w in of]
     if not terms:
         return None
-    out = Counter({w: n for w, n in words.items() if w not in SWAPS})
+    out = Counter({w: n for w, n in words.items() if w not in of})
     for word in terms:
-        out[SWAPS[word][0]] += words[word]
+        out[of[word]] += words[word]
     return out
 
 
@@ -164,15 +168,19 @@ def fit(rows: list[tuple], labels: list[int], pairs: list[tuple], fairness: floa
 
 def train(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    fit_rows: int = FIT_ROWS, fairness: float = FAIRNESS,
+    fit_rows: int = FIT_ROWS, fairness: float = FAIRNESS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
 ) -> Model:
     """Fit on the ``fit_rows`` different labelled texts of the lowest hash.
 
+    ``terms`` has lines of words, in lower case, that name groups; give the groups of the corpus here where the
+    built-in lines don't have them. A text without any of them is learnt from, but has no pair.
+
     ``labels`` has (key, label) of the rows to learn from; those without a label 0 or 1, or without a
     document, are left out, and copies with the same label count once. Hashes are chosen by keys alone;
     then the chosen texts become hashed vectors in Spark's tasks, and only those reach the driver.
     """
     ready_python(docs.sparkSession)
+    next_term = swaps(terms)
 
     @F.pandas_udf("at binary, value binary, other_at binary, other_value binary")
     def vectors(texts: pd.Series) -> pd.DataFrame:
@@ -180,7 +188,7 @@ def train(
         for t in texts:
             words = counted(t)
             at, value = vector(words)
-            other = swapped(words)
+            other = swapped(words, next_term)
             other_at, other_value = vector(other) if other is not None else (None, None)
             out.append((at.tobytes(), value.tobytes(), *(None if v is None else v.tobytes() for v in (other_at, other_value))))
         return pd.DataFrame(out, columns=["at", "value", "other_at", "other_value"])

@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from wardline.llm.shared import Scratch, ready_python
 
 DEPTH = 4
-#: Tables of at most this many bytes go to every worker; larger ones are joined instead, with equal results.
-BROADCAST_BYTES = 128 << 20
-ENTRY_BYTES = 16
+#: Entries (of 16 bytes) of the tables that go to every worker at a time. Larger tables go part by part; each part
+#: prices what falls in it, and the sums of a text are added up.
+PART_ENTRIES = 4 << 20
 #: Bytes of a text that are worked on at a time, and entries that a task holds before it hands them on.
 PIECE, HELD = 1 << 20, 1 << 20
 GRAM, WORD = 0, 1
+#: Parts are cut between keys that differ above their lowest bits, as doubles tell those apart.
+RANK_BITS = 16
 #: The token at the end of each text; no word has its empty spelling.
 END = xxhash.xxh64_intdigest(b"")
 
@@ -201,42 +203,65 @@ def code_lengths(counted: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     return bits.join(mixed, ["context", "node"]).groupBy("key").agg(F.sum(F.log10(chance)).alias("value"))
 
 
-def _priced(batches: Iterator[pa.RecordBatch], depth: int, tables: dict, unit: float) -> Iterator[pa.RecordBatch]:
-    gram_keys, gram_values = tables[GRAM]
-    keys_of, counts_of = tables[WORD]
+def _priced(batches: Iterator[pa.RecordBatch], depth: int, tables: dict, unit: float, first: bool) -> Iterator[pa.RecordBatch]:
+    """(row, n_bytes, n_tokens, n_known, base_score, score): what the keys of one part add to each text.
+
+    ``tables`` has for each kind (low, high, keys, values): the part's keys are from low to below high. A word of that
+    range that isn't in the table is unknown. The sizes count in the first part only.
+    """
+    low, high, gram_keys, gram_values = tables[GRAM]
+    word_low, word_high, keys_of, counts_of = tables[WORD]
     for batch in batches:
         out = []
-        for text in batch.column("text"):
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
             data = text.as_py() or b""
             own = 0.0
             for keys in grams(data, depth):
-                own += float(gram_values[np.searchsorted(gram_keys, keys)].sum())
+                if not (low is None and high is None):
+                    keys = keys[_within(keys, low, high)]
+                if len(keys):
+                    own += float(gram_values[np.searchsorted(gram_keys, keys)].sum())
             keys, times = word_keys(words_of(data))
-            keys = _signed(keys)
+            keys, size = _signed(keys), int(times.sum())
+            held = _within(keys, word_low, word_high)
+            keys, times = keys[held], times[held]
             at = np.minimum(np.searchsorted(keys_of, keys), max(len(keys_of) - 1, 0))
             counts = np.where(keys_of[at] == keys, counts_of[at], 0) if len(keys_of) else np.zeros(len(keys), np.int64)
             base = float((times * np.log10((counts + 0.5) / unit)).sum())
-            out.append((len(data), int(times.sum()), int(times[counts > 0].sum()), base, own))
-        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 3 + (pa.float64(),) * 2)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["key", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
+            out.append((row, len(data) * first, size * first, int(times[counts > 0].sum()), base, own))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.float64(),) * 2)]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
 
 
-def _items(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """(row, kind, key, n) of each text, for the join."""
-    for batch in batches:
-        for row, text in zip(batch.column("row"), batch.column("text")):
-            data, tally = text.as_py() or b"", _Tally()
-            for keys in grams(data, depth):
-                tally.add(keys)
-            words, times = word_keys(words_of(data))
-            for part in (*_rows(GRAM, *tally.take()), *_rows(WORD, _signed(words), times)):
-                own = pa.array(np.full(part.num_rows, row.as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([own, *part.columns], ["row", "kind", "key", "n"])
+def _within(keys: np.ndarray, low: int | None, high: int | None) -> np.ndarray:
+    held = np.ones(len(keys), bool)
+    if low is not None:
+        held &= keys >= low
+    if high is not None:
+        held &= keys < high
+    return held
+
+
+def _cuts(table: DataFrame, parts: int) -> list[tuple[int | None, int | None]]:
+    """Ranges of ``key`` that hold about as many rows each and together every key."""
+    found = table.approxQuantile("rank", [n / parts for n in range(1, parts)], 1 / (8 * parts)) if parts > 1 else []
+    cuts = sorted({int(c) << RANK_BITS for c in found})
+    return list(zip([None, *cuts], [*cuts, None]))
+
+
+def _part(table: DataFrame, low: int | None, high: int | None, value: str) -> tuple:
+    if low is not None:
+        table = table.where(F.col("key") >= low)
+    if high is not None:
+        table = table.where(F.col("key") < high)
+    whole = table.select("key", value).toArrow()
+    keys, values = (c.to_numpy() for c in whole.columns)
+    order = np.argsort(keys)
+    return low, high, keys[order], values[order]
 
 
 def score(
-    docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
-    depth: int = DEPTH, broadcast_bytes: int = BROADCAST_BYTES,
+    docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, part_entries: int = PART_ENTRIES,
 ) -> DataFrame:
     """Score every row: (key, n_bytes, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -244,6 +269,10 @@ def score(
     end token by their smoothed counts, ``score`` that of the text's bytes by the weighted context tree
     (0 for a null or empty text). Repeated rows are rows of their own; other columns are left out. Depth
     is 1 to 6 bytes. With nothing to learn from, every estimate is the prior's. An empty table gives none.
+
+    The priced grams and the counted words are read part by part: the driver and the workers hold about
+    ``part_entries`` of them at a time, and each part costs one more pass over the texts, in which a byte is
+    looked up only in the part that its gram falls in.
     """
     if not 1 <= depth <= 6:
         raise ValueError("depth is 1 to 6 bytes")
@@ -257,36 +286,29 @@ def score(
     unit = train_tokens + 0.5 * (vocabulary + 1)
     priced = scratch.keep(code_lengths(counted.where(F.col("kind") == GRAM).select("key", "n"), depth, scratch), "priced")
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text")
-    shape = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
-    if (vocabulary + priced.count()) * ENTRY_BYTES <= broadcast_bytes:
-        tables = {}
-        for kind, part, value in ((GRAM, priced, "value"), (WORD, words, "n")):
-            whole = part.select("key", value).toArrow()
-            keys = whole.column(0).to_numpy()
-            order = np.argsort(keys)
-            tables[kind] = (keys[order], whole.column(1).to_numpy()[order])
+    rows = scratch.numbered(docs.select(F.col(key).alias("key"), data), "row")
+    parts = max(1, -(-(vocabulary + priced.count()) // part_entries))
+    ranked = F.shiftright("key", RANK_BITS).alias("rank")
+    cuts = [_cuts(table.select(ranked), parts) for table in (priced, words)]
+    sums = []
+    # The two kinds may have been cut into unlike numbers of ranges; an empty range prices nothing.
+    for n in range(max(map(len, cuts))):
+        tables = {
+            kind: _part(table, *own[n], value) if n < len(own) else (0, 0, np.empty(0, np.int64), np.empty(0))
+            for kind, table, own, value in ((GRAM, priced, cuts[0], "value"), (WORD, words, cuts[1], "n"))
+        }
         shared = spark.sparkContext.broadcast(tables)
-        found = docs.select(F.col(key).alias("key"), data).mapInArrow(
-            lambda batches: _priced(batches, depth, shared.value, unit),
-            f"key {shape}, n_bytes long, n_tokens long, n_known long, base_score double, score double",
-        )
-    else:
-        rows = scratch.keep(docs.select(F.col(key).alias("key"), data, F.monotonically_increasing_id().alias("row")), "rows")
-        items = rows.select("row", "text").mapInArrow(lambda batches: _items(batches, depth), "row long, kind int, key long, n long")
-        values = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(
-            priced.select(F.lit(GRAM).alias("kind"), "key", "value")
-        )
-        values = scratch.keep(values, "values")
-        joined = items.join(values, ["kind", "key"], "left")
-        word, times = F.col("kind") == WORD, F.col("n")
-        sums = joined.groupBy("row").agg(
-            F.sum(F.when(~word, times).otherwise(0)).alias("n_bytes"),
-            F.sum(F.when(word, times).otherwise(0)).alias("n_tokens"),
-            F.sum(F.when(word & F.col("value").isNotNull(), times).otherwise(0)).alias("n_known"),
-            F.sum(F.when(word, times * F.log10((F.coalesce("value", F.lit(0.0)) + 0.5) / unit)).otherwise(0.0)).alias("base_score"),
-            F.sum(F.when(~word, times * F.col("value")).otherwise(0.0)).alias("score"),
+        found = rows.select("row", "text").mapInArrow(
+            lambda batches, shared=shared, n=n: _priced(batches, depth, shared.value, unit, n == 0),
+            "row long, n_bytes long, n_tokens long, n_known long, base_score double, score double",
         )
-        found = rows.select("row", "key").join(sums, "row").drop("row")
-    return found.select(
+        sums.append(scratch.keep(found, "sums"))
+        shared.unpersist()
+    names = ["n_bytes", "n_tokens", "n_known", "base_score", "score"]
+    whole = sums[0]
+    for more in sums[1:]:
+        whole = whole.unionByName(more)
+    whole = whole.groupBy("row").agg(*(F.sum(c).alias(c) for c in names))
+    return rows.select("row", "key").join(whole, "row").select(
         F.col("key").alias(key), "n_bytes", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

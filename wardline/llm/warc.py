@@ -115,6 +115,21 @@ def with_revisits(pages: DataFrame, key: str, uri: str, payload: str, least_byte
     return joined.select("key", "uri", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
 
 
+def sampled(pages: DataFrame, key: str, payload: str) -> list[tuple[str | None, str]]:
+    """(key, text) of at most SAMPLE_RECORDS rows of the lowest hash, with the first SAMPLE_CHARS characters.
+
+    Tasks first send their lowest hashes only; then the texts of those that are chosen are read, so that the driver
+    takes SAMPLE_RECORDS texts at any number of tasks. Rows of equal key and text have one hash and count once.
+    """
+    texts = pages.select(F.col(key).cast("string").alias("key"), F.substring(F.coalesce(F.col(payload), F.lit("")), 1, SAMPLE_CHARS).alias("text"))
+    hashed = texts.select(F.xxhash64("key", "text").alias("hash"), "key", "text")
+    lowest = hashed.select("hash").orderBy("hash").limit(SAMPLE_RECORDS).agg(F.max("hash").alias("most")).first()["most"]
+    if lowest is None:
+        return []
+    chosen = hashed.where(F.col("hash") <= lowest).groupBy("hash").agg(F.min(F.struct("key", "text")).alias("row"))
+    return [(r["row"]["key"], r["row"]["text"]) for r in chosen.orderBy("hash").collect()]
+
+
 def write(
     pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html",
     least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES,
@@ -125,12 +140,8 @@ def write(
     """
     ready_python(pages.sparkSession)
     rows = with_revisits(pages, key, uri, payload, least_bytes)
-    sample = (
-        pages.select(F.col(key).cast("string").alias("key"), F.substring(F.coalesce(F.col(payload), F.lit("")), 1, SAMPLE_CHARS).alias("text"))
-        .orderBy(F.xxhash64("key", "text"), "key", "text")
-        .limit(SAMPLE_RECORDS)
-    )
-    dictionary = train([record(r.key, None, r.text.encode(), None, False, date) for r in sample.collect()])
+    samples = [record(k, None, t.encode(), None, False, date) for k, t in sampled(pages, key, payload)]
+    dictionary = train(samples)
     archives = rows.mapInArrow(lambda batches: _archives(batches, dictionary, date, archive_bytes), "archive binary")
     (
         archives.select(F.col("archive").cast("string").alias("value"))
