@@ -11,9 +11,7 @@ its own task, and what crosses a slice edge travels in one of three exact ways:
               ranked inside the slices that stay.
 
 Rows without a time form a slice of their own: they are kept, counts of a look-back are null
-for them, and they are the oldest rows of their key. ``newest`` and ``lowest`` take null keys
-as a key of their own; elsewhere key columns must not be null, since joins on them are plain
-equi-joins.
+for them, and they are the oldest rows of their key. A null key is a key of its own everywhere.
 """
 
 from __future__ import annotations
@@ -25,13 +23,21 @@ from pyspark.sql import functions as F
 
 SLICE = "_slice"
 OWN = "_own"
+KEY = "_key"
+#: The slice of rows without a time; it comes before all others.
+TIMELESS = -(1 << 62)
 HOUR = 3_600_000_000
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def slice_of(at: str, width: int) -> Column:
-    """Index of the slice of ``width`` that holds ``at``, by whole-number division."""
-    return F.expr(f"(`{at}` - pmod(`{at}`, {width}L)) div {width}L")
+    """Index of the slice of ``width`` that holds ``at``, by whole-number division; TIMELESS without a time."""
+    return F.coalesce(F.expr(f"(`{at}` - pmod(`{at}`, {width}L)) div {width}L"), F.lit(TIMELESS))
+
+
+def key_of(keys: Sequence[str]) -> Column:
+    """The key columns as one value that is never null, so that joins on it match null keys too."""
+    return F.struct(*[F.col(key) for key in keys]) if keys else F.struct(F.lit(0))
 
 
 def halo(df: DataFrame, at: str, back: int, width: int | None = None) -> DataFrame:
@@ -40,7 +46,7 @@ def halo(df: DataFrame, at: str, back: int, width: int | None = None) -> DataFra
     Adds the slice and a flag that is true on the row's own copy.  Every look-back of up
     to ``back`` then sees all its rows inside (key, slice).  About back/width rows are
     copied; the default width keeps that at an eighth.  Rows whose ``at`` is null are own
-    rows of a slice without number.
+    rows of the slice TIMELESS.
     """
     width = max(width or 8 * back, back, 1)
     home = slice_of(at, width)
@@ -51,7 +57,7 @@ def halo(df: DataFrame, at: str, back: int, width: int | None = None) -> DataFra
 
 
 def halo_numbers(wide: DataFrame, df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str], name: str, width: int) -> DataFrame:
-    """1-based row numbers per key on the own rows of a ``halo`` frame of ``df``.
+    """1-based row numbers per key on the own rows of a ``halo`` frame of ``df``; its keys are not null.
 
     The frame is already spread by (key, slice), so only the small table of slice counts moves.
     """
@@ -109,28 +115,26 @@ def running(
     ``measures`` maps an output name to ("sum" | "max" | "min", column).
     """
     inputs = {name: f"_in_{name}" for name in measures}
-    sliced = df.withColumn(SLICE, slice_of(at, width)).withColumns(
+    sliced = df.withColumns({KEY: key_of(keys), SLICE: slice_of(at, width)}).withColumns(
         {inputs[name]: column for name, (_, column) in measures.items()}
     )
-    totals = sliced.groupBy(*keys, SLICE).agg(
+    totals = sliced.groupBy(KEY, SLICE).agg(
         *[_FOLDS[fold](inputs[name]).alias(f"_all_{name}") for name, (fold, _) in measures.items()]
     )
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    earlier = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *keys,
+        KEY,
         SLICE,
         *[
             _FOLDS[fold](f"_all_{name}").over(earlier).alias(f"_from_{name}")
             for name, (fold, _) in measures.items()
         ],
     )
-    inside = in_slice(keys, at, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    inside = in_slice([KEY], at, *ties).rowsBetween(Window.unboundedPreceding, 0)
     here = sliced.withColumns(
         {f"_here_{name}": _FOLDS[fold](inputs[name]).over(inside) for name, (fold, _) in measures.items()}
     )
-    joined = here.join(carried, [*keys, SLICE], "left")
+    joined = here.join(carried, [KEY, SLICE], "left")
     result = {}
     for name, (fold, _) in measures.items():
         before, now = F.col(f"_from_{name}"), F.col(f"_here_{name}")
@@ -139,7 +143,7 @@ def running(
         else:
             result[name] = (F.greatest if fold == "max" else F.least)(before, now)
     scratch = [f"{mark}{name}" for name in measures for mark in ("_in_", "_from_", "_here_")]
-    return joined.withColumns(result).drop(SLICE, *scratch)
+    return joined.withColumns(result).drop(KEY, SLICE, *scratch)
 
 
 def numbered(
@@ -194,34 +198,35 @@ def sessions(
     df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str], gap: int, width: int | None = None
 ) -> DataFrame:
     """Adds ``session_start``: a new session opens when more than ``gap`` passed since the
-    key's previous row.  (keys, session_start) names the session."""
-    before = F.lag(at).over(in_slice(keys, at, *ties))
+    key's previous row.  (keys, session_start) names the session; rows without a time are in none."""
+    keyed = df.withColumn(KEY, key_of(keys))
+    before = F.lag(at).over(in_slice([KEY], at, *ties))
     opening = F.col(OWN) & (before.isNull() | (F.col(at) - before > F.lit(gap)))
 
     def opened(rows: DataFrame) -> DataFrame:
         return halo(rows, at, gap, width).withColumn("_opens", F.when(opening, F.col(at)))
 
     # The latest opening of earlier slices: one row per key and slice, from the order columns alone.
-    last = opened(df.select(*keys, at, *ties)).groupBy(*keys, SLICE).agg(F.max("_opens").alias("_last"))
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(*keys, SLICE, F.max("_last").over(earlier).alias("_from"))
-    so_far = in_slice(keys, at, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    here = opened(df).withColumn("_here", F.max("_opens").over(so_far))
-    joined = own_rows(here.join(carried, [*keys, SLICE], "left"))
-    return joined.withColumn("session_start", F.coalesce("_here", "_from")).drop("_opens", "_here", "_from")
+    last = opened(keyed.select(KEY, at, *ties)).groupBy(KEY, SLICE).agg(F.max("_opens").alias("_last"))
+    earlier = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(KEY, SLICE, F.max("_last").over(earlier).alias("_from"))
+    so_far = in_slice([KEY], at, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    here = opened(keyed).withColumn("_here", F.max("_opens").over(so_far))
+    joined = own_rows(here.join(carried, [KEY, SLICE], "left"))
+    return joined.withColumn("session_start", F.coalesce("_here", "_from")).drop(KEY, "_opens", "_here", "_from")
 
 
 def previous(
     df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str], value: str, name: str, width: int = HOUR
 ) -> DataFrame:
     """Adds ``value`` of the key's row just before this one, however far back it is."""
-    sliced = df.withColumn(SLICE, slice_of(at, width))
+    sliced = df.withColumns({KEY: key_of(keys), SLICE: slice_of(at, width)})
     order = F.struct(at, *ties, F.col(value).alias("_value"))
-    last = sliced.groupBy(*keys, SLICE).agg(F.max(order).alias("_last"))
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE)
-    carried = last.select(*keys, SLICE, F.lag("_last").over(earlier)["_value"].alias("_carried"))
-    frame = in_slice(keys, at, *ties)
+    last = sliced.groupBy(KEY, SLICE).agg(F.max(order).alias("_last"))
+    earlier = Window.partitionBy(KEY).orderBy(SLICE)
+    carried = last.select(KEY, SLICE, F.lag("_last").over(earlier)["_value"].alias("_carried"))
+    frame = in_slice([KEY], at, *ties)
     here = sliced.withColumns({"_before": F.lag(value).over(frame), "_nth": F.row_number().over(frame)})
-    joined = here.join(carried, [*keys, SLICE], "left")
+    joined = here.join(carried, [KEY, SLICE], "left")
     found = F.when(F.col("_nth") > 1, F.col("_before")).otherwise(F.col("_carried"))
-    return joined.withColumn(name, found).drop(SLICE, "_carried", "_before", "_nth")
+    return joined.withColumn(name, found).drop(KEY, SLICE, "_carried", "_before", "_nth")

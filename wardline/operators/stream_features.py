@@ -33,7 +33,7 @@ def _named(df: DataFrame, user: str) -> DataFrame:
 
 
 def _saturating(count, full: int):
-    return F.bround(F.least(count / F.lit(float(full)), F.lit(1.0)), 4)
+    return F.when(count.isNotNull(), F.bround(F.least(count / F.lit(float(full)), F.lit(1.0)), 4))
 
 
 def activity_rates(

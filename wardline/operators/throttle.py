@@ -1,10 +1,16 @@
 """Throttles, whose decisions depend on the rows accepted before.
 
-No window frame expresses them.  Each (key, time slice) is folded on its own and hands its
-small end state to the key's next slice.  All slices start from the empty state; then only
-those whose real start state differs are folded again, until none differs.  Quiet stretches
-longer than the time-to-live empty the state, so a handful of rounds is usual; the result
-is exact in any case.  A task reads its rows sorted, in Arrow batches, and holds only the state.
+Duplicates (``throttle_dedup``): what a key sends next is a function of what it sent last, namely the first row
+after the lifetime. Rows after a quiet stretch longer than the lifetime are always sent; from them the sent rows are
+followed by pointers that double their length each round, so a stretch of n sent rows takes log n rounds of joins.
+
+Rates (``throttle_rate``, ``api_rate_limit``) carry a small state of tokens instead. Each (key, time slice) is
+folded on its own and hands its end state to the key's next slice.  All slices start from the empty state; then only
+those whose real start state differs are folded again, until none differs.  Quiet stretches longer than the
+time-to-live empty the state, so a handful of rounds is usual; the result is exact in any case.  A task reads its
+rows sorted, in Arrow batches, and holds only the state.
+
+A null key is a key of its own. Rows without a time have no decision, and none is made because of them.
 """
 
 from __future__ import annotations
@@ -12,11 +18,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.slices import SLICE, slice_of
-from wardline.session import settle
+from wardline.operators.slices import KEY, OWN, SLICE, in_slice, slice_of
+from wardline.session import settle, ship_package
 
 # Duplicate time, rate window and size, in microseconds and tokens.
 DEDUP_TTL = 180_000_000
@@ -55,6 +61,11 @@ def _runs(batches: Iterator[pd.DataFrame], group: list[str], at: str, name: str,
         yield None, [], [(key, begin, entries)]
 
 
+def named_key(keys: Sequence[str]) -> Column:
+    """The key columns as one text that is never null; a null column is left out of it."""
+    return F.to_json(F.struct(*[F.col(key) for key in keys]))
+
+
 def sliced_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -68,14 +79,16 @@ def sliced_fold(
 ) -> DataFrame:
     """``df`` with a ``decision`` per row.  ``name`` is the entry name a row may leave in the state.
 
-    Rows without a time must be filtered out before.  The default slice is a day, or twenty
-    times ``longest`` if that is more: traffic without any quiet stretch needs a round per slice.
+    The default slice is a day, or twenty times ``longest`` if that is more: traffic without any quiet
+    stretch needs a round per slice.  ``tie`` tells rows of one key and time apart.
     """
+    ship_package(df.sparkSession)
     width = max(width or max(DAY, 20 * longest), longest)
-    keys = list(keys)
+    keyed = df.withColumn(KEY, named_key(keys))
     slim = settle(
-        df.select(*keys, F.col(at), F.col(tie), F.col(name)).withColumn(SLICE, slice_of(at, width))
+        keyed.filter(F.col(at).isNotNull()).select(KEY, F.col(at), F.col(tie), F.col(name)).withColumn(SLICE, slice_of(at, width))
     )
+    keys = [KEY]
     group = [*keys, SLICE]
     kinds = {column.name: column.dataType.simpleString() for column in slim.schema}
     key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
@@ -119,22 +132,65 @@ def sliced_fold(
     starts = states.select(*group, F.col("_used").alias("_state"))
     mark_schema = f"{key_schema}, {at} {kinds[at]}, {tie} {kinds[tie]}, decision string"
     decided = in_order(slim.join(starts, group)).mapInPandas(marks, mark_schema)
-    return df.join(decided, [*keys, at, tie])
+    return keyed.join(decided, [KEY, at, tie], "left").select(*df.columns, "decision")
+
+
+def _links(moments: DataFrame, at: str, ttl: int, width: int) -> DataFrame:
+    """(key, at, head, to) of each moment of a key: whether it follows a quiet stretch, and the moment that is
+    sent next if this one is; ``to`` is null where a quiet stretch comes before that.
+
+    A moment stands in its slice and, near an edge, in the neighbour; the end of its lifetime stands only in the slice
+    that holds it. Sorted backwards, the least moment so far is the first one after such an end.
+    """
+    home = slice_of("_t", width)
+    start = home * F.lit(width)
+    near = F.array_compact(
+        F.array(home, F.when(F.col("_t") - start <= ttl, home - 1), F.when(start + width - F.col("_t") <= ttl, home + 1))
+    )
+    moment = moments.select(KEY, F.col(at).alias("_t"), F.lit(1).alias("_kind"))
+    spread = moment.withColumn(SLICE, F.explode(near)).withColumn(OWN, F.col(SLICE) == home)
+    before = F.max("_t").over(in_slice([KEY], "_t").rowsBetween(Window.unboundedPreceding, -1))
+    marked = spread.withColumn("_head", before.isNull() | (F.col("_t") - before > ttl))
+    ends = moments.select(KEY, (F.col(at) + ttl).alias("_t"), F.lit(0).alias("_kind")).withColumns(
+        {SLICE: slice_of("_t", width), OWN: F.lit(True), "_head": F.lit(False)}
+    )
+    whole = marked.unionByName(ends.select(*marked.columns))
+    later = F.when(F.col("_kind") == 1, F.struct("_t", "_head"))
+    following = F.min(later).over(in_slice([KEY], F.desc("_t"), "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    linked = whole.withColumn("_next", following)
+    heads = linked.filter((F.col("_kind") == 1) & F.col(OWN) & F.col("_head")).select(KEY, F.col("_t").alias(at), F.lit(True).alias("head"))
+    reached = (F.col("_next._t") - F.col("_t") <= ttl) & ~F.col("_next._head")
+    hops = linked.filter((F.col("_kind") == 0) & reached).select(
+        KEY, (F.col("_t") - ttl).alias(at), F.lit(False).alias("head"), F.col("_next._t").alias("to")
+    )
+    return heads.withColumn("to", F.lit(None).cast("bigint")).unionByName(hops)
 
 
 def throttle_dedup(
     alerts: DataFrame, keys: Sequence[str], at: str = "at", tie: str = "seq", ttl: int = DEDUP_TTL, width: int | None = None
 ) -> DataFrame:
-    """``decision`` is sent, or duplicate up to ``ttl`` after the last sent row of the key."""
-
-    def fold(entries, now, label):
-        if entries:
-            return "duplicate"
-        entries.append(("", now))
-        return "sent"
+    """``decision`` is sent, or duplicate up to ``ttl`` after the last sent row of the key.
 
-    named = alerts.withColumn("_name", F.lit(""))
-    return sliced_fold(named, keys, at, tie, "_name", fold, lambda _: ttl, ttl, width).drop("_name")
+    Of rows at one time the first by ``tie`` is sent.  Keys are cut into slices of ``width`` to find where each
+    sent row leads; then rounds of joins follow the pointers, twice as far in each.
+    """
+    width = max(width or 20 * ttl, 2 * ttl, 1)
+    keyed = alerts.withColumn(KEY, named_key(keys))
+    moments = settle(keyed.filter(F.col(at).isNotNull()).groupBy(KEY, at).agg(F.min(tie).alias("_first")))
+    links = settle(_links(moments, at, ttl, width))
+    sent = links.filter("head").select(KEY, at)
+    hops = links.filter("NOT head").select(KEY, at, "to")
+    while not hops.isEmpty():
+        # ``sent`` holds the first moments of each stretch, as many as a hop is long; a hop leads to as many more.
+        led = sent.join(hops, [KEY, at]).select(KEY, F.col("to").alias(at))
+        sent = settle(sent.unionByName(led))
+        further = hops.select(KEY, F.col(at).alias("to"), F.col("to").alias("_far"))
+        hops = settle(hops.join(further, [KEY, "to"]).select(KEY, at, F.col("_far").alias("to")))
+    first = moments.join(sent, [KEY, at]).select(KEY, at, "_first", F.lit(True).alias("_sent"))
+    joined = keyed.join(first, [KEY, at], "left")
+    is_first = F.col("_sent") & F.col(tie).eqNullSafe(F.col("_first"))
+    decision = F.when(F.col(at).isNotNull(), F.when(is_first, "sent").otherwise("duplicate"))
+    return joined.withColumn("decision", decision).select(*alerts.columns, "decision")
 
 
 def spaced_out(df: DataFrame, keys: Sequence[str], at: str, spacing: int, width: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.fields import beside
-from wardline.operators.slices import HOUR, newest, numbered, running
+from wardline.operators.slices import HOUR, KEY, key_of, newest, numbered, running
 
 FILTERS = {
     "host_id": "host",
@@ -177,13 +177,16 @@ def events_since(
 
 
 def positions(df: DataFrame, keys: list[str], at: str = "at", tie: str = "seq", width: int = HOUR) -> DataFrame:
-    """Adds the 0-based ``position`` of each event, the total and the progress in percent."""
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    placed = numbered(df, keys, at, [tie], "_row", width)
-    joined = placed.join(totals, keys) if keys else beside(placed, totals)
+    """Adds the 0-based ``position`` of each event, the total and the progress in percent.
+
+    A null key is a key of its own; rows without a time come first.
+    """
+    placed = numbered(df, keys, at, [tie], "_row", width).withColumn(KEY, key_of(keys))
+    totals = df.groupBy(key_of(keys).alias(KEY)).agg(F.count(F.lit(1)).alias("total"))
+    joined = placed.join(totals, KEY) if keys else beside(placed, totals.drop(KEY))
     return joined.withColumns(
         {"position": F.col("_row") - 1, "progress": F.bround(F.col("_row") / F.col("total") * 100.0, 2)}
-    ).drop("_row")
+    ).drop("_row", KEY)
 
 
 def step(df: DataFrame, index: int, count: int, at: str = "at", tie: str = "seq", width: int = HOUR) -> DataFrame:
