@@ -7,6 +7,7 @@ only; the last hundred prediction errors are kept for the drift check.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,6 +132,73 @@ def online_update(
     return fresh
 
 
+class ModelStore:
+    """Versions of the online model in a folder, and a pointer to those that count.
+
+    Each batch leaves its version in a folder of its own. The pointer says which version serves and which is the last one
+    learnt; it is a small file that is replaced by renaming, so a reader finds the old one or the new one. A model that
+    drifts is rolled back by pointing at the version that was stable. Readers open the pointer and two versions at
+    most, however many there are.
+    """
+
+    POINTER = "pointer.json"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        jvm = spark.sparkContext._jvm
+        self._fs = jvm.org.apache.hadoop.fs
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _place(self, name: str):
+        return self._fs.Path(f"{self.path}/{name}")
+
+    def pointer(self) -> dict | None:
+        place = self._place(self.POINTER)
+        if not place.getFileSystem(self._conf).exists(place):
+            return None
+        return json.loads("".join(r.value for r in self.spark.read.text(place.toString()).collect()))
+
+    def _version(self, batch_id: int) -> OnlineState:
+        row = self.spark.read.schema("batch_id bigint, state string").json(f"{self.path}/batch={batch_id}").first()
+        return OnlineState(**json.loads(row["state"]))
+
+    def newest(self, before: int | None = None) -> OnlineState:
+        """The version that serves, with the errors of the last one; as it was before batch ``before``, or a fresh one."""
+        pointer = self.pointer()
+        while pointer and before is not None and pointer["last"] >= before:
+            pointer = pointer["earlier"]
+        if not pointer:
+            return OnlineState()
+        state = self._version(pointer["serves"])
+        if pointer["last"] != pointer["serves"]:
+            last = self._version(pointer["last"])
+            state.errors, state.drift_detected = last.errors, last.drift_detected
+        state.stable = {**asdict(state), "stable": None}
+        return state
+
+    def publish(self, state: OnlineState, batch_id: int) -> None:
+        """Store the version of a batch and point at it, or after drift at the version that served before."""
+        save_state(self.spark, state, self.path, batch_id)
+        earlier = self.pointer()
+        while earlier and earlier["last"] >= batch_id:
+            earlier = earlier["earlier"]
+        serves = earlier["serves"] if state.drift_detected and earlier else batch_id
+        # One step back is enough to repeat the last batch.
+        kept = {**earlier, "earlier": None} if earlier else None
+        self._replace(json.dumps({"serves": serves, "last": batch_id, "version": state.version, "earlier": kept}))
+
+    def _replace(self, text: str) -> None:
+        draft, place = self._place(f".pointer-{uuid.uuid4().hex}"), self._place(self.POINTER)
+        stream = place.getFileSystem(self._conf).create(draft, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        gateway = self.spark.sparkContext._gateway
+        rename = getattr(self._fs, "Options$Rename")
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        self._fs.FileContext.getFileContext(draft.toUri(), self._conf).rename(draft, place, options)
+
+
 def save_state(spark: SparkSession, state: OnlineState, path: str, batch_id: int) -> None:
     """One JSON row per batch, in a folder of its own: a repeated batch overwrites only itself."""
     spark.createDataFrame([(batch_id, json.dumps(asdict(state)))], "batch_id bigint, state string").write.mode(
@@ -139,15 +207,8 @@ def save_state(spark: SparkSession, state: OnlineState, path: str, batch_id: int
 
 
 def load_state(spark: SparkSession, path: str, before: int | None = None) -> OnlineState:
-    """The newest stored state (older than batch ``before``), or a fresh one."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return OnlineState()
-    kept = spark.read.schema("batch_id bigint, state string").json(path)
-    if before is not None:
-        kept = kept.filter(F.col("batch_id") < before)
-    newest_row = kept.agg(F.max_by("state", "batch_id").alias("state")).first()
-    return OnlineState(**json.loads(newest_row["state"])) if newest_row["state"] else OnlineState()
+    """The state that serves (as it was before batch ``before``), or a fresh one."""
+    return ModelStore(spark, path).newest(before)
 
 
 def learn_batches(path: str, label: str = "label", rate: float = 0.5, sink=None):
@@ -159,11 +220,12 @@ def learn_batches(path: str, label: str = "label", rate: float = 0.5, sink=None)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = load_state(spark, path, batch_id)
+        store = ModelStore(spark, path)
+        state = store.newest(batch_id)
         held = batch.persist()
         if sink is not None:
             sink(online_predict(held, state), batch_id)
-        save_state(spark, online_update(held, state, label, rate), path, batch_id)
+        store.publish(online_update(held, state, label, rate), batch_id)
         held.unpersist()
 
     return handle

@@ -42,6 +42,15 @@ def incident_parts(df: DataFrame, user: str) -> tuple[Column, Column, Column]:
     return F.coalesce(F.col(user), F.lit("unknown")), field(df, "source", "unknown"), device
 
 
+def risky_events(df: DataFrame, user: str = "user_name") -> DataFrame:
+    """Events that belong to an incident, with their ``incident_attack`` and ``incident_key``."""
+    risky = df.filter(
+        (F.coalesce(F.col("risk_score"), F.lit(0.0)) >= RISKY) | F.col("severity").isin("high", "critical")
+    )
+    attack = incident_attack_type(df)
+    return risky.withColumns({"incident_attack": attack, "incident_key": F.concat_ws("|", attack, *incident_parts(df, user))})
+
+
 def sessionize_incidents(
     df: DataFrame,
     gap: float = GAP_SECONDS,
@@ -51,19 +60,7 @@ def sessionize_incidents(
     width: int | None = None,
 ) -> DataFrame:
     """Risky events with ``incident_key``, ``session_start`` and ``incident_id``."""
-    risky = df.filter(
-        (F.coalesce(F.col("risk_score"), F.lit(0.0)) >= RISKY) | F.col("severity").isin("high", "critical")
-    )
-    keyed = risky.withColumns(
-        {
-            "incident_attack": incident_attack_type(df),
-            "incident_key": F.concat_ws(
-                "|",
-                incident_attack_type(df),
-                *incident_parts(df, user),
-            ),
-        }
-    )
+    keyed = risky_events(df, user)
     cut = sessions(keyed, ["incident_key"], at, [tie], seconds_to_micros(gap), width)
     return cut.withColumn("incident_id", _incident_id())
 
@@ -92,6 +89,11 @@ def incident_rollup(sessions_df: DataFrame, user: str = "user_name", at: str = "
         F.array_sort(F.collect_set("event_type")).alias("event_types"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(triggers)))).alias("triggers"),
     )
+    return described(grouped)
+
+
+def described(grouped: DataFrame, status: Column | None = None, *extra: str) -> DataFrame:
+    """Incidents with id, severity, share and summary, from their counts; the columns of ``extra`` beside them."""
     shown = F.initcap(F.replace("incident_attack", F.lit("_"), F.lit(" ")))
     named = F.when(F.size("triggers") > 0, F.array_join("triggers", ", ")).otherwise("correlated anomalies")
     rolled = grouped.withColumns(
@@ -109,7 +111,7 @@ def incident_rollup(sessions_df: DataFrame, user: str = "user_name", at: str = "
         "user",
         "source",
         "severity",
-        F.lit("open").alias("status"),
+        (F.lit("open") if status is None else status).alias("status"),
         exact_round(F.col("_share"), 4).alias("risk_score"),
         "event_count",
         "event_types",
@@ -124,6 +126,7 @@ def incident_rollup(sessions_df: DataFrame, user: str = "user_name", at: str = "
             F.lit(" severity and peak risk score "), fixed_text(F.col("_peak"), 1),
             F.lit(". Indicators: "), named, F.lit("."),
         ).alias("summary"),
+        *extra,
     )
 
 

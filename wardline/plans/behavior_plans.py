@@ -25,9 +25,9 @@ KEYED = f"""risky AS (SELECT *, value AS risk_score,
  sess AS (SELECT *, min(us) OVER (PARTITION BY key, nth) AS session_start FROM cut)"""
 
 
-def sessions_of(spark, sf_dir):
+def incident_feed(spark, sf_dir):
     k = F.col("k")
-    fed = security_events(spark, sf_dir).withColumns(
+    return security_events(spark, sf_dir).withColumns(
         {
             "risk_score": F.col("value"),
             "anomaly_score": k / 100.0,
@@ -36,7 +36,42 @@ def sessions_of(spark, sf_dir):
             ),
         }
     )
-    return incidents.sessionize_incidents(fed, gap=GAP_DAYS * 86400, width=WIDTH)
+
+
+def sessions_of(spark, sf_dir):
+    return incidents.sessionize_incidents(incident_feed(spark, sf_dir), gap=GAP_DAYS * 86400, width=WIDTH)
+
+
+def _iso(us: str) -> str:
+    return (
+        f"strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {us} % 1000000 <> 0 THEN '.' || lpad(CAST({us} % 1000000 AS VARCHAR), 6, '0')"
+        " ELSE '' END || '+00:00'"
+    )
+
+
+# All columns of the rollup, the whole summary with them.
+ROLLED = f"""{SEC}, {KEYED}, g AS (SELECT key, session_start, any_value(attack) AS attack_type, any_value(user_name) AS "user", any_value(source) AS source,
+      min(us) AS start_at, max(us) AS end_at, max(risk_score) AS peak, count(DISTINCT event_id) AS event_count,
+      max(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS r,
+      array_to_string(list_sort(list(DISTINCT event_type)), ',') AS event_types, max(CASE WHEN k % 10 = 3 THEN 1 ELSE 0 END) AS t
+      FROM sess GROUP BY key, session_start),
+    rolled AS (SELECT sha256(key || '|' || CAST(session_start AS VARCHAR)) AS incident_id, attack_type, "user", source, start_at, end_at,
+      ['low','medium','high','critical'][r + 1] AS severity, {exact_round_sql("(peak / 100e0)", 4)} AS risk_score, event_count, event_types,
+      CASE WHEN t = 1 THEN 'odd,suspicious_port' ELSE '' END AS triggers,
+      CASE attack_type WHEN 'bruteforce' THEN 'Bruteforce' WHEN 'port_scan' THEN 'Port Scan' WHEN 'suspicious_process' THEN 'Suspicious Process'
+        WHEN 'lateral_movement' THEN 'Lateral Movement' WHEN 'anomaly' THEN 'Anomaly' ELSE 'Unknown' END
+      || ' activity correlated for user ' || "user" || '. ' || CAST(event_count AS VARCHAR) || ' events were grouped between ' || {_iso("start_at")}
+      || ' and ' || {_iso("end_at")} || ' with ' || ['low','medium','high','critical'][r + 1] || ' severity and peak risk score '
+      || printf('%.1f', {exact_round_sql("peak", 1)}) || '. Indicators: '
+      || CASE WHEN t = 1 THEN 'odd, suspicious_port' ELSE 'correlated anomalies' END || '.' AS summary FROM g)"""
+
+
+def rolled_columns(found):
+    joined = {name: F.array_join(name, ",") for name in ("event_types", "triggers")}
+    return found.withColumns(joined).select(
+        "incident_id", "attack_type", "user", "source", "start_at", "end_at", "severity", "risk_score", "event_count", "event_types",
+        "triggers", "summary",
+    )
 
 
 @plan(
@@ -49,24 +84,9 @@ def _sessions(spark, sf_dir):
     )
 
 
-@plan(
-    "incident_rollup",
-    f"""WITH {SEC}, {KEYED}, g AS (SELECT key, session_start, any_value(attack) AS attack_type, any_value(user_name) AS "user", any_value(source) AS source,
-      min(us) AS start_at, max(us) AS end_at, max(risk_score) AS peak, count(DISTINCT event_id) AS event_count,
-      max(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS r,
-      array_to_string(list_sort(list(DISTINCT event_type)), ',') AS event_types, max(CASE WHEN attack = 'port_scan' OR k % 10 = 3 THEN 1 ELSE 0 END) AS t
-      FROM sess GROUP BY key, session_start)
-    SELECT sha256(key || '|' || CAST(session_start AS VARCHAR)) AS incident_id, attack_type, "user", source, start_at, end_at,
-      ['low','medium','high','critical'][r + 1] AS severity, {exact_round_sql("(peak / 100e0)", 4)} AS risk_score, event_count, event_types,
-      CASE WHEN t = 1 THEN 'odd, suspicious_port' ELSE 'correlated anomalies' END AS indicators FROM g""",
-)
+@plan("incident_rollup", f"WITH {ROLLED} SELECT * FROM rolled")
 def _rollup(spark, sf_dir):
-    rolled = incidents.incident_rollup(sessions_of(spark, sf_dir))
-    return rolled.select(
-        "incident_id", "attack_type", "user", "source", "start_at", "end_at", "severity", "risk_score",
-        "event_count", F.array_join("event_types", ",").alias("event_types"),
-        F.regexp_extract("summary", r"Indicators: (.*)\.$", 1).alias("indicators"),
-    )
+    return rolled_columns(incidents.incident_rollup(sessions_of(spark, sf_dir)))
 
 
 @plan(

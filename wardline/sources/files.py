@@ -13,6 +13,15 @@ from wardline.sources.schemas import AUTH_FLOW, CANONICAL_EVENT, TIMELINE_EVENT
 BAD = "_malformed"
 
 
+def json_fields(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """The lines with the fields of their JSON beside them, and whether they are malformed; blank lines are left out."""
+    filled = lines.filter(F.trim(F.col(column)) != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    parsed = filled.withColumn("_json", F.from_json(column, f"{schema}, {BAD} string", options))
+    broken = F.col("_json").isNull() | F.col(f"_json.{BAD}").isNotNull()
+    return parsed.select(*lines.columns, "_json.*", broken.alias("_broken")).drop(BAD)
+
+
 def parse_json_lines(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(records, malformed lines) of a text column; blank lines are neither."""
     filled = lines.filter(F.trim(F.col(column)) != "")

@@ -42,9 +42,12 @@ def score_batches(
     login_span: float = LOGIN_SPAN,
     request_span: float = REQUEST_SPAN,
     chain_span: float = CHAIN_SPAN,
+    predict: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that scores a batch and gives it to ``sink(scored, batch_id)``.
 
+    ``predict(featured, batch_id)`` adds ``ml_score``; without it the score before any learning is taken.
+
     Kept for the next batch in ``folder`` (a shared one): rows within the longest window of the
     latest event, and each user's last rows that fill the address ring.
     """
@@ -58,12 +61,9 @@ def score_batches(
         featured = suspicious_chain(
             stream_features(rows, login_span=login_span, request_span=request_span), span=chain_span
         )
-        scored = risk_score(
-            recommended_response(featured.filter("_fresh").drop("_fresh")).withColumns(
-                {"ml_score": cold_start_score(), "user_behavior_score": user_behavior_score()}
-            )
-        )
-        sink(scored, batch_id)
+        responded = recommended_response(featured.filter("_fresh").drop("_fresh"))
+        modelled = responded.withColumn("ml_score", cold_start_score()) if predict is None else predict(responded, batch_id)
+        sink(risk_score(modelled.withColumn("user_behavior_score", user_behavior_score())), batch_id)
         latest = rows.agg(F.max("at")).first()[0]
         plain = rows.drop("_fresh")
         if latest is not None:

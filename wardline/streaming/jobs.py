@@ -1,8 +1,7 @@
 """Streaming jobs.  Each takes a streaming frame and returns one (or more) to be written.
 
-Event time counts: within a micro-batch a key's rows are handled in (time, id) order. In window
-features and incidents, rows older than the watermark are dropped by Spark and show in its progress
-metrics; alert throttles take rows as they come.
+Event time counts: within a micro-batch a key's rows are handled in (time, id) order. Rows older than the
+watermark are dropped by Spark and show in its progress (``wardline.streaming.lag``).
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wardline.functions import risk
 from wardline.functions.casts import instant, seconds_to_micros
 from wardline.operators import alerts, behavior, normalize, quality, scoring, ueba
-from wardline.operators.incidents import GAP_SECONDS, RISKY, incident_attack_type, incident_parts
+from wardline.operators.incidents import GAP_SECONDS
 from wardline.operators.stream_features import (
     ADDRESS_RING,
     LOGIN_FULL,
@@ -29,9 +28,11 @@ from wardline.operators.stream_features import (
     cold_start_score,
     user_behavior_score,
 )
-from wardline.operators.throttle import DEDUP_TTL, RATE_LIMIT, RATE_SPAN, expired, rate_fold
-from wardline.sources.files import parse_json_lines
+from wardline.operators.throttle import DEDUP_TTL, RATE_LIMIT, RATE_SPAN
+from wardline.session import ship_package
+from wardline.sources.files import json_fields
 from wardline.sources.schemas import CANONICAL_EVENT
+from wardline.streaming.incidents import incident_versions
 from wardline.streaming.io import use_rocksdb
 
 USER_STATE = "body string"
@@ -68,7 +69,17 @@ class UserWindows(StatefulProcessor):
         self.state = handle.getValueState("windows", USER_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable").reset_index(drop=True)
+        names = [part.split()[0] for part in WINDOW_SCHEMA.split(", ")]
+        frame = pd.concat(list(rows))
+        timeless = frame[frame["at"].isna()]
+        if len(timeless):
+            # A row without a time looks back on nothing and is not looked back on.
+            yield timeless[self.columns].assign(**dict.fromkeys(names))
+            frame = frame[frame["at"].notna()]
+            if not len(frame):
+                return
+            frame = frame.assign(at=frame["at"].astype("int64"))
+        frame = frame.sort_values(["at", "seq"], kind="stable").reset_index(drop=True)
         held = json.loads(self.state.get()[0]) if self.state.exists() else {"seen": [], "hosts": {}}
         seen, hosts = held["seen"], held["hosts"]
         full = max(LOGIN_FULL, REQUEST_FULL)
@@ -102,8 +113,7 @@ class UserWindows(StatefulProcessor):
         trails = {host: _kept(trail, watermark, self.chain_rows, self.chain) for host, trail in hosts.items()}
         seen = _kept(seen, watermark, max(full, ADDRESS_RING))
         self.state.update((json.dumps({"seen": seen, "hosts": {h: t for h, t in trails.items() if t}}),))
-        self.handle.registerTimer((seen[-1][0] + max(self.chain, self.login, self.request)) // 1000 + IDLE_MS)
-        names = [part.split()[0] for part in WINDOW_SCHEMA.split(", ")]
+        self.handle.registerTimer(int(seen[-1][0] + max(self.chain, self.login, self.request)) // 1000 + IDLE_MS)
         yield pd.concat([frame[self.columns], pd.DataFrame(made, columns=names)], axis=1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -123,8 +133,13 @@ def window_features(
     chain_span: float = behavior.CHAIN_SPAN,
     lateness: str = "10 minutes",
 ) -> DataFrame:
-    """A stream of events (with ``ts``, ``at``, ``seq``) and their window features, state keyed by user."""
+    """A stream of events (with ``ts``, ``at``, ``seq``) and their window features, state keyed by user.
+
+    A missing user is "unknown", as in the batch operators; the features of rows without a time are null.
+    """
     use_rocksdb(events.sparkSession)
+    ship_package(events.sparkSession)
+    events = events.withColumn("user_name", F.coalesce("user_name", F.lit("unknown")))
     columns = events.columns
     schema = ", ".join(f"`{name}` {kind}" for name, kind in events.dtypes) + ", " + WINDOW_SCHEMA
     windows = UserWindows(
@@ -180,89 +195,137 @@ def windows_stream(records: DataFrame, **windows) -> DataFrame:
     return score_stream(events, **windows)
 
 
-def ingest_stream(lines: DataFrame, schema: str = CANONICAL_EVENT, lateness: str = "1 hour") -> tuple[DataFrame, DataFrame]:
-    """(canonical events, dead letters) of a stream of JSON lines; write each with its own query.
+def judge_lines(lines: DataFrame, schema: str = CANONICAL_EVENT) -> DataFrame:
+    """Each JSON line (``value``) with its canonical event, ``tenant_id``, ``ts``, and ``dlq_reason`` if it is none.
 
-    Events without a tenant, a readable time or readable numbers go to the dead letters, as the line
-    they came as and with the reason, so that they can be mended and replayed.  Repeated ids are
-    dropped while the watermark remembers them.
+    Events without a tenant, a readable time or readable numbers are none. One pass: both sorts are told
+    apart by the reason.
     """
-    kept = lines.withColumn("_line", F.col("value"))
-    good, malformed = parse_json_lines(kept, schema)
+    fields = json_fields(lines.select(F.col("value").alias("_line")), schema, "_line")
     tenant = F.nullif(F.coalesce(F.col("tenant_id"), F.try_element_at("metadata", F.lit("tenant_id"))), F.lit(""))
-    checked = normalize.canonicalize(good.withColumn("_tenant", tenant).drop("tenant_id"), keep=["_line", "_tenant"])
-    timed = checked.withColumn("tenant_id", F.col("_tenant")).withColumn("ts", instant("timestamp"))
+    keep = ["_line", "_broken", "_tenant"]
+    checked = normalize.canonicalize(fields.withColumn("_tenant", tenant).drop("tenant_id"), keep=keep)
+    timed = checked.withColumns({"tenant_id": F.col("_tenant"), "ts": instant("timestamp")})
     reason = (
-        F.when(F.col("tenant_id").isNull(), "tenant_id is required")
+        F.when(F.col("_broken"), "malformed JSON")
+        .when(F.col("tenant_id").isNull(), "tenant_id is required")
         .when(F.col("ts").isNull(), "timestamp is not readable")
         .when(F.col("event_id") == normalize.FALLBACK["event_id"], "a number or the severity is not readable")
     )
-    judged = timed.withColumn("dlq_reason", reason)
+    return timed.withColumn("dlq_reason", reason).withColumnRenamed("_line", "value").drop("_broken", "_tenant")
+
+
+def ingest_stream(lines: DataFrame, schema: str = CANONICAL_EVENT, lateness: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """(canonical events, dead letters) of a stream of JSON lines; write each with its own query.
+
+    Dead letters are the line as it came and the reason, so that they can be mended and replayed.  Repeated
+    ids are dropped while the watermark remembers them.  ``process.process_lines`` does both in one query.
+    """
+    judged = judge_lines(lines, schema)
     events = (
-        judged.filter("dlq_reason IS NULL").drop("dlq_reason", "_line", "_tenant")
+        judged.filter("dlq_reason IS NULL").drop("dlq_reason", "value")
         .withWatermark("ts", lateness)
         .dropDuplicatesWithinWatermark(["event_id"])
     )
-    rejected = judged.filter("dlq_reason IS NOT NULL").select(F.col("_line").alias("value"), "dlq_reason")
-    return events, rejected.unionByName(malformed.select("value", "dlq_reason"))
+    return events, judged.filter("dlq_reason IS NOT NULL").select("value", "dlq_reason")
 
 
 def incident_stream(
     scored: DataFrame, gap: float = GAP_SECONDS, lateness: str = "10 minutes", user: str = "user_name"
 ) -> DataFrame:
-    """Incidents as session windows, emitted once no event can extend them any more."""
-    risky = scored.filter((F.coalesce(F.col("risk_score"), F.lit(0.0)) >= RISKY) | F.col("severity").isin("high", "critical"))
-    keyed = risky.withColumn("attack_type", incident_attack_type(scored)).withWatermark("ts", lateness)
-    who, source, device = incident_parts(scored, user)
-    sessions = keyed.groupBy(
-        F.session_window("ts", f"{int(gap)} seconds").alias("_window"), "attack_type", who.alias("user"),
-        source.alias("source"), device.alias("device"),
-    ).agg(
-        F.count(F.lit(1)).alias("event_count"), F.min("at").alias("start_at"), F.max("at").alias("end_at"),
-        F.max("risk_score").alias("peak_risk"), F.max(risk.severity_rank("severity")).alias("_rank"),
-    )
-    return sessions.withColumn("severity", risk.severity_of_rank("_rank")).drop("_rank", "_window")
+    """Versions of incidents and, once an incident is closed, its members; see ``wardline.streaming.incidents``."""
+    return incident_versions(scored, gap, lateness, user)
 
 
-THROTTLE_STATE = "names array<string>, times array<bigint>"
+#: Alerts of so much event time are decided together, once the watermark has passed them.
+BUCKET_MS = 10_000
 
 
 class AlertThrottle(StatefulProcessor):
-    """Delivery decisions of one tenant's alerts in time order."""
+    """Delivery decisions of one tenant's alerts in event time.
 
-    def __init__(self, columns: list[str], limit: int, span: int, ttl: int) -> None:
-        self.columns, self.limit, self.span, self.ttl = columns, limit, span, ttl
+    Alerts wait in buckets of event time until the watermark has passed their bucket, so disorder within the watermark
+    changes nothing; later ones are dropped and counted by Spark. The tokens of the last ``span`` are a short
+    list; the times of sent alerts are kept by dedup key, each on its own, and cleared ``ttl`` after the watermark
+    has passed them.
+    """
+
+    def __init__(self, columns: list[str], limit: int, span: int, ttl: int, bucket_ms: int) -> None:
+        self.columns, self.limit, self.span, self.ttl, self.bucket = columns, limit, span, ttl, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("entries", THROTTLE_STATE)
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket bigint", "rows string")
+        self.sent = handle.getMapState("sent", "name string", "at bigint")
+        self.tokens = handle.getValueState("tokens", "times array<bigint>, swept bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable").reset_index(drop=True)
-        names, times = self.state.get() if self.state.exists() else ([], [])
-        entries = [(n, int(t)) for n, t in zip(names, times)]
-        decide = rate_fold(self.limit)
-        decisions = []
-        for at, name in zip(frame["at"], frame["dedup_key"]):
-            entries = expired(entries, int(at), lambda n: self.ttl if n else self.span - 1)
-            decisions.append(decide(entries, int(at), f"k{name}"))
-        self.state.update(([n for n, _ in entries], [t for _, t in entries]))
-        yield frame[self.columns].assign(decision=decisions)
+        for frame in rows:
+            for bucket, part in frame.groupby(frame["at"].astype("int64") // 1000 // self.bucket):
+                bucket = int(bucket)
+                held = json.loads(self.waiting.getValue((bucket,))[0]) if self.waiting.containsKey((bucket,)) else []
+                held += json.loads(part[self.columns].to_json(orient="values"))
+                self.waiting.updateValue((bucket,), (json.dumps(held),))
+                self.handle.registerTimer((bucket + 1) * self.bucket)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = int(expiredTimerInfo.getExpiryTimeInMs())
+        for bucket in sorted(b for (b,) in self.waiting.keys() if (b + 1) * self.bucket <= now):
+            rows = json.loads(self.waiting.getValue((bucket,))[0])
+            self.waiting.removeKey((bucket,))
+            self.handle.registerTimer(now + self.ttl // 1000 + self.bucket)  # by then its alerts can be forgotten
+            yield self._decided(rows)
+        times, swept = self.tokens.get() if self.tokens.exists() else ([], 0)
+        passed = now * 1000
+        if passed - swept > self.ttl:
+            for name, at in [(n, a) for (n,), (a,) in self.sent.iterator()]:
+                if passed - at > self.ttl:
+                    self.sent.removeKey((name,))
+            self.tokens.update(([t for t in times if passed - t < self.span], passed))
+
+    def _decided(self, rows: list[list]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=self.columns).sort_values(["at", "seq"], kind="stable")
+        times, swept = self.tokens.get() if self.tokens.exists() else ([], 0)
+        times, decisions = [int(t) for t in times], []
+        for at, name in zip(frame["at"].tolist(), frame["dedup_key"].tolist()):
+            times = [t for t in times if at - t < self.span]
+            if len(times) >= self.limit:
+                decisions.append("rate_limited")
+                continue
+            times.append(at)
+            known = (name or "",)
+            if self.sent.containsKey(known) and at - int(self.sent.getValue(known)[0]) <= self.ttl:
+                decisions.append("duplicate")
+                continue
+            self.sent.updateValue(known, (at,))
+            times.append(at)
+            decisions.append("sent")
+        self.tokens.update((times, swept))
+        return frame.assign(decision=decisions)
 
     def close(self) -> None:
         pass
 
 
 def alert_stream(
-    scored: DataFrame, user: str = "user_name", limit: int = RATE_LIMIT, span: int = RATE_SPAN, ttl: int = DEDUP_TTL
+    scored: DataFrame, user: str = "user_name", limit: int = RATE_LIMIT, span: int = RATE_SPAN, ttl: int = DEDUP_TTL,
+    lateness: str = "10 minutes", bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
-    """Risky rows as alerts with their delivery decision, state keyed by tenant."""
+    """Risky rows as alerts with their delivery decision, state keyed by tenant; decided once the watermark has passed.
+
+    Rows without a time are left out: they have no decision (``throttle_rate`` gives them none either).
+    """
     use_rocksdb(scored.sparkSession)
-    payload = alerts.alert_payload(scored.filter(F.col("risk_score") >= 30), user).select(
+    ship_package(scored.sparkSession)
+    risky = scored.filter((F.col("risk_score") >= 30) & F.col("at").isNotNull())
+    payload = alerts.alert_payload(risky, user).select(
         "event_id", "tenant_id", "at", "seq", "severity", "risk_score", "recommended_action", "description", "dedup_key"
     )
     schema = ", ".join(f"{name} {kind}" for name, kind in payload.dtypes) + ", decision string"
-    return payload.groupBy("tenant_id").transformWithStateInPandas(
-        AlertThrottle(payload.columns, limit, span, ttl), schema, outputMode="Append", timeMode="None"
+    timed = payload.withColumn("_ts", F.timestamp_micros("at")).withWatermark("_ts", lateness)
+    return timed.groupBy("tenant_id").transformWithStateInPandas(
+        AlertThrottle(payload.columns, limit, span, ttl, bucket_ms), schema, outputMode="Append", timeMode="EventTime"
     )
 
 
