@@ -1,14 +1,16 @@
 """Streams equal the batch operators over several micro-batches; models keep their properties."""
 
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
 from wardline.ml import isolation, models, online
-from wardline.operators import behavior, throttle
+from wardline.operators import behavior, incidents, throttle
 from wardline.operators.stream_features import FEATURE_ORDER, activity_rates, ip_change_frequency
 from wardline.plans import PLANS
-from wardline.streaming import jobs
+from wardline.streaming import incidents as stream_incidents
+from wardline.streaming import jobs, lag, process
 from wardline.streaming.batches import score_batches
 from wardline.streaming.io import stream_sink, to_messages
 
@@ -88,13 +90,141 @@ def test_metric_counts_close_with_the_watermark(spark):
 
 
 def test_alert_stream_equals_batch(spark):
-    scored = made_events(spark).withColumn("risk_score", F.lit(50)).drop("ts").cache()
-    parts = [scored.filter(F.col("at") < 4600 * SECOND), scored.filter(F.col("at") >= 4600 * SECOND)]
-    done = run_parts(spark, parts, jobs.alert_stream)
+    """Rows come in no order within the watermark, over several micro-batches; a far later row closes the last bucket."""
     from wardline.operators.alerts import alert_payload
 
-    batch = throttle.throttle_rate(alert_payload(scored))
-    assert {r.event_id: r.decision for r in done.collect()} == {r.event_id: r.decision for r in batch.collect()}
+    scored = made_events(spark).withColumn("risk_score", F.lit(50)).drop("ts").cache()
+    end = scored.filter("seq = 0").withColumns({"at": F.lit(10**12), "tenant_id": F.lit("end"), "event_id": F.lit("end")})
+    timeless = scored.filter("seq = 1").withColumns({"at": F.lit(None).cast("bigint"), "event_id": F.lit("timeless")})
+    early = (F.col("at") < 4600 * SECOND) != (F.col("at").between(4400 * SECOND, 4800 * SECOND) & (F.col("seq") % 3 == 0))
+    parts = [scored.filter(early).orderBy(F.desc("seq")).unionByName(timeless), scored.filter(~early).orderBy(F.hash("seq")), end]
+    done = run_parts(spark, parts, lambda s: jobs.alert_stream(s, limit=4))
+    batch = throttle.throttle_rate(alert_payload(scored), limit=4)
+    got = {r.event_id: r.decision for r in done.filter("tenant_id <> 'end'").collect()}
+    assert got == {r.event_id: r.decision for r in batch.collect()} and len(set(got.values())) > 1
+
+
+def test_rows_without_a_time_do_not_end_a_stream(spark):
+    events = made_events(spark).cache()
+    broken = events.filter("seq < 6").withColumns(
+        {"at": F.lit(None).cast("bigint"), "ts": F.lit(None).cast("timestamp"), "event_id": F.concat(F.lit("x"), "seq"), "user_name": F.when(F.col("seq") > 2, F.col("user_name"))}
+    )
+    parts = [events.filter("seq < 150").unionByName(broken), events.filter("seq >= 150"), broken]
+    done = run_parts(spark, parts, jobs.score_stream).cache()
+    assert done.filter("event_id LIKE 'e%'").count() == 300
+    left = done.filter("event_id LIKE 'x%'").collect()
+    assert all(r.login_frequency is None and r.related_event_count is None for r in left)
+    batch = ip_change_frequency(activity_rates(events))
+    got = {r.event_id: (r.login_frequency, r.ip_change_frequency) for r in done.filter("event_id LIKE 'e%'").collect()}
+    assert got == {r.event_id: (r.login_frequency, r.ip_change_frequency) for r in batch.collect()}
+
+
+def test_missing_users_are_one_user_in_stream_and_batch(spark):
+    events = made_events(spark).withColumn("user_name", F.when(F.col("seq") % 2 == 0, F.col("user_name"))).cache()
+    done = run_parts(spark, [events], jobs.window_features)
+    batch = activity_rates(events)
+    assert {r.event_id: (r.user_name, r.login_frequency) for r in done.collect()} == {r.event_id: (r.user_name, r.login_frequency) for r in batch.collect()}
+
+
+def test_incident_versions_follow_late_events(spark):
+    """A late event joins two incidents: the later one is merged, and the newest versions equal the batch."""
+    rows = [(f"e{i}", i, at * SECOND, "u", "auth", "login_failure", 50.0 + i) for i, at in enumerate([10_000, 10_500, 11_700, 12_200, 19_000])]
+    schema = "event_id string, seq bigint, at bigint, user_name string, source string, event_type string, risk_score double"
+    late = [("late", 9, 11_100 * SECOND, "u", "auth", "process_create", 99.0), ("e1", 1, 10_500 * SECOND, "u", "auth", "login_failure", 51.0)]
+    first = spark.createDataFrame(rows[:4], schema)
+    second = spark.createDataFrame([late[0][:5] + ("login_failure", 99.0), late[1]], schema)
+    third = spark.createDataFrame(rows[4:], schema)
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    whole = []
+    for df in (first, second, third):
+        timed = df.withColumns({"severity": F.lit("low"), "ts": F.timestamp_micros("at")})
+        whole.append(timed)
+        timed.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.incident_stream(spark.readStream.schema(timed.schema).parquet(f"{folder}/in"), lateness="1 hour")
+        keep = stream_incidents.keep_versions(f"{folder}/versions")
+        writer = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    current = stream_incidents.current_incidents(spark, f"{folder}/versions")
+    names = ["incident_id", "start_at", "end_at", "severity", "risk_score", "event_count", "event_types", "summary"]
+    batch = incidents.incident_rollup(incidents.sessionize_incidents(whole[0].unionByName(whole[1]).unionByName(whole[2])))
+    assert sorted(map(str, current.select(names).collect())) == sorted(map(str, batch.select(names).collect()))
+    by_start = {r.start_at // SECOND: (r.status, r.event_count) for r in current.collect()}
+    assert by_start == {10_000: ("closed", 5), 19_000: ("open", 1)}
+    members = {r.event_id for r in stream_incidents.closed_members(spark, f"{folder}/versions").collect()}
+    assert members == {"e0", "e1", "e2", "e3", "late"}
+    stored = spark.read.parquet(f"{folder}/versions")
+    assert {r.status for r in stored.collect()} == {"open", "merged", "closed", "member"}
+    stream_incidents.compact(spark, f"{folder}/versions", f"{folder}/compact")
+    again = stream_incidents.current_incidents(spark, f"{folder}/compact")
+    assert sorted(map(str, again.select(names).collect())) == sorted(map(str, current.select(names).collect()))
+
+
+def lines_of(spark, low, high):
+    body = "'{\"event_id\":\"' || id || '\",\"timestamp\":\"' || date_format(timestamp_seconds(id * 60), \"yyyy-MM-dd'T'HH:mm:ss\") || '\",\"tenant_id\":\"t' || id % 3 || '\",\"hostname\":\"h\",\"user\":\"u' || id % 4 || '\",\"event_type\":\"login_failure\",\"source\":\"auth\",\"severity\":\"high\",\"label\":\"' || id % 2 || '\"}'"
+    made = spark.range(low, high).selectExpr(f"CASE WHEN id % 9 = 0 THEN '{{broken' WHEN id % 9 = 1 THEN '{{\"tenant_id\":\"t\",\"timestamp\":\"?\"}}' ELSE {body} END AS value")
+    return made.repartition(3)
+
+
+def test_a_repeated_batch_changes_nothing(spark):
+    """Two micro-batches, each tried twice, the second with ids of the first: outputs and model are those of one try."""
+    kept = {}
+    for tries in (1, 2):
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        handle = process.process_lines(f"{folder}/out", model=f"{folder}/model", learn=True)
+        for number, lines in enumerate([lines_of(spark, 0, 90), lines_of(spark, 80, 180)]):
+            for _ in range(tries):
+                handle(lines, number)
+        read = lambda name: process.output(spark, f"{folder}/out", name)
+        kept[tries] = [
+            sorted(map(str, read("events").select("event_id", "batch", "risk_score", "ml_score", "model_version", "login_frequency").collect())),
+            sorted(map(str, read("alerts").select("event_id", "batch", "dedup_key").collect())),
+            sorted(map(str, read("dead_letters").collect())), sorted(map(str, read("counts").collect())),
+            [online.ModelStore(spark, f"{folder}/model").newest().weights, online.ModelStore(spark, f"{folder}/model").newest().version],
+        ]
+    assert kept[1] == kept[2]
+    folder_events = [r for r in kept[1][0]]
+    assert len(folder_events) == sum(i % 9 > 1 for i in range(180))
+    assert any("duplicate" in r for r in kept[1][3]) and any("timestamp is not readable" in r for r in kept[1][2])
+    # A batch that is not marked as done isn't read.
+    spark.createDataFrame([("x",)], "event_id string").write.parquet(f"{folder}/out/alerts/batch=7")
+    assert process.output(spark, f"{folder}/out", "alerts").filter("batch = 7").count() == 0
+
+
+def test_the_pointer_leads_to_the_stable_version(spark):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    store = online.ModelStore(spark, folder)
+    assert store.pointer() is None and not store.newest().ready
+    make = lambda version, drift=False: online.OnlineState(
+        count=1.0, mean=[0.0] * 10, square=[1.0] * 10, weights=[float(version)] * 10, version=version, errors=[float(version)], drift_detected=drift
+    )
+    for batch, state in enumerate([make(1), make(2), make(2, True)]):
+        store.publish(state, batch)
+    served = store.newest()
+    assert store.pointer()["serves"] == 1 and served.weights == [2.0] * 10 and served.drift_detected
+    assert store.newest(before=2).version == 2 and not store.newest(before=2).drift_detected
+    store.publish(make(3), 2)  # the batch is tried again, with another outcome
+    assert store.newest().version == 3 and store.pointer()["serves"] == 2
+    import shutil
+
+    shutil.rmtree(f"{folder}/batch=0")  # only what the pointer names is read
+    assert store.newest().version == 3
+
+
+def test_listener_rows_tell_the_lag(spark):
+    rows, events = [], made_events(spark).select("event_id", "ts")
+    listener = lag.LagListener(rows.append)
+    spark.streams.addListener(listener)
+    try:
+        run_parts(spark, [events, events.filter("event_id < 'e2'")], lambda s: s.withWatermark("ts", "1 minute").dropDuplicatesWithinWatermark(["event_id"]))
+        for _ in range(100):
+            if sum(r["input_rows"] for r in rows) >= 300 + events.filter("event_id < 'e2'").count():
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(r["input_rows"] for r in rows) == 300 + events.filter("event_id < 'e2'").count()
+    assert any(r["dropped_rows"] > 0 for r in rows) and any(r["watermark_lag_seconds"] is not None for r in rows)
+    assert lag.lag_rows(spark, []).columns == list(rows[0])
 
 
 def test_messages_are_keyed_by_tenant(spark):
