@@ -11,6 +11,20 @@ from wardline.operators.stream_features import activity_rates, ip_change_frequen
 SECOND = 1_000_000
 
 
+def test_lowest_refines_only_the_cell_of_the_limit(spark):
+    """All ranks in one old cell, keys of their own limits, null keys, and limits of none and of all."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), "abc" + "".join(rng.choice("0123456789abcdef") for _ in range(61)), i) for i in range(3000)]
+    limits = {"a": 700, "b": 5000, None: 0}
+    limit = F.when(F.col("key") == "a", 700).when(F.col("key") == "b", 5000).otherwise(0)
+    df = spark.createDataFrame(rows, "key string, h string, id int")
+    got = slices.lowest(df, ["key"], "h", limit, most=3)
+    assert got.columns == df.columns
+    want = {r[2] for k in limits for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])[: limits[k]]}
+    assert {r.id for r in got.collect()} == want
+    assert slices.lowest(df, ["key"], "h", F.lit(None).cast("int")).count() == 0 and slices.lowest(df.limit(0), ["key"], "h", F.lit(3)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def events(spark):
     rng = random.Random(11)

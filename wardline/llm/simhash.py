@@ -177,4 +177,5 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
     groups = near_groups(numbered, number, text, words, differing).select(F.col(number).alias("row"), F.col("component").alias("group"))
     keyed = numbered.select(F.col(number).alias("row"), F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col(number).alias("row")).alias("place"))
     stay = keyed.join(groups, "row").groupBy("group").agg(F.min("place").alias("first")).select(F.col("first.row").alias(number))
-    return numbered.join(scratch.keep(stay, "stay"), number, "left_semi").drop(number)
+    # What stays grows with the documents, so it is merged with them at every size, not broadcast while it is small.
+    return numbered.join(scratch.keep(stay, "stay").hint("merge"), number, "left_semi").drop(number)

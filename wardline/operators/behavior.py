@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.casts import as_column, seconds_to_micros
@@ -49,6 +49,8 @@ STAGE = {
 }
 CHAIN_TYPES = ["login_failure", "process_create", "network_connection"]
 CHAIN_SPAN, CHAIN_ROWS = 900, 200
+# Event types whose latest rows are followed when the related types are asked for.
+MOST_TYPES = 200
 
 
 def mitre_map(df: DataFrame, event_type: str = "event_type") -> DataFrame:
@@ -79,43 +81,43 @@ def suspicious_chain(
     """Adds ``entity``, ``related_event_count`` and ``suspicious_chain``.
 
     A row is related when it is among the entity's last ``rows`` rows and at most ``span``
-    old.  For each needed type it is enough to know its latest row: both its age and its
-    distance in rows come from running maxima inside the slice.  ``with_types`` adds the
-    sorted set of related types, which holds up to ``rows`` entries per row while it is built.
+    old.  For each needed type it is enough to know its latest row: its age and its distance in
+    rows come from running maxima inside the slice, which cost the same however many rows lie in the
+    span.  ``with_types`` adds the sorted set of related types in the same way, for the types that
+    the frame has: a vocabulary, of which at most MOST_TYPES are taken.
     """
     back = seconds_to_micros(span)
+    kinds = list(CHAIN_TYPES)
+    if with_types:
+        found = [r[0] for r in df.select("event_type").distinct().limit(MOST_TYPES + 1).collect() if r[0] is not None]
+        if len(found) > MOST_TYPES:
+            raise ValueError(f"more than {MOST_TYPES} event types")
+        kinds += sorted(set(found) - set(kinds))
     entity = F.concat(
         F.coalesce(F.col(host), F.lit("unknown-host")), F.lit(":"), F.coalesce(F.col(user), F.lit("unknown-user"))
     )
     wide = halo(df.withColumn("entity", entity), at, back)
     order = in_slice(["entity"], at, tie)
-    so_far = order.rowsBetween(-(rows - 1), 0)
-    counted = wide.withColumns(
-        {
-            "_recent": count_back(["entity"], at, [tie], back),
-            **{
-                f"_last_{i}": F.max(F.when(F.col("event_type") == kind, F.col(at))).over(so_far)
-                for i, kind in enumerate(CHAIN_TYPES)
-            },
-        }
-    )
-    if with_types:
-        counted = counted.withColumn("_seen", F.collect_list(F.struct(at, "event_type")).over(so_far))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = wide.withColumns({"_recent": count_back(["entity"], at, [tie], back), "_nth": F.row_number().over(order)})
+    # Rows are in order of time, so the latest row of a type has both its largest time and its largest number.
+    latest = {
+        f"_last_{i}": F.max(F.when(F.col("event_type") == kind, F.struct("_nth", at))).over(so_far) for i, kind in enumerate(kinds)
+    }
+
+    def related(i: int) -> Column:
+        last = F.col(f"_last_{i}")
+        return F.coalesce((last["_nth"] > F.col("_nth") - rows) & (last[at] >= F.col(at) - F.lit(back)), F.lit(False))
+
     complete = F.lit(True)
     for i, _ in enumerate(CHAIN_TYPES):
-        complete = complete & F.coalesce(F.col(f"_last_{i}") >= F.col(at) - F.lit(back), F.lit(False))
-    result = counted.withColumns(
-        {
-            "related_event_count": F.least(F.col("_recent"), F.lit(rows)),
-            "suspicious_chain": complete,
-        }
-    )
+        complete = complete & related(i)
+    added = {"related_event_count": F.least(F.col("_recent"), F.lit(rows)), "suspicious_chain": complete}
     if with_types:
-        related = F.filter("_seen", lambda e: e[at] >= F.col(at) - F.lit(back))
-        result = result.withColumn(
-            "related_types", F.array_sort(F.array_distinct(F.transform(related, lambda e: e["event_type"])))
-        ).drop("_seen")
-    return own_rows(result).drop("_recent", *[f"_last_{i}" for i, _ in enumerate(CHAIN_TYPES)])
+        held = F.array(*[F.when(related(i), F.lit(kind)) for i, kind in enumerate(kinds)])
+        added["related_types"] = F.array_sort(F.array_compact(held))
+    result = numbered.withColumns(latest).withColumns(added)
+    return own_rows(result).drop("_recent", "_nth", *latest)
 
 
 def recommended_response(df: DataFrame) -> DataFrame:

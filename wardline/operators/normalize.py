@@ -428,8 +428,9 @@ def filter_audit_lines(df: DataFrame, line: str = "value") -> DataFrame:
 
 
 def integrity_hash(timestamp="timestamp", host="host", event_id="event_id", event_type="event_type", user="user") -> Column:
-    """SHA-256 of the five identifying texts in a row."""
-    return F.sha2(F.concat(*[F.col(n).cast("string") for n in (timestamp, host, event_id, event_type, user)]), 256)
+    """SHA-256 of the five identifying texts in a row; a missing one is empty, so every row has a hash."""
+    parts = [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in (timestamp, host, event_id, event_type, user)]
+    return F.sha2(F.concat(*parts), 256)
 
 
 def verify_integrity(df: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.session import settle
+
 SLICE = "_slice"
 OWN = "_own"
 KEY = "_key"
@@ -173,25 +175,62 @@ def newest(
     return ranked.drop(SLICE, "_n", "_room", "_rank")
 
 
+#: Rows that are ranked in one task to find the last ones that ``lowest`` takes.
+CELL_ROWS = 1_000_000
+MANY_KEYS = 100_000
+
+
+def _small(per_key: DataFrame) -> DataFrame:
+    """A settled table with a row per key, to be broadcast if there are at most MANY_KEYS of them."""
+    return F.broadcast(per_key) if per_key.count() <= MANY_KEYS else per_key
+
+
+def _edges(df: DataFrame, rank_hex: str, digits: int, most: int) -> DataFrame:
+    """(_key, _cell, _room): the cell of hashes in which each key's limit falls, and the rows it takes there.
+
+    Cells are counted by their leading digits; where the limit falls in one of more than ``most`` rows, that cell alone
+    is counted again by more digits. Keys whose rows all fit have a cell after every hash.
+    """
+    length = digits
+    cells = df.groupBy(KEY, F.substring(rank_hex, 1, length).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.max("_limit").alias("_top"))
+    settled = None
+    while True:
+        so_far = Window.partitionBy(KEY).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        summed = cells.withColumn("_end", F.sum("_n").over(so_far))
+        # The first cell that the limit doesn't pass; none if the key has no more rows than that.
+        over = F.when(F.col("_end") > F.col("_top"), F.struct("_cell", (F.col("_top") - F.col("_end") + F.col("_n")).alias("_room"), "_n"))
+        edge = summed.groupBy(KEY).agg(F.min(over).alias("_edge"))
+        edge = settle(
+            edge.select(
+                KEY, F.coalesce("_edge._cell", F.lit("~")).alias("_cell"), F.coalesce("_edge._room", F.lit(0)).alias("_room"),
+                F.coalesce("_edge._n", F.lit(0)).alias("_n"),
+            )
+        )
+        wide = edge.filter((F.col("_n") > most) & (F.length("_cell") == length) & F.lit(length < 64))
+        done = edge.join(wide.select(KEY), KEY, "left_anti").select(KEY, "_cell", "_room")
+        settled = done if settled is None else settled.unionByName(done)
+        if wide.isEmpty():
+            return settled
+        length += digits
+        inside = df.select(KEY, rank_hex).join(_small(wide.select(KEY, "_cell", F.col("_room").alias("_top"))), KEY).filter(F.startswith(F.col(rank_hex), F.col("_cell")))
+        cells = inside.groupBy(KEY, F.substring(rank_hex, 1, length).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.max("_top").alias("_top"))
+
+
 def lowest(
-    df: DataFrame, keys: Sequence[str], rank_hex: str, limit: Column, digits: int = 3
+    df: DataFrame, keys: Sequence[str], rank_hex: str, limit: Column, digits: int = 3, most: int = CELL_ROWS
 ) -> DataFrame:
     """The rows with the smallest hex rank of each key, up to the column ``limit``.
 
-    Ranks are cut by their leading ``digits``; cells beyond the limit are left out before rows are ranked.
+    Ranks are counted by their leading digits, and only the cell in which the limit falls is counted by more digits, until
+    it has at most ``most`` rows. Rows below it are taken unsorted in one pass; those in it are ranked. A null limit takes no row.
     """
-    celled = df.withColumn(SLICE, F.substring(rank_hex, 1, digits)).withColumn("_limit", limit)
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    room = (
-        celled.groupBy(*keys, SLICE)
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("_limit").alias("_top"))
-        .withColumn("_room", F.col("_top") - F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .filter("_room > 0")
-        .drop("_top")
-    )
-    rank = F.row_number().over(in_slice(keys, rank_hex))
-    ranked = _with_room(celled, room, keys).withColumn("_rank", rank).filter("_rank <= _room")
-    return ranked.drop(SLICE, "_n", "_room", "_limit", "_rank")
+    celled = df.withColumns({KEY: key_of(keys), "_limit": F.coalesce(limit, F.lit(0))})
+    edges = _edges(celled, rank_hex, digits, most)
+    met = celled.join(_small(edges), KEY).drop("_limit")
+    below = met.filter(F.col(rank_hex) < F.col("_cell")).drop(KEY, "_cell", "_room")
+    at_edge = met.filter(F.startswith(F.col(rank_hex), F.col("_cell")) & (F.col("_room") > 0))
+    rank = F.row_number().over(Window.partitionBy(KEY).orderBy(rank_hex))
+    return below.unionByName(at_edge.withColumn("_rank", rank).filter("_rank <= _room").drop(KEY, "_cell", "_room", "_rank"))
 
 
 def sessions(

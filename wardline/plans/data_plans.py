@@ -11,6 +11,7 @@ from wardline.plans.registry import plan
 from wardline.plans.scoring_plans import FLAGS_SQL, flagged
 from wardline.plans.tables import SEC, security_events, table
 from wardline.sources import files
+from wardline.streaming.io import stream_sink, stream_source, to_messages
 from wardline.session import shared_folder
 
 
@@ -329,3 +330,47 @@ def _lanl(spark, sf_dir):
     return flows.groupBy("action", "source_host").agg(
         F.sum("failed_logins").alias("failed"), F.unix_seconds(F.max("timestamp")).alias("last_second")
     )
+
+
+# Artifacts and messages ------------------------------------------------------------------
+
+
+@plan(
+    "artifact_manifest",
+    f"""WITH {FLOW} SELECT 'network_features' AS dataset, count(*) AS rows, count(*) AS stored, '1.0' AS pipeline_version, CAST(sum(day_of_week) AS BIGINT) AS checked FROM feat
+    UNION ALL SELECT 'training_set', count(*), count(*), '1.0', CAST(sum(label) AS BIGINT) FROM feat
+    UNION ALL SELECT 'ueba_profiles', count(*), count(*), '1.0', CAST(sum(n) AS BIGINT) FROM (SELECT protocol, count(*) AS n FROM raw GROUP BY protocol)""",
+)
+def _artifacts(spark, sf_dir):
+    """Tables written with their manifest, and both read back."""
+    place = scratch(spark, "artifacts")
+    made = features.flow_features(network_flows(spark, sf_dir))
+    profiles = made.groupBy("protocol").agg(F.count(F.lit(1)).alias("n"))
+    files.write_artifacts(place, network=made, training=features.training_set(made), profiles=profiles)
+    stored = {
+        "network_features": (spark.read.parquet(f"{place}/network_features.parquet"), "day_of_week"),
+        "training_set": (spark.read.parquet(f"{place}/training_set.parquet"), "label"),
+        "ueba_profiles": (spark.read.schema("protocol string, n bigint").json(f"{place}/ueba_profiles.json"), "n"),
+    }
+    counted = None
+    for name, (df, column) in stored.items():
+        row = df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("stored"), F.sum(column).cast("bigint").alias("checked"))
+        counted = row if counted is None else counted.unionByName(row)
+    return files.read_manifest(spark, place).join(counted, "dataset")
+
+
+@plan(
+    "source_messages",
+    f"""WITH {SEC} SELECT CASE WHEN k % 7 = 0 THEN 'default' ELSE tenant_id END AS key, event_id, severity, '1.0.0' AS processor_version FROM sec WHERE k % 5 <> 0""",
+)
+def _messages(spark, sf_dir):
+    """Text files through the stream source to keyed messages; lines that are no records are skipped."""
+    k = F.col("k")
+    body = F.to_json(F.struct("event_id", F.when(k % 7 != 0, F.col("tenant_id")).alias("tenant_id"), "severity"))
+    lines = security_events(spark, sf_dir).select(F.when(k % 5 == 0, F.substring(body, 1, 9)).otherwise(body).alias("value"))
+    place = scratch(spark, "messages")
+    lines.write.text(f"{place}/lines")
+    sent = to_messages(stream_source(spark, path=f"{place}/lines").select("event_id", "tenant_id", "severity"))
+    stream_sink(sent, f"{place}/checkpoint", path=f"{place}/rows", once=True).start().awaitTermination()
+    value = spark.read.parquet(f"{place}/rows")
+    return value.select("key", *[F.get_json_object("value", f"$.{n}").alias(n) for n in ("event_id", "severity", "processor_version")])

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.casts import instant
 from wardline.functions.fields import first_field
 from wardline.operators.slices import newest
+from wardline.session import settle
 from wardline.sources.schemas import AUTH_FLOW, CANONICAL_EVENT, TIMELINE_EVENT
 
 BAD = "_malformed"
+#: Files whose headers go to every task with the lines; more of them are joined with a shuffle.
+FEW_FILES = 100_000
 
 
 def json_fields(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
@@ -86,33 +89,61 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.strip().lower().replace(" ", "_").replace("/", "_") for name in df.columns])
 
 
-def _paths(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """File names under a folder; only the listing is read."""
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+_FILE = "_file"
+
+
+def _lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(value, _file, _head, _at): the filled lines of all files, whether they are of a file's first split, and their order there."""
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    named = read.select(
+        "value", F.col("_metadata.file_path").alias(_FILE), (F.col("_metadata.file_block_start") == 0).alias("_head"),
+        F.monotonically_increasing_id().alias("_at"),
     )
-    return sorted(row.path for row in found.select("path").collect())
+    return named.filter(F.trim("value") != "")
+
+
+def _positional(width: int) -> str:
+    return ", ".join(f"c{i} string" for i in range(width))
+
+
+def _cells(line: str, width: int) -> Column:
+    """The cells of a CSV line as an array, with nulls for empty and missing ones."""
+    parsed = F.from_csv(line, _positional(width), {"mode": "PERMISSIVE", "escape": '"'})
+    return F.array(*[parsed[f"c{i}"] for i in range(width)])
 
 
 def read_csv_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", one_header: bool = False) -> DataFrame | None:
     """All CSV files below a folder as text columns, files matched by column name; None without files.
 
-    Files are grouped by header line, since one read applies one header to all its files.  With
-    ``one_header`` the files are known to agree and are read at once without looking.
+    However many files there are, one job gathers their headers, each under its file's name, and the read itself maps a
+    line's cells to names by the header of its file; the driver sees the different column names only. A record is a
+    line, and a line that repeats its file's header is none. With ``one_header`` the files are known to agree and are read at once without looking; their first line is
+    the header.
     """
-    paths = _paths(spark, folder, pattern)
-    if not paths:
-        return None
-    groups: dict[str, list[str]] = {}
     if one_header:
-        groups["all"] = paths
-    else:
-        for path in paths:
-            first = spark.read.text(path).first()
-            if first is not None:
-                groups.setdefault(first.value, []).append(path)
-    frames = [normalize_columns(spark.read.csv(listed, header=True)) for listed in groups.values()]
-    return union_datasets(*frames) if frames else None
+        whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(folder, header=True, escape='"')
+        return normalize_columns(whole) if whole.columns else None
+    lines = _lines(spark, folder, pattern)
+    return _by_header(lines)
+
+
+def _by_header(lines: DataFrame) -> DataFrame | None:
+    first = lines.filter("_head").groupBy(_FILE).agg(F.min_by("value", "_at").alias("_header"))
+    headers = settle(first.withColumn("_line", F.regexp_replace("_header", "^\ufeff", "")))
+    files, width = headers.agg(F.count(F.lit(1)), F.max(F.size(F.split("_line", ",")))).first()
+    if not files:
+        return None
+    names = F.transform(
+        F.filter(_cells("_line", width), lambda c: c.isNotNull()), lambda c: F.regexp_replace(F.lower(F.trim(c)), "[ /]", "_")
+    )
+    headers = headers.select(_FILE, "_header", names.alias("_names"))
+    found = headers.select(_FILE, F.posexplode("_names").alias("place", "name")).groupBy("name").agg(F.min(F.struct(_FILE, "place")).alias("at"))
+    columns = [r["name"] for r in found.orderBy("at").collect()]
+    # A row per file; broadcast only while they are few.
+    rows = lines.join(F.broadcast(headers) if files <= FEW_FILES else headers, _FILE).filter(F.col("value") != F.col("_header"))
+    cells = rows.select("_names", _cells("value", width).alias("_cells"))
+    # Of columns with one name in a file the first counts.
+    return cells.select(*[F.try_element_at("_cells", F.nullif(F.array_position("_names", name), F.lit(0)).cast("int")).alias(name) for name in columns])
 
 
 def union_datasets(*frames: DataFrame | None) -> DataFrame | None:
@@ -229,8 +260,8 @@ def auth_flows_lanl(raw: DataFrame) -> DataFrame:
 def load_auth_lanl(spark: SparkSession, folder: str) -> DataFrame | None:
     """CSV files with a header and headerless text files (plain or gzip) of authentication flows."""
     with_header = read_csv_folder(spark, folder)
-    plain = _paths(spark, folder, "*.{txt,txt.gz}")
-    without = spark.read.schema(AUTH_FLOW).csv(plain) if plain else None
+    plain = spark.read.schema(AUTH_FLOW).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,txt.gz}").csv(folder)
+    without = None if plain.isEmpty() else plain
     raw = union_datasets(with_header, without)
     return None if raw is None else auth_flows_lanl(raw)
 
@@ -242,18 +273,29 @@ def write_artifacts(
     training: DataFrame | None = None,
     profiles: DataFrame | None = None,
 ) -> None:
-    """Feature tables as gzip Parquet, profiles and row counts as JSON."""
-    tables = {"network_features": network, "auth_features": auth, "training_set": training}
+    """Feature tables as gzip Parquet, profiles as JSON, and last a manifest with the rows of each.
+
+    Rows are counted while they are written, so nothing is read twice; a reader that finds the manifest finds
+    whole tables.
+    """
+    spark, counted = None, []
+    tables = {"network_features": network, "auth_features": auth, "training_set": training, "ueba_profiles": profiles}
     for name, df in tables.items():
-        if df is not None:
-            df.write.mode("overwrite").option("compression", "gzip").parquet(f"{folder}/{name}.parquet")
-    if profiles is not None:
-        profiles.write.mode("overwrite").json(f"{folder}/ueba_profiles.json")
-    counted = None
-    for name, df in (("network", network), ("auth", auth)):
         if df is None:
             continue
-        row = df.agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("rows"), F.lit("1.0").alias("pipeline_version"))
-        counted = row if counted is None else counted.unionByName(row)
-    if counted is not None:
-        counted.write.mode("overwrite").json(f"{folder}/metadata.json")
+        spark = df.sparkSession
+        seen = Observation(f"rows of {name}")
+        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+        if name == "ueba_profiles":
+            writer.json(f"{folder}/{name}.json")
+        else:
+            writer.option("compression", "gzip").parquet(f"{folder}/{name}.parquet")
+        counted.append((name, int(seen.get["rows"]), "1.0"))
+    if spark is not None:
+        manifest = spark.createDataFrame(counted, "dataset string, rows bigint, pipeline_version string")
+        manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/metadata.json")
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(dataset, rows, pipeline_version) of a folder of artifacts."""
+    return spark.read.schema("dataset string, rows bigint, pipeline_version string").json(f"{folder}/metadata.json")
