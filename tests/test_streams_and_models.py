@@ -3,9 +3,10 @@
 import tempfile
 import time
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from wardline.ml import isolation, models, online
+from wardline.ml import forest, isolation, models, online
 from wardline.operators import behavior, incidents, throttle
 from wardline.operators.stream_features import FEATURE_ORDER, activity_rates, ip_change_frequency
 from wardline.plans import PLANS
@@ -283,6 +284,15 @@ def test_training_saves_and_loads(spark, tables):
     assert none is None and failed["status"] == "invalid_dataset"
 
 
+def test_a_fitted_forest_predicts_after_counts_were_observed(spark):
+    seen = Observation("rows before training")
+    rows = spark.range(80).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("label"))
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 80
+    model = forest.train_classifier(rows, ["x"], trees=2, depth=2)
+    assert model.transform(rows).select("prediction").collect()
+
+
 def test_online_plan_runs(spark, tables):
     rows = PLANS["online_learning_batches"](spark, tables).collect()
     assert sum(r.events for r in rows) == spark.read.parquet(f"{tables}/events.parquet").count()
