@@ -6,6 +6,7 @@ those shingles are compared first. Around the ones that two texts have in common
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,27 +34,41 @@ def _hash(word: bytes) -> int:
     return found
 
 
-def winnowed(parts: list[bytes], words: int, shingle: int) -> list[tuple[int, int]]:
-    """(place, hash) of the chosen shingles: the lowest hash, leftmost among equals, of each passage's shingles."""
-    known, out = _memo.get, []
+def winnowed(parts: list[bytes], words: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the chosen shingles: the lowest hash, leftmost among equals, of each passage's shingles."""
+    known, places, prints = _memo.get, [], []
     hashes = np.fromiter((known(w) or _hash(w) for w in parts), np.uint64, len(parts))
     width = words - shingle + 1
     for base in range(0, max(len(parts) - words + 1, 0), PIECE):
         found = gram_hashes(hashes[base : base + PIECE + words - 1], shingle)
         order = (found & ~_PLACE) | np.arange(len(found), dtype=np.uint64)
-        at = np.unique((lowest(order, width) & _PLACE).astype(np.int64))
-        out += zip((at + base).tolist(), found[at].view(np.int64).tolist())
-    return out
+        chosen = lowest(order, width)
+        # Choices come in rising places, so equal ones stand together.
+        at = (chosen[np.diff(chosen, prepend=~chosen[:1]) != 0] & _PLACE).astype(np.int64)
+        places.append(at + base)
+        prints.append(found[at].view(np.int64))
+    return np.concatenate(places or [np.empty(0, np.int64)]), np.concatenate(prints or [np.empty(0, np.int64)])
+
+
+def _lines(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(row, size, line): words and a digest of each text of ``words`` words or more, whatever parts the words."""
+    for batch in batches:
+        out = []
+        for row, data in zip(batch.column("row").to_pylist(), batch.column("data")):
+            parts = data.as_py().split()
+            if len(parts) >= words:
+                out.append((row, len(parts), hashlib.sha256(b" ".join(parts)).digest()))
+        columns = list(zip(*out)) or [()] * 3
+        types = [pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["row", "size", "line"])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], words: int, shingle: int) -> Iterator[pa.RecordBatch]:
     """(row, print): the chosen shingles of each text, each once."""
     for batch in batches:
-        rows, prints = [], []
-        for row, data in zip(batch.column("row").to_pylist(), batch.column("data")):
-            own = {p for _, p in winnowed(data.as_py().split(), words, shingle)}
-            rows += [row] * len(own)
-            prints += own
+        own = [np.unique(winnowed(data.as_py().split(), words, shingle)[1]) for data in batch.column("data")]
+        rows = np.repeat(batch.column("row").to_numpy(), np.array([len(o) for o in own], np.int64))
+        prints = np.concatenate(own or [np.empty(0, np.int64)])
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(prints, pa.int64())], ["row", "print"])
 
 
@@ -61,11 +76,11 @@ def _whole(batches: Iterator[pa.RecordBatch], words: int, shingle: int) -> Itera
     """(row, start, passage): place and digest of each passage around a shingle that another text has too."""
     for batch in batches:
         for row, data, wanted in zip(batch.column("row").to_pylist(), batch.column("data"), batch.column("prints")):
-            parts, wanted = data.as_py().split(), set(wanted.as_py())
+            parts = data.as_py().split()
+            places, prints = winnowed(parts, words, shingle)
             starts: set[int] = set()
-            for place, print_ in winnowed(parts, words, shingle):
-                if print_ in wanted:
-                    starts.update(range(max(place - words + shingle, 0), min(place, len(parts) - words) + 1))
+            for place in places[np.isin(prints, wanted.values.to_numpy())].tolist():
+                starts.update(range(max(place - words + shingle, 0), min(place, len(parts) - words) + 1))
             ordered = sorted(starts)
             for i in range(0, len(ordered), 1 << 16):
                 some = ordered[i : i + (1 << 16)]
@@ -88,9 +103,8 @@ def shared_words(texts: DataFrame, scratch: Scratch, words: int = WORDS, shingle
     words as passages unless told otherwise.
     """
     shingle = shingle or max(words // 2, 1)
-    sized = texts.select("row", "data", F.trim(F.regexp_replace(F.col("data").cast("string"), r"[\x20\x09-\x0D]+", " ")).alias("line"))
-    classed = sized.select("row", F.size(F.split("line", " ")).alias("size"), F.sha2("line", 256).alias("line"))
-    classed = scratch.keep(classed.where(F.col("size") >= words).select("row", "size", F.unhex("line").alias("line")), "classed")
+    classed = texts.select("row", "data").mapInArrow(lambda b: _lines(b, words), "row long, size long, line binary")
+    classed = scratch.keep(classed, "classed")
     classes = scratch.keep(classed.groupBy("line").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.count("*").alias("n")), "classes")
     heads = texts.select("row", "data").join(classes.select("row"), "row", "left_semi")
     prints = scratch.keep(heads.mapInArrow(lambda b: _chosen(b, words, shingle), "row long, print long"), "prints")
@@ -104,6 +118,6 @@ def shared_words(texts: DataFrame, scratch: Scratch, words: int = WORDS, shingle
     # From one start to the next at most a passage of words is covered; from the last one, a whole passage.
     covered = F.expr(f"aggregate(sequence(1, size(starts)), 0L, (sum, i) -> sum + least({words}L, coalesce(get(starts, i) - starts[i - 1], {words}L)))")
     found = classes.join(starts.select("row", covered.alias("covered")), "row", "left").select(
-        "line", F.when(F.col("n") > 1, F.col("size").cast("long")).otherwise(F.col("covered")).alias("n_shared_words")
+        "line", F.when(F.col("n") > 1, F.col("size")).otherwise(F.col("covered")).alias("n_shared_words")
     )
     return classed.select("row", "line").join(found.where("n_shared_words > 0"), "line").select("row", "n_shared_words")
