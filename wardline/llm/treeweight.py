@@ -203,6 +203,42 @@ def code_lengths(counted: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     return bits.join(mixed, ["context", "node"]).groupBy("key").agg(F.sum(F.log10(chance)).alias("value"))
 
 
+class _Sums:
+    """Sums of the table's values over the keys of each text.
+
+    Keys of many texts are sorted and looked up together: neighbours lie near each other in the table, equal ones
+    are looked up once.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, texts: int) -> None:
+        self.keys, self.values, self.sums = keys, values, np.zeros(texts)
+        self.waiting: list[tuple[int, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, text: int, keys: np.ndarray) -> None:
+        if len(keys):
+            self.waiting.append((text, keys))
+            self.size += len(keys)
+        if self.size >= HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        keys = np.concatenate([k for _, k in self.waiting])
+        texts = np.repeat([t for t, _ in self.waiting], [len(k) for _, k in self.waiting])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.append(True, keys[1:] != keys[:-1])
+        found = self.values[np.searchsorted(self.keys, keys[first])][np.cumsum(first) - 1]
+        self.sums += np.bincount(texts[order], found, len(self.sums))
+        self.waiting, self.size = [], 0
+
+    def take(self) -> list[float]:
+        self.settle()
+        return self.sums.tolist()
+
+
 def _priced(batches: Iterator[pa.RecordBatch], depth: int, tables: dict, unit: float, first: bool) -> Iterator[pa.RecordBatch]:
     """(row, n_bytes, n_tokens, n_known, base_score, score): what the keys of one part add to each text.
 
@@ -212,15 +248,11 @@ def _priced(batches: Iterator[pa.RecordBatch], depth: int, tables: dict, unit: f
     low, high, gram_keys, gram_values = tables[GRAM]
     word_low, word_high, keys_of, counts_of = tables[WORD]
     for batch in batches:
-        out = []
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+        out, sums = [], _Sums(gram_keys, gram_values, len(batch))
+        for n, text in enumerate(batch.column("text")):
             data = text.as_py() or b""
-            own = 0.0
             for keys in grams(data, depth):
-                if not (low is None and high is None):
-                    keys = keys[_within(keys, low, high)]
-                if len(keys):
-                    own += float(gram_values[np.searchsorted(gram_keys, keys)].sum())
+                sums.add(n, keys if low is None and high is None else keys[_within(keys, low, high)])
             keys, times = word_keys(words_of(data))
             keys, size = _signed(keys), int(times.sum())
             held = _within(keys, word_low, word_high)
@@ -228,9 +260,9 @@ def _priced(batches: Iterator[pa.RecordBatch], depth: int, tables: dict, unit: f
             at = np.minimum(np.searchsorted(keys_of, keys), max(len(keys_of) - 1, 0))
             counts = np.where(keys_of[at] == keys, counts_of[at], 0) if len(keys_of) else np.zeros(len(keys), np.int64)
             base = float((times * np.log10((counts + 0.5) / unit)).sum())
-            out.append((row, len(data) * first, size * first, int(times[counts > 0].sum()), base, own))
-        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.float64(),) * 2)]
-        yield pa.RecordBatch.from_arrays(columns, ["row", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
+            out.append((len(data) * first, size * first, int(times[counts > 0].sum()), base))
+        columns = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, (pa.int64(),) * 3 + (pa.float64(),))]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *columns, pa.array(sums.take())], ["row", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _within(keys: np.ndarray, low: int | None, high: int | None) -> np.ndarray:
