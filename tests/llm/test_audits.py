@@ -258,6 +258,7 @@ def test_divergence_equals_plain_python(spoken, bits, monkeypatch):
 def test_divergence_joins_when_groups_are_many(spoken, monkeypatch):
     frame, rows = spoken
     monkeypatch.setattr(divergence, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(divergence, "BROADCAST_TERMS", 0)
     assert {tuple(r) for r in divergence.divergence(frame).collect()} == plain_divergence([(t, la, s) for _, t, la, s, _ in rows])
 
 
