@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators import behavior, scoring, slices, throttle, timeline
 from wardline.operators.stream_features import activity_rates, ip_change_frequency
+from wardline.session import settle
 
 SECOND = 1_000_000
 
@@ -193,3 +194,20 @@ def test_nearest_events_per_key(spark, events):
         times = sorted({q[2] for q in rows if q[0] == r.user_name})
         want = min(times, key=lambda t: (abs(t - r.probe_at), t)) if times else None
         assert r.event_at == want
+
+
+def test_rounds_grow_with_the_logarithm_of_the_slices(spark, monkeypatch):
+    """Traffic that never pauses: the state of every slice depends on the one before."""
+    times = sorted({i * 7 + i * i % 5 for i in range(900)})
+    rows = [("a", t * SECOND, i) for i, t in enumerate(times)] + [(None, t * SECOND, 5000 + i) for i, t in enumerate(times[:300])]
+    log, want = {}, {}
+    for tenant, at, seq in sorted(rows, key=lambda r: (r[1], r[2])):
+        window = [t for t in log.get(tenant, []) if at - t <= 60 * SECOND]
+        want[seq] = "rejected" if len(window) >= 3 else "admitted"
+        log[tenant] = window + ([at] if want[seq] == "admitted" else [])
+    written = []
+    monkeypatch.setattr(throttle, "settle", lambda df: written.append(1) or settle(df))
+    df = spark.createDataFrame(rows, "tenant_id string, at bigint, seq int")
+    got = {r.seq: r.decision for r in throttle.api_rate_limit(df, 3, span=60 * SECOND, width=100 * SECOND).collect()}
+    assert got == want
+    assert len(written) <= 2 + 2 * 6  # 63 slices

@@ -5,16 +5,18 @@ after the lifetime. Rows after a quiet stretch longer than the lifetime are alwa
 followed by pointers that double their length each round, so a stretch of n sent rows takes log n rounds of joins.
 
 Rates (``throttle_rate``, ``api_rate_limit``) carry a small state of tokens instead. Each (key, time slice) is
-folded on its own and hands its end state to the key's next slice.  All slices start from the empty state; then only
-those whose real start state differs are folded again, until none differs.  Quiet stretches longer than the
-time-to-live empty the state, so a handful of rounds is usual; the result is exact in any case.  A task reads its
-rows sorted, in Arrow batches, and holds only the state.
+folded on its own, from the empty state. Then neighbours are put together, two slices, four, eight and so on: where the
+left half hands over another state than the right half was folded with, the right half is folded again, up to the
+slice that begins as before. So n slices take log n rounds at most, also in traffic that never pauses; there the last
+round folds half of a key in one task, which is the cost of the definition.  A task reads its rows sorted, in
+Arrow batches, and holds only the state; the state of a slice travels in a row of its own before the slice's rows.
 
 A null key is a key of its own. Rows without a time have no decision, and none is made because of them.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -39,26 +41,32 @@ def expired(entries: list, now: int, alive: Callable[[str], int]) -> list:
     return [entry for entry in entries if now - entry[1] <= alive(entry[0])]
 
 
-def _runs(batches: Iterator[pd.DataFrame], group: list[str], at: str, name: str, fold: Fold, alive):
-    """Folds sorted batches row by row; yields (batch, its decisions, the runs that ended in it).
+def _entries(text: str | None) -> list | None:
+    return None if text is None else [(e["name"], e["at"]) for e in json.loads(text)]
 
-    A run is the rows of one (key, slice).  Only its small state is held, however many rows it has.
-    """
-    key, begin, entries = None, 0, []
-    for frame in batches:
-        decisions, ended = [], []
-        keys = list(zip(*[frame[column].tolist() for column in group]))
-        for here, now, label, start in zip(keys, frame[at].tolist(), frame[name].tolist(), frame["_state"].tolist()):
-            if here != key:
-                if key is not None:
-                    ended.append((key, begin, entries))
-                key, begin = here, now
-                entries = [] if start is None else [(e["name"], int(e["at"])) for e in start]
+
+def _folded(entries: list, times: list, names: list, fold: Fold, alive: Callable[[str], int]) -> tuple[list, list[str]]:
+    """The state after some rows in order, and their decisions; entries are looked through only when one has expired."""
+    decisions, until = [], min((at + alive(name) for name, at in entries), default=None)
+    for now, label in zip(times, names):
+        if until is not None and now > until:
             entries = expired(entries, now, alive)
-            decisions.append(fold(entries, now, label))
-        yield frame, decisions, ended
-    if key is not None:
-        yield None, [], [(key, begin, entries)]
+            until = min((at + alive(name) for name, at in entries), default=None)
+        known = len(entries)
+        decisions.append(fold(entries, now, label))
+        for name, at in entries[known:]:
+            until = at + alive(name) if until is None else min(until, at + alive(name))
+    return entries, decisions
+
+
+def _pieces(frame: pd.DataFrame, group: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(key and slice, first, last) of the runs of one slice in a sorted batch; a row that opens a slice begins a run."""
+    opens = frame["_opens"].to_numpy().copy()
+    opens[:1] = True
+    edges = opens.nonzero()[0]
+    heads = zip(*[frame[column].iloc[edges].tolist() for column in group])
+    edges = [*edges.tolist(), len(opens)]
+    yield from zip(heads, edges, edges[1:])
 
 
 def named_key(keys: Sequence[str]) -> Column:
@@ -79,8 +87,8 @@ def sliced_fold(
 ) -> DataFrame:
     """``df`` with a ``decision`` per row.  ``name`` is the entry name a row may leave in the state.
 
-    The default slice is a day, or twenty times ``longest`` if that is more: traffic without any quiet
-    stretch needs a round per slice.  ``tie`` tells rows of one key and time apart.
+    The default slice is a day, or twenty times ``longest`` if that is more.  ``tie`` tells rows of one key and
+    time apart.
     """
     ship_package(df.sparkSession)
     width = max(width or max(DAY, 20 * longest), longest)
@@ -88,50 +96,98 @@ def sliced_fold(
     slim = settle(
         keyed.filter(F.col(at).isNotNull()).select(KEY, F.col(at), F.col(tie), F.col(name)).withColumn(SLICE, slice_of(at, width))
     )
-    keys = [KEY]
-    group = [*keys, SLICE]
+    group = [KEY, SLICE]
     kinds = {column.name: column.dataType.simpleString() for column in slim.schema}
-    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    state_schema = f"{KEY} string, {SLICE} bigint, _begin bigint, _tie {kinds[tie]}, _used {STATE}, _end {STATE}"
+    mark_schema = f"{KEY} string, `{at}` {kinds[at]}, `{tie}` {kinds[tie]}, decision string"
+    empty = F.array().cast(STATE)
+
+    def state(entries: list) -> list[dict]:
+        return [{"name": n, "at": t} for n, t in entries]
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, ended in _runs(batches, group, at, name, fold, alive):
-            if ended:
-                rows = [(*key, begin, [{"name": n, "at": t} for n, t in sorted(state)]) for key, begin, state in ended]
-                yield pd.DataFrame(rows, columns=[*group, "_begin", "_end"])
+        """The states of slices; from a slice with ``_state`` on those of the same stretch are folded one after the other,
+        until one begins with the state that it was folded with before."""
+        names = [*group, "_begin", "_tie", "_used", "_end"]
+        at_slice, stretch, folding, entries, facts = None, None, False, [], None
+        for frame in batches:
+            done = []
+            times, labels, ties, blocks = (frame[column].tolist() for column in (at, name, tie, "_block"))
+            for here, first, last in _pieces(frame, group):
+                if here != at_slice:
+                    if folding:
+                        done.append((*at_slice, *facts, state(sorted(entries))))
+                    given, used = _entries(frame["_state"].iat[first]), _entries(frame["_used"].iat[first])
+                    begin, block = int(times[first]), (here[0], blocks[first])
+                    if given is None and folding and block == stretch:
+                        given = [entry for entry in sorted(entries) if begin - entry[1] <= longest]
+                        folding = given != used
+                    else:
+                        folding = given is not None
+                    at_slice, stretch = here, block
+                    if folding:
+                        entries, facts = given, (begin, ties[first], state(given))
+                    first += 1
+                if folding:
+                    entries, _ = _folded(entries, times[first:last], labels[first:last], fold, alive)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if folding:
+            yield pd.DataFrame([(*at_slice, *facts, state(sorted(entries)))], columns=names)
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, decisions, _ in _runs(batches, group, at, name, fold, alive):
-            if frame is not None:
-                yield frame[[*keys, at, tie]].assign(decision=decisions)
-
-    def in_order(rows: DataFrame) -> DataFrame:
-        return rows.repartition(*group).sortWithinPartitions(*group, at, tie)
-
-    end_schema = f"{key_schema}, {SLICE} bigint, _begin bigint, _end {STATE}"
-    empty = F.array().cast(STATE)
-    states = in_order(slim.withColumn("_state", empty)).mapInPandas(ends, end_schema)
-    states = settle(states.withColumn("_used", empty))
-    order = Window.partitionBy(*keys).orderBy(SLICE)
-
-    def linked(table: DataFrame) -> DataFrame:
-        """Each slice with the state the slice before it left, expired entries taken out."""
-        alive_at = F.filter(
-            F.coalesce(F.lag("_end").over(order), empty), lambda e: F.col("_begin") - e["at"] <= F.lit(longest)
+        at_slice, entries = None, []
+        for frame in batches:
+            decisions, times, labels = [], frame[at].tolist(), frame[name].tolist()
+            for here, first, last in _pieces(frame, group):
+                if here != at_slice:
+                    at_slice, entries = here, _entries(frame["_state"].iat[first])
+                    first += 1
+                entries, made = _folded(entries, times[first:last], labels[first:last], fold, alive)
+                decisions += made
+            yield frame.loc[~frame["_opens"], [KEY, at, tie]].assign(decision=decisions)
+
+    def in_order(rows: DataFrame, opening: DataFrame, block: Column) -> DataFrame:
+        """Rows in time order, each slice opened by a row that holds its state as text, so that no other row carries one."""
+        nothing = F.lit(None).cast("string")
+        plain = rows.select(*group, at, tie, name, F.lit(False).alias("_opens"), nothing.alias("_used"), nothing.alias("_state"))
+        opened = opening.select(
+            *group, F.col("_begin").cast(kinds[at]).alias(at), F.col("_tie").alias(tie), F.lit("").alias(name),
+            F.lit(True).alias("_opens"), F.to_json("_used").alias("_used"), F.to_json("_state").alias("_state"),
         )
-        return table.withColumn("_state", alive_at)
+        both = plain.unionByName(opened).withColumn("_block", block)
+        return both.repartition(KEY, "_block").sortWithinPartitions(KEY, "_block", SLICE, F.desc("_opens"), at, tie)
+
+    first = F.min(F.struct(F.col(at).cast("bigint").alias("_begin"), F.col(tie).alias("_tie")))
+    opening = slim.groupBy(*group).agg(first.alias("_first")).select(*group, "_first.*")
+    opening = opening.withColumns({"_used": empty, "_state": empty})
+    # Every slice is folded on its own at first, from the empty state.
+    states = settle(in_order(slim, opening, F.col(SLICE)).mapInPandas(ends, state_schema))
+    least = states.agg(F.min(SLICE)).first()[0]
+    place = F.col(SLICE) - F.lit(least or 0)
+    order = Window.partitionBy(KEY).orderBy(SLICE)
+    alive_at = F.filter(F.coalesce(F.lag("_end").over(order), empty), lambda e: F.col("_begin") - e["at"] <= F.lit(longest))
+    # Two slices meet at the level of the highest binary digit in which their numbers differ.
+    level = F.length(F.bin(place.bitwiseXOR(F.lag(place).over(order)))) - 1
 
     while True:
         # ``states`` is a settled table with one row per key and slice; this check is cheap.
-        stale = linked(states).filter(~F.col("_state").eqNullSafe(F.col("_used"))).select(*group, "_state")
-        if stale.isEmpty():
+        linked = states.withColumns({"_state": alive_at, "_level": level})
+        stale = linked.filter(~F.col("_state").eqNullSafe(F.col("_used")))
+        lowest = stale.agg(F.min("_level")).first()[0]
+        if lowest is None:
             break
-        again = in_order(slim.join(stale, group)).mapInPandas(ends, end_schema)
-        fresh = again.join(stale.withColumnRenamed("_state", "_used"), group)
-        kept = states.join(stale.select(*group), group, "left_anti")
-        states = settle(kept.unionByName(fresh.select(*kept.columns)))
-    starts = states.select(*group, F.col("_used").alias("_state"))
-    mark_schema = f"{key_schema}, {at} {kinds[at]}, {tie} {kinds[tie]}, decision string"
-    decided = in_order(slim.join(starts, group)).mapInPandas(marks, mark_schema)
+        # Stretches of 2 ** lowest slices are right in themselves; those begun with a wrong state are folded again.
+        block = F.shiftright(place, lowest)
+        heads = stale.filter(F.col("_level") == lowest).select(*group, "_state")
+        stretches = heads.select(KEY, block.alias("_block")).distinct()
+        again = states.withColumn("_block", block).join(stretches, [KEY, "_block"], "left_semi").drop("_block")
+        rows = slim.join(again.select(*group), group, "left_semi")
+        fresh = in_order(rows, again.join(heads, group, "left"), block).mapInPandas(ends, state_schema)
+        fresh = settle(fresh)
+        states = settle(states.join(fresh.select(*group), group, "left_anti").unionByName(fresh))
+    starts = states.withColumn("_state", F.col("_used"))
+    decided = in_order(slim, starts, F.col(SLICE)).mapInPandas(marks, mark_schema)
     return keyed.join(decided, [KEY, at, tie], "left").select(*df.columns, "decision")
 
 
