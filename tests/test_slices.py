@@ -211,3 +211,15 @@ def test_rounds_grow_with_the_logarithm_of_the_slices(spark, monkeypatch):
     got = {r.seq: r.decision for r in throttle.api_rate_limit(df, 3, span=60 * SECOND, width=100 * SECOND).collect()}
     assert got == want
     assert len(written) <= 2 + 2 * 6  # 63 slices
+
+
+def test_rounds_of_delivery_grow_with_the_logarithm_of_the_slices(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(throttle, "settle", lambda df: written.append(1) or settle(df))
+    rows = [("a", i * 7 * SECOND, i, f"k{i % 4}") for i in range(1600)]
+    df = spark.createDataFrame(rows, "tenant_id string, at bigint, seq int, dedup_key string")
+    whole = throttle.throttle_rate(df, limit=3, width=20_000 * SECOND).collect()  # one slice
+    del written[:]
+    got = throttle.throttle_rate(df, limit=3, width=180 * SECOND).collect()
+    assert {r.seq: r.decision for r in got} == {r.seq: r.decision for r in whole}
+    assert len({r.decision for r in got}) > 1 and len(written) <= 2 + 2 * 6  # 63 slices
