@@ -368,3 +368,73 @@ def test_exact_quantile(spark):
     for share in (0.0, 0.3, 0.5, 0.92, 1.0):
         wanted = min(v for v in values if sum(w <= v for w in values) >= share * len(values))
         assert isolation.exact_quantile(frame, "x", share) == wanted
+
+
+class _Map(dict):
+    """A map state that counts the characters that are read and written."""
+
+    read = written = 0
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        self.read += len(str(self[key][0]))
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.written += len(str(value[0]))
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _Value:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Handle:
+    def __init__(self):
+        self.maps, self.timers = {}, []
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, _Map())
+
+    def getValueState(self, *_):
+        return _Value()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_waiting_alerts_are_not_read_again_for_every_frame():
+    import pandas as pd
+
+    throttle_state, handle = jobs.AlertThrottle(["at", "seq", "dedup_key"], 5, 60 * SECOND, 180 * SECOND, 86_400_000), _Handle()
+    throttle_state.init(handle)
+    frames = [pd.DataFrame({"at": [(i * 50 + j) * SECOND for j in range(50)], "seq": range(i * 50, i * 50 + 50), "dedup_key": "k"}) for i in range(60)]
+    for part in (frames[:30], frames[30:]):
+        list(throttle_state.handleInputRows(("t",), iter(part[::-1]), None))
+    size = sum(len(frame.to_json(orient="values")) for frame in frames)
+    assert sum(m.read for m in handle.maps.values()) < 100 and sum(m.written for m in handle.maps.values()) < size + 100
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return handle.timers[0]
+
+    done = list(throttle_state.handleExpiredTimer(("t",), None, Expired()))
+    assert [len(d) for d in done] == [3000] and not handle.maps["waiting"] and not handle.maps["parts"]
+    assert done[0]["seq"].tolist() == list(range(3000)) and done[0]["decision"].iat[0] == "sent"

@@ -255,25 +255,34 @@ class AlertThrottle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket bigint", "rows string")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "rows string")
+        self.parts = handle.getMapState("parts", "bucket bigint", "number bigint")
         self.sent = handle.getMapState("sent", "name string", "at bigint")
         self.tokens = handle.getValueState("tokens", "times array<bigint>, swept bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # What waits in a bucket is not read again until it is decided: each frame leaves a part of its own.
+        numbers = {}
         for frame in rows:
             for bucket, part in frame.groupby(frame["at"].astype("int64") // 1000 // self.bucket):
                 bucket = int(bucket)
-                held = json.loads(self.waiting.getValue((bucket,))[0]) if self.waiting.containsKey((bucket,)) else []
-                held += json.loads(part[self.columns].to_json(orient="values"))
-                self.waiting.updateValue((bucket,), (json.dumps(held),))
-                self.handle.registerTimer((bucket + 1) * self.bucket)
+                if bucket not in numbers:
+                    numbers[bucket] = int(self.parts.getValue((bucket,))[0]) if self.parts.containsKey((bucket,)) else 0
+                    self.handle.registerTimer((bucket + 1) * self.bucket)
+                self.waiting.updateValue((bucket, numbers[bucket]), (part[self.columns].to_json(orient="values"),))
+                numbers[bucket] += 1
+        for bucket, number in numbers.items():
+            self.parts.updateValue((bucket,), (number,))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = int(expiredTimerInfo.getExpiryTimeInMs())
-        for bucket in sorted(b for (b,) in self.waiting.keys() if (b + 1) * self.bucket <= now):
-            rows = json.loads(self.waiting.getValue((bucket,))[0])
-            self.waiting.removeKey((bucket,))
+        for bucket, number in sorted((b, n) for (b,), (n,) in self.parts.iterator() if (b + 1) * self.bucket <= now):
+            rows = []
+            for part in range(number):
+                rows += json.loads(self.waiting.getValue((bucket, part))[0])
+                self.waiting.removeKey((bucket, part))
+            self.parts.removeKey((bucket,))
             self.handle.registerTimer(now + self.ttl // 1000 + self.bucket)  # by then its alerts can be forgotten
             yield self._decided(rows)
         times, swept = self.tokens.get() if self.tokens.exists() else ([], 0)
