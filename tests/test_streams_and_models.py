@@ -438,3 +438,26 @@ def test_waiting_alerts_are_not_read_again_for_every_frame():
     done = list(throttle_state.handleExpiredTimer(("t",), None, Expired()))
     assert [len(d) for d in done] == [3000] and not handle.maps["waiting"] and not handle.maps["parts"]
     assert done[0]["seq"].tolist() == list(range(3000)) and done[0]["decision"].iat[0] == "sent"
+
+
+def test_a_new_incident_asks_its_state_little():
+    """Most keys have one event: nothing is looked up among members that can't be there, and rows make no frames."""
+    from pyspark.sql import Row
+
+    from wardline.streaming.incidents import IncidentState
+
+    asked = []
+
+    class Counted(_Map):
+        def containsKey(self, key):
+            asked.append(key)
+            return super().containsKey(key)
+
+    state, handle = IncidentState(600 * SECOND), _Handle()
+    handle.maps["members"] = Counted()
+    state.init(handle)
+    event = Row(at=5 * SECOND, event_id="e", incident_attack="bruteforce", user="u", source="auth", event_type="login_failure", peak=float("nan"), rank=3, triggers=None)
+    (made,) = state.handleInputRows(("k",), iter([event]), None)
+    assert (made.status, made.event_count, made._peak, made.start_at) == ("open", 1, None, 5 * SECOND) and not asked
+    (again,) = state.handleInputRows(("k",), iter([event]), None)
+    assert (again.event_count, again.version) == (1, 2) and asked == [("e",)]

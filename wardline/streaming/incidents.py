@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
+from math import isnan
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,6 +29,9 @@ _FACTS = (
 )
 _NAMES = [part.split()[0] for part in _FACTS.split(", ")]
 VERSION_SCHEMA = f"incident_key string, start_at bigint, {_FACTS}, status string, event_id string"
+_VERSION = Row("incident_key", "start_at", *_NAMES, "status", "event_id")
+#: Rows of one key and micro-batch that are put in order together.
+ROWS_IN_ORDER = 10_000
 
 
 class IncidentState(StatefulProcessor):
@@ -41,11 +45,11 @@ class IncidentState(StatefulProcessor):
         self.open = handle.getMapState("open", "start_at bigint", "facts string")
         self.members = handle.getMapState("members", "event_id string", "at bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = {int(s): json.loads(f) for (s,), (f,) in self.open.iterator()}
         before, changed = set(held), set()
-        for frame in rows:
-            for row in frame.sort_values(["at", "event_id"], kind="stable").to_dict("records"):
+        while part := [row.asDict() for row in islice(rows, ROWS_IN_ORDER)]:
+            for row in sorted(part, key=lambda r: (r["at"], r["event_id"] is None, r["event_id"] or "")):
                 changed.add(self._taken(held, row))
         gone = before - set(held)
         for start in gone:
@@ -56,7 +60,7 @@ class IncidentState(StatefulProcessor):
             self.handle.registerTimer(self._deadline(held[start]))
         out = [self._version(key[0], start, held[start], "open") for start in sorted(changed & set(held))]
         out += [self._version(key[0], start, None, "merged") for start in sorted(gone)]
-        yield pd.DataFrame(out, columns=self._columns())
+        yield from out
 
     def _taken(self, held: dict[int, dict], row: dict) -> int:
         """Put an event where it belongs; the start of its incident."""
@@ -64,12 +68,13 @@ class IncidentState(StatefulProcessor):
         near = [s for s, f in held.items() if s - self.gap <= at <= f["end_at"] + self.gap]
         facts = {
             "incident_attack": row["incident_attack"], "user": row["user"], "source": row["source"], "end_at": at, "_rank": int(row["rank"]),
-            "_peak": None if pd.isna(row["peak"]) else float(row["peak"]), "event_count": 0, "event_types": [], "triggers": [], "version": 0,
+            "_peak": None if row["peak"] is None or isnan(row["peak"]) else float(row["peak"]), "event_count": 0, "event_types": [], "triggers": [], "version": 0,
         }
         facts["event_types"] = [row["event_type"]] if row["event_type"] is not None else []
         facts["triggers"] = sorted({t for t in row["triggers"] if t is not None}) if row["triggers"] is not None else []
         # An id counts once, wherever it comes again within an incident that is still open.
-        if row["event_id"] is not None and not self.members.containsKey((row["event_id"],)):
+        # Where no incident is open there are no members to look through.
+        if row["event_id"] is not None and not (held and self.members.containsKey((row["event_id"],))):
             self.members.updateValue((row["event_id"],), (at,))
             facts["event_count"] = 1
         start = at
@@ -88,7 +93,7 @@ class IncidentState(StatefulProcessor):
     def _deadline(self, facts: dict) -> int:
         return (facts["end_at"] + self.gap) // 1000 + 1
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = int(expiredTimerInfo.getExpiryTimeInMs())
         for start, facts in [(int(s), json.loads(f)) for (s,), (f,) in self.open.iterator()]:
             if self._deadline(facts) > now:
@@ -100,14 +105,11 @@ class IncidentState(StatefulProcessor):
             out += [self._version(key[0], start, facts, "member", e) for e in ids]
             for e in ids:
                 self.members.removeKey((e,))
-            yield pd.DataFrame(out, columns=self._columns())
+            yield from out
 
-    def _columns(self) -> list[str]:
-        return ["incident_key", "start_at", *_NAMES, "status", "event_id"]
-
-    def _version(self, key: str, start: int, facts: dict | None, status: str, event_id: str | None = None) -> tuple:
+    def _version(self, key: str, start: int, facts: dict | None, status: str, event_id: str | None = None) -> Row:
         empty = {name: None for name in _NAMES} | {"end_at": start, "_rank": 0, "event_count": 0, "version": 1 << 62}
-        return (key, start, *((facts or empty)[name] for name in _NAMES), status, event_id)
+        return _VERSION(key, start, *((facts or empty)[name] for name in _NAMES), status, event_id)
 
     def close(self) -> None:
         pass
@@ -129,7 +131,7 @@ def incident_versions(
         "ts", "at", "incident_key", "incident_attack", F.col(user).alias("user"), "source", "event_type", "event_id",
         F.col("risk_score").cast("double").alias("peak"), risk.severity_rank("severity").cast("int").alias("rank"), triggers.alias("triggers"),
     )
-    versions = slim.withWatermark("ts", lateness).groupBy("incident_key").transformWithStateInPandas(
+    versions = slim.withWatermark("ts", lateness).groupBy("incident_key").transformWithState(
         IncidentState(seconds_to_micros(gap)), VERSION_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
     return described(versions.withColumn("session_start", F.col("start_at")), F.col("status"), "version", "event_id")
