@@ -46,3 +46,18 @@ def test_model_queries_train_the_default_models(spark, tables, monkeypatch, name
         PLANS[name](spark, tables)
     defaults = {k: p.default for k, p in own.parameters.items() if p.default is not inspect.Parameter.empty}
     assert found.value.args[0] == defaults
+
+
+def test_chains_stream_carries_only_what_is_looked_at(spark, tables, monkeypatch):
+    from wardline.plans import stream_plans
+
+    class Called(Exception):
+        pass
+
+    def called(spark, df, name):
+        raise Called(set(df.columns))
+
+    monkeypatch.setattr(stream_plans, "as_stream", called)
+    with pytest.raises(Called) as found:
+        PLANS["streamed_suspicious_chains"](spark, tables)
+    assert found.value.args[0] == {"event_id", "seq", "ts", "at", "user_name", "host", "event_type", "ip_address"}

@@ -94,7 +94,9 @@ def _batches(spark, sf_dir):
     SELECT event_id, n AS related_event_count, kinds = 3 AS suspicious_chain FROM w""",
 )
 def _chains(spark, sf_dir):
-    stream = as_stream(spark, security_events(spark, sf_dir), "chains")
+    # Every column of the stream goes through the state's Python tasks and back, so only those that are looked at do.
+    events = security_events(spark, sf_dir).select("event_id", "seq", "ts", "at", "user_name", "host", "event_type", "ip_address")
+    stream = as_stream(spark, events, "chains")
     done = finished(spark, jobs.window_features(stream, **WINDOWS), "chains")
     return done.select("event_id", "related_event_count", "suspicious_chain")
 
