@@ -61,3 +61,21 @@ def test_chains_stream_carries_only_what_is_looked_at(spark, tables, monkeypatch
     with pytest.raises(Called) as found:
         PLANS["streamed_suspicious_chains"](spark, tables)
     assert found.value.args[0] == {"event_id", "seq", "ts", "at", "user_name", "host", "event_type", "ip_address"}
+
+
+def test_packed_trees_give_the_lengths_of_the_nodes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 40, (300, 3)).astype(float)
+    values[7, 1] = np.nan
+    for rows in (values[200:], values[:1], values[:0]):
+        nodes = isolation.grow(rows, 5)
+        arrays = [nodes[c].to_numpy() for c in ("feature", "threshold", "below", "above", "length")]
+        want = []
+        for row in values:
+            at = 0
+            while arrays[0][at] >= 0:
+                at = arrays[2][at] if row[arrays[0][at]] <= arrays[1][at] else arrays[3][at]
+            want.append(arrays[4][at])
+        assert isolation.leaf_lengths(values, *isolation.pack_tree(*arrays)).tolist() == want
