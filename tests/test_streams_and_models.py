@@ -461,3 +461,87 @@ def test_a_new_incident_asks_its_state_little():
     assert (made.status, made.event_count, made._peak, made.start_at) == ("open", 1, None, 5 * SECOND) and not asked
     (again,) = state.handleInputRows(("k",), iter([event]), None)
     assert (again.event_count, again.version) == (1, 2) and asked == [("e",)]
+
+
+def test_keys_of_a_bucket_share_their_calls_to_the_state():
+    """A bucket of many keys asks the store a few times a micro-batch, and makes the versions of a state per key."""
+    from pyspark.sql import Row
+
+    from wardline.streaming.incidents import IncidentBuckets, IncidentState
+
+    class Counted:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def get(self):
+            self.calls += 1
+            return self.kept()
+
+        def change(self, rows):
+            self.calls += 1
+            self.rows = rows
+
+        def clear(self):
+            self.change([])
+
+    class One(Counted):
+        def kept(self):
+            return self.rows[0] if self.rows else None
+
+        def update(self, row):
+            self.change([row])
+
+    class Several(Counted):
+        def kept(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.change(rows)
+
+        def appendList(self, rows):
+            self.change(self.rows + rows)
+
+    class Handle:
+        def __init__(self):
+            self.one, self.several, self.timers = One(), Several(), []
+
+        def getValueState(self, *_):
+            return self.one
+
+        def getListState(self, *_):
+            return self.several
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    facts = {"incident_attack": "bruteforce", "user": "u", "source": "auth", "event_type": "login_failure", "peak": 5.0, "rank": 3, "triggers": None}
+    steps = [
+        [Row(incident_key=f"k{k}", at=(at + k) * SECOND, event_id=e, **facts) for k in range(200) for at, e in some]
+        for some in ([(0, "a"), (900, "b"), (5000, "z")], [(500, "late"), (900, "b"), (950, None)])
+    ]
+    handle, bucket, kept, alone = Handle(), IncidentBuckets(600 * SECOND), {}, {}
+    bucket.init(handle)
+    for rows in steps:
+        made = list(bucket.handleInputRows((1,), iter(rows), Clock(0)))
+        for k in range(200):
+            if k not in alone:
+                kept[k], alone[k] = _Handle(), IncidentState(600 * SECOND)
+                alone[k].init(kept[k])
+        own = [v for k in range(200) for v in alone[k].handleInputRows((f"k{k}",), iter([r for r in rows if r.incident_key == f"k{k}"]), None)]
+        assert sorted(map(str, made)) == sorted(map(str, own))
+    assert handle.one.calls + handle.several.calls <= 8 and len(handle.timers) <= 2
+    for end in (1700 * 1000, 10_000 * 1000):
+        assert handle.timers[-1] <= end
+        made = list(bucket.handleExpiredTimer((1,), Clock(end), Clock(handle.timers[-1])))
+        own = [v for k in range(200) for v in alone[k].handleExpiredTimer((f"k{k}",), None, Clock(end))]
+        assert sorted(map(str, made)) == sorted(map(str, own)) and {v.status for v in made} == {"closed", "member"}
+    assert not handle.one.rows and not handle.several.rows
