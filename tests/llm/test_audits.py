@@ -271,3 +271,21 @@ def test_divergence_of_nothing(no_docs, spark):
 
 def test_divergence_has_a_twin():
     assert "op13_divergence" in SQL
+
+
+def test_terms_are_split_on_bytes(monkeypatch):
+    """Terms are those of the pattern, whether a text is split whole or in pieces, and white space beyond ASCII is part of them."""
+    import re
+    from collections import Counter
+
+    from wardline.llm import divergence
+
+    pattern = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    texts = ["", "1 2\t3", "Ab aB AB-zÉ é\xa0x\x85y  Z@[a`b{c\x7fd", "x" * 40 + " " + "Żółw " * 30 + "end"]
+    for long in (1 << 20, 5):
+        monkeypatch.setattr(divergence, "LONG", long)
+        times, docs, wanted = Counter(), Counter(), [pattern.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t)) for t in texts]
+        for text in texts:
+            divergence.count_terms(text.encode(), times, docs)
+        assert times == Counter(term.encode() for terms in wanted for term in terms)
+        assert docs == Counter(term.encode() for terms in wanted for term in set(terms))
