@@ -205,3 +205,16 @@ def test_links_of_a_large_group_are_whole(spark):
     found = {r.vec_id: (r.n_links, r.component_id) for r in quantised.near_vectors(frame).collect()}
     assert near[:1000, :1000].mean() > 0.99
     assert found == {i: (near[i].sum() - 1, root[i]) for i in range(len(x))}
+
+
+def test_words_are_hashed_by_the_bytes_of_many(monkeypatch):
+    """Equal words have one hash wherever they stand, however the words are dealt, and no call is made for a word."""
+    parts = [b"a", b"b", b"ab", b"a" * 300, b"a" * 300, b"\xc3\xa9", b"b", b"ba", b"a"] * 50
+    whole = passages.word_hashes(parts)
+    monkeypatch.setattr(passages, "WORDS_TOGETHER", 7)
+    assert (passages.word_hashes(parts) == whole).all() and len(passages.word_hashes([])) == 0
+    assert len(set(whole.tolist())) == len(set(parts))
+    assert all(len({h for h, p in zip(whole.tolist(), parts) if p == word}) == 1 for word in set(parts))
+    monkeypatch.setattr(passages, "xxhash", None)
+    places, prints = passages.winnowed(parts, 10, 5)
+    assert len(places) == len(prints) > 0

@@ -15,29 +15,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.rolling import gram_hashes, lowest
+from wardline.llm.rolling import gram_hashes, lowest, run_hashes
 from wardline.llm.shared import Scratch
 
 WORDS = 50
 #: Shingles of a text that are worked on at a time; their number fits in the low bits of an order value.
 PIECE = (1 << 20) - 4096
 _PLACE = np.uint64((1 << 20) - 1)
-#: Words whose hash a worker remembers; it only saves time.
-MEMO_WORDS = 200_000
-_memo: dict[bytes, int] = {}
+#: Words that are hashed together, and the bytes of a word that count for its hash. Passages are compared whole later,
+#: so words of one hash cost time only.
+WORDS_TOGETHER, HASHED_BYTES = 1 << 16, 256
 
 
-def _hash(word: bytes) -> int:
-    found = xxhash.xxh64_intdigest(word)
-    if len(_memo) < MEMO_WORDS and len(word) <= 40:
-        _memo[word] = found
-    return found
+def word_hashes(parts: list[bytes]) -> np.ndarray:
+    """A hash of each word, by sums over the bytes of many."""
+    found = [np.empty(0, np.uint64)]
+    for i in range(0, len(parts), WORDS_TOGETHER):
+        some = parts[i : i + WORDS_TOGETHER]
+        sizes = np.fromiter(map(len, some), np.int64, len(some))
+        if sizes.max() > HASHED_BYTES:
+            some = [word[:HASHED_BYTES] for word in some]
+            sizes = np.minimum(sizes, HASHED_BYTES)
+        found.append(run_hashes(np.frombuffer(b"".join(some), np.uint8), sizes))
+    return np.concatenate(found)
 
 
 def winnowed(parts: list[bytes], words: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the chosen shingles: the lowest hash, leftmost among equals, of each passage's shingles."""
-    known, places, prints = _memo.get, [], []
-    hashes = np.fromiter((known(w) or _hash(w) for w in parts), np.uint64, len(parts))
+    places, prints = [], []
+    hashes = word_hashes(parts)
     width = words - shingle + 1
     for base in range(0, max(len(parts) - words + 1, 0), PIECE):
         found = gram_hashes(hashes[base : base + PIECE + words - 1], shingle)

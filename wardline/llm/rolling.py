@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -20,7 +21,19 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A well mixed hash of the ``gram`` bytes at each place, by one running sum over the data."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(data)), out=sums[1:])
-    found = (sums[gram:] - sums[:-gram]) * _power("down", pow(_BASE, -1, 1 << 64), len(sums) - gram)
+    return _mixed((sums[gram:] - sums[:-gram]) * _power("down", _INVERSE, len(sums) - gram))
+
+
+def run_hashes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A well mixed hash of each run of bytes; the runs of these sizes fill the data."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(data)), out=sums[1:])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    return _mixed((sums[ends] - sums[starts]) * _power("down", _INVERSE, len(sums))[starts])
+
+
+def _mixed(found: np.ndarray) -> np.ndarray:
     found ^= found >> np.uint64(31)
     found *= np.uint64(0xBF58476D1CE4E5B9)
     found ^= found >> np.uint64(29)
