@@ -96,3 +96,20 @@ def test_related_types_of_dense_rows(spark):
         types = sorted({r[4] for r in recent if r[4] is not None})
         assert found[seq].related_types == types and found[seq].related_event_count == len(recent)
         assert found[seq].suspicious_chain == {"login_failure", "process_create", "network_connection"}.issubset(types)
+
+
+def test_headers_are_found_without_sorting_lines(spark, tmp_path, monkeypatch):
+    """A task keeps a line per file while it looks for headers; the first filled line counts."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    settle = files.settle
+    monkeypatch.setattr(files, "settle", kept)
+    write_csv(tmp_path / "a.csv", ["x", "label"], [["1", "BENIGN"], ["0", "a"]])
+    (tmp_path / "b.csv").write_text("\n  \nlabel,x\nz,5\n")
+    found = files.read_csv_folder(spark, str(tmp_path))
+    assert sorted((r.x, r.label) for r in found.collect()) == [("0", "a"), ("1", "BENIGN"), ("5", "z")]
+    assert plans and all("ObjectHashAggregate" in plan and "SortAggregate" not in plan for plan in plans)

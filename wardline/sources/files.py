@@ -128,8 +128,9 @@ def read_csv_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", on
 
 
 def _by_header(lines: DataFrame) -> DataFrame | None:
-    first = lines.filter("_head").groupBy(_FILE).agg(F.min_by("value", "_at").alias("_header"))
-    headers = settle(first.withColumn("_line", F.regexp_replace("_header", "^\ufeff", "")))
+    # A text as the only aggregate makes Spark sort all lines of a split; beside a set it keeps one line a file.
+    first = lines.filter("_head").groupBy(_FILE).agg(F.min_by("value", "_at").alias("_header"), F.collect_set("_head").alias("_heads"))
+    headers = settle(first.filter(F.size("_heads") > 0).drop("_heads").withColumn("_line", F.regexp_replace("_header", "^\ufeff", "")))
     files, width = headers.agg(F.count(F.lit(1)), F.max(F.size(F.split("_line", ",")))).first()
     if not files:
         return None
