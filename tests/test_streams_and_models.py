@@ -545,3 +545,14 @@ def test_keys_of_a_bucket_share_their_calls_to_the_state():
         own = [v for k in range(200) for v in alone[k].handleExpiredTimer((f"k{k}",), None, Clock(end))]
         assert sorted(map(str, made)) == sorted(map(str, own)) and {v.status for v in made} == {"closed", "member"}
     assert not handle.one.rows and not handle.several.rows
+
+
+def test_a_stored_table_gives_only_the_columns_that_are_read(spark):
+    from wardline.session import stored
+
+    rows = spark.range(20).select("id", F.concat(F.lit("v"), "id").alias("text"), F.when(F.col("id") > 5, F.array("id")).alias("list"))
+    kept = stored(rows)
+    assert kept.schema.simpleString() == rows.schema.simpleString()
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+    plan = kept.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan

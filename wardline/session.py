@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a table, to the shared folder unless told where, and read it back.
+
+    Like ``settle`` for wide rows that several steps read: each reads the columns it looks at, of packed files.
+    """
+    path = path or f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python jobs find it there."""
     context = spark.sparkContext

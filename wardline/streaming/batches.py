@@ -24,7 +24,7 @@ from wardline.operators.stream_features import (
     stream_features,
     user_behavior_score,
 )
-from wardline.session import settle
+from wardline.session import stored
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -57,7 +57,7 @@ def score_batches(
         tail = _tail_before(batch.sparkSession, folder, batch.schema, batch_id)
         fresh = batch.withColumn("_fresh", F.lit(True))
         whole = fresh if tail is None else fresh.unionByName(tail.withColumn("_fresh", F.lit(False)))
-        rows = settle(whole)
+        rows = stored(whole)
         featured = suspicious_chain(
             stream_features(rows, login_span=login_span, request_span=request_span), span=chain_span
         )

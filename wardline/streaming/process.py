@@ -17,7 +17,7 @@ from wardline.functions.casts import seconds_to_micros
 from wardline.ml.online import ModelStore, online_predict, online_update
 from wardline.operators import alerts, behavior, normalize
 from wardline.operators.stream_features import FEATURE_ORDER
-from wardline.session import settle
+from wardline.session import settle, stored
 from wardline.sources.schemas import CANONICAL_EVENT
 from wardline.streaming.batches import score_batches
 from wardline.streaming.jobs import judge_lines
@@ -69,13 +69,13 @@ def process_lines(
 
     def handle(lines: DataFrame, batch_id: int) -> None:
         spark = lines.sparkSession
-        judged = settle(judge_lines(lines, schema).withColumn("at", F.unix_micros("ts")))
+        judged = stored(judge_lines(lines, schema).withColumn("at", F.unix_micros("ts")))
         dead = judged.filter("dlq_reason IS NOT NULL").select("value", "dlq_reason")
         _write(dead, DEAD_LETTERS, batch_id)
         good = judged.filter("dlq_reason IS NULL")
         first = _first_of_each(good)
         known = spark.read.schema("event_id string, at bigint").parquet(f"{folder}/{_IDS}/batch={batch_id - 1}") if batch_id else None
-        fresh = settle(first if known is None else first.join(known.select("event_id"), "event_id", "left_anti"))
+        fresh = stored(first if known is None else first.join(known.select("event_id"), "event_id", "left_anti"))
         ids = fresh.select("event_id", "at")
         if known is not None:
             ids = known.select("event_id", "at").unionByName(ids)
@@ -112,8 +112,8 @@ def process_lines(
 
     def sink(scored: DataFrame, batch_id: int) -> None:
         staged = behavior.mitre_map(scored).withColumn("kill_chain_stage", behavior.kill_chain_stage())
-        held = settle(staged)
-        _write(held, EVENTS, batch_id)
+        # Alerts are read from the events as they were written.
+        held = stored(staged, f"{folder}/{EVENTS}/batch={batch_id}")
         payload = alerts.alert_payload(held.filter("alert"), "user_name")
         _write(
             payload.select(
