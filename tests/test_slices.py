@@ -223,3 +223,24 @@ def test_rounds_of_delivery_grow_with_the_logarithm_of_the_slices(spark, monkeyp
     got = throttle.throttle_rate(df, limit=3, width=180 * SECOND).collect()
     assert {r.seq: r.decision for r in got} == {r.seq: r.decision for r in whole}
     assert len({r.decision for r in got}) > 1 and len(written) <= 2 + 2 * 6  # 63 slices
+
+
+def test_scores_of_delivered_alerts_are_computed_once(spark):
+    """The rows that an alert is made of are read once, whatever steps the throttle takes; columns may have no type."""
+    from wardline.operators import alerts
+
+    rows = [(i, "ab"[i % 2], f"u{i % 3}", "scan", i * 20 * SECOND, 25.0 + i % 10) for i in range(400)]
+    schema = "seq long, tenant_id string, user_name string, event_type string, at long, risk_score double"
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    scored = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    once = {(r.seq, r.decision) for r in alerts.deliver_alerts(scored).collect()}
+    assert seen.value == len(rows)
+    untyped = spark.createDataFrame(rows, schema).withColumn("note", F.lit(None))
+    assert {(r.seq, r.decision) for r in alerts.deliver_alerts(untyped).collect()} == once
+    assert {seq for seq, _ in once} == {r[0] for r in rows if r[5] >= 30} and len({d for _, d in once}) > 1

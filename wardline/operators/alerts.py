@@ -9,6 +9,7 @@ from wardline.functions import risk
 from wardline.functions.fields import beside, coalesce_fields, field
 from wardline.functions.rounding import fixed_text
 from wardline.operators.throttle import throttle_rate
+from wardline.session import stored
 
 # Actions the response engine knows.
 RESPONSE_ACTIONS = ["isolate_process", "block_ip", "kill_process"]
@@ -69,7 +70,8 @@ def alert_payload(df: DataFrame, user: str = "user_name") -> DataFrame:
 
 def deliver_alerts(scored: DataFrame, user: str = "user_name", **options) -> DataFrame:
     """Risky rows as alerts with their delivery decision."""
-    risky = scored.filter(F.coalesce(F.col("risk_score").cast("double"), F.lit(0.0)) >= 30)
+    # The throttle reads its rows twice, and scores are dear to compute.
+    risky = stored(scored.filter(F.coalesce(F.col("risk_score").cast("double"), F.lit(0.0)) >= 30))
     return throttle_rate(alert_payload(risky, user), **options)
 
 
