@@ -3,6 +3,7 @@
 import tempfile
 import time
 
+import pandas as pd
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -556,3 +557,107 @@ def test_a_stored_table_gives_only_the_columns_that_are_read(spark):
     assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
     plan = kept.select("id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint>" in plan
+
+
+class _Held(dict):
+    """A map state and a value state in memory; ``calls`` counts what is asked of it."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+    def get(self):
+        self.calls += 1
+        return dict.get(self, "value")
+
+    def update(self, value):
+        self.calls += 1
+        self["value"] = value
+
+    def clear(self):
+        self.pop("value", None)
+
+
+class _Calls:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, _Held())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def _windows():
+    made = jobs.UserWindows(["user_name", "seq"], 900 * SECOND, 60 * SECOND, 900 * SECOND, 200)
+    handle = _Calls()
+    made.init(handle)
+    return made, handle
+
+
+def test_a_bucket_counts_its_users_apart_with_few_calls():
+    """Users of one bucket in two micro-batches are counted as alone; a new user costs one call, an old one two."""
+    kinds = ["login_failure", "process_create", "network_connection"]
+    rows = [(f"u{i % 7}", i, (i * 37 % 400) * SECOND, f"10.0.0.{i % 4}", f"h{i % 2}", kinds[i // 7 % 3]) for i in range(210)]
+    frame = pd.DataFrame(rows, columns=["user_name", "seq", "at", "ip_address", "host", "event_type"])
+    parts = [frame[frame["at"] < 200 * SECOND], frame[frame["at"] >= 200 * SECOND]]
+
+    def run(parts):
+        windows, handle = _windows()
+        made = [pd.concat(list(windows.handleInputRows((0,), iter([p.iloc[:9], p.iloc[9:]]), _Watermark(0)))) for p in parts]
+        return {row[1]: row for part in made for row in part.itertuples(index=False, name=None)}, handle
+
+    together, handle = run(parts)
+    alone = {}
+    for user in sorted(set(frame["user_name"])):
+        alone |= run([p[p["user_name"] == user] for p in parts])[0]
+    assert together == alone and len(together) == len(frame)
+    assert sum(store.calls for store in handle.states.values()) == 7 + 14 + 4 and len(handle.timers) == 1
+
+
+def test_idle_users_of_a_bucket_are_forgotten_and_others_stay():
+    windows, handle = _windows()
+
+    def feed(user, at):
+        frame = pd.DataFrame([(user, at, at * SECOND, "10.0.0.1", "h", "scan")], columns=["user_name", "seq", "at", "ip_address", "host", "event_type"])
+        (out,) = windows.handleInputRows((0,), iter([frame]), _Watermark(0))
+        return out["login_frequency"].tolist()
+
+    def fire(at):
+        return list(windows.handleExpiredTimer((0,), _Watermark(at), _Watermark(at)))
+
+    users = lambda: {user for (user,) in handle.states["windows"]}
+    feed("a", 0), feed("b", 100), feed("c", 50)
+    end = 900_000 + jobs.IDLE_MS  # milliseconds for which a user is kept
+    assert handle.timers == [end]
+    feed("a", 200)
+    assert fire(end) == [] and users() == {"a", "b", "c"} and handle.timers[-1] == end + 50_000
+    fire(end + 50_000)
+    assert users() == {"a", "b"} and handle.timers[-1] == end + 100_000
+    fire(end + 150_000)
+    assert users() == {"a"} and handle.timers[-1] == end + 200_000
+    assert feed("c", 210) == [round(1 / 15, 4)] and feed("a", 220) == [round(3 / 15, 4)]
+    fire(end + 300_000)
+    assert users() == set() and "value" not in handle.states["kept"]

@@ -32,7 +32,7 @@ from wardline.operators.throttle import DEDUP_TTL, RATE_LIMIT, RATE_SPAN
 from wardline.session import ship_package
 from wardline.sources.files import json_fields
 from wardline.sources.schemas import CANONICAL_EVENT
-from wardline.streaming.incidents import incident_versions
+from wardline.streaming.incidents import BUCKETS, incident_versions
 from wardline.streaming.io import use_rocksdb
 
 USER_STATE = "body string"
@@ -52,12 +52,16 @@ def _kept(rows: list, watermark: int, limit: int, span: int = 0) -> list:
 
 
 class UserWindows(StatefulProcessor):
-    """Window features of one user, row by row in event time.
+    """Window features of the users of a bucket, row by row in event time.
 
-    A row counts the rows at or before it only, however late it comes within the watermark. The state
+    A row counts its user's rows at or before it only, however late it comes within the watermark. A user's state
     holds the rows after the watermark, and of those before it as many as rates, the ring of addresses and
     a host's chain check can look back on. Rows behind the watermark are dropped and counted by Spark;
     a timer clears the state of a user that has been idle for the chain window.
+
+    There are many users with few rows each, and calls to the state store and for a frame of few rows take longer than
+    the rows do. So users are dealt to buckets: their rows come together, each user's state is one entry of a map, and
+    the times up to which they are kept are one value, with one timer at the earliest.
     """
 
     def __init__(self, columns: list[str], login: int, request: int, chain: int, chain_rows: int) -> None:
@@ -66,7 +70,8 @@ class UserWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("windows", USER_STATE)
+        self.state = handle.getMapState("windows", "user_name string", USER_STATE)
+        self.kept = handle.getValueState("kept", "timer bigint, until string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in WINDOW_SCHEMA.split(", ")]
@@ -79,14 +84,30 @@ class UserWindows(StatefulProcessor):
             if not len(frame):
                 return
             frame = frame.assign(at=frame["at"].astype("int64"))
-        frame = frame.sort_values(["at", "seq"], kind="stable").reset_index(drop=True)
-        held = json.loads(self.state.get()[0]) if self.state.exists() else {"seen": [], "hosts": {}}
-        seen, hosts = held["seen"], held["hosts"]
-        full = max(LOGIN_FULL, REQUEST_FULL)
+        frame = frame.sort_values(["user_name", "at", "seq"], kind="stable").reset_index(drop=True)
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        timer, until = self._read()
         made = []
-        for at, seq, address, host, kind in zip(
-            frame["at"].tolist(), frame["seq"].tolist(), frame["ip_address"].tolist(), frame["host"].tolist(), frame["event_type"].tolist()
-        ):
+        read = [frame[name].tolist() for name in ("at", "seq", "ip_address", "host", "event_type")]
+        users = frame["user_name"].tolist()
+        first = 0
+        while first < len(users):
+            user = users[first]
+            end = bisect_right(users, user, first)
+            held = json.loads(self.state.getValue((user,))[0]) if user in until else {"seen": [], "hosts": {}}
+            made += self._counted(held, zip(*(column[first:end] for column in read)))
+            trails = {host: _kept(trail, watermark, self.chain_rows, self.chain) for host, trail in held["hosts"].items()}
+            seen = _kept(held["seen"], watermark, max(LOGIN_FULL, REQUEST_FULL, ADDRESS_RING))
+            self.state.updateValue((user,), (json.dumps({"seen": seen, "hosts": {h: t for h, t in trails.items() if t}}),))
+            until[user] = int(seen[-1][0] + max(self.chain, self.login, self.request)) // 1000 + IDLE_MS
+            first = end
+        self._write(timer, until)
+        yield pd.concat([frame[self.columns], pd.DataFrame(made, columns=names)], axis=1)
+
+    def _counted(self, held: dict, rows: Iterator[tuple]) -> list[tuple]:
+        """The features of a user's rows in order; the rows are put into ``held``."""
+        seen, hosts, made = held["seen"], held["hosts"], []
+        for at, seq, address, host, kind in rows:
             row = [at, seq, address if address is not None else "unknown"]
             here = bisect_right(seen, row)
             seen.insert(here, row)
@@ -109,17 +130,30 @@ class UserWindows(StatefulProcessor):
                     recent.issuperset(behavior.CHAIN_TYPES),
                 )
             )
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        trails = {host: _kept(trail, watermark, self.chain_rows, self.chain) for host, trail in hosts.items()}
-        seen = _kept(seen, watermark, max(full, ADDRESS_RING))
-        self.state.update((json.dumps({"seen": seen, "hosts": {h: t for h, t in trails.items() if t}}),))
-        self.handle.registerTimer(int(seen[-1][0] + max(self.chain, self.login, self.request)) // 1000 + IDLE_MS)
-        yield pd.concat([frame[self.columns], pd.DataFrame(made, columns=names)], axis=1)
+        return made
+
+    def _read(self) -> tuple[int | None, dict[str, int]]:
+        """When the bucket's timer expires, and the time up to which each user's state is kept."""
+        stored = self.kept.get()
+        return (None, {}) if stored is None else (stored[0], json.loads(stored[1]))
+
+    def _write(self, timer: int | None, until: dict[str, int]) -> None:
+        if not until:
+            self.kept.clear()
+            return
+        earliest = min(until.values())
+        if timer is None or earliest < timer:
+            timer = earliest
+            self.handle.registerTimer(timer)
+        self.kept.update((timer, json.dumps(until)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = json.loads(self.state.get()[0])["seen"][-1][0] if self.state.exists() else None
-        if last is not None and expiredTimerInfo.getExpiryTimeInMs() >= last // 1000 + IDLE_MS + max(self.chain, self.login, self.request) // 1000:
-            self.state.clear()
+        now = max(int(timerValues.getCurrentWatermarkInMs()), int(expiredTimerInfo.getExpiryTimeInMs()))
+        timer, until = self._read()
+        for user in [user for user, end in until.items() if end <= now]:
+            self.state.removeKey((user,))
+            del until[user]
+        self._write(None if timer is not None and timer <= now else timer, until)
         return iter([])
 
     def close(self) -> None:
@@ -133,7 +167,7 @@ def window_features(
     chain_span: float = behavior.CHAIN_SPAN,
     lateness: str = "10 minutes",
 ) -> DataFrame:
-    """A stream of events (with ``ts``, ``at``, ``seq``) and their window features, state keyed by user.
+    """A stream of events (with ``ts``, ``at``, ``seq``) and their window features, state kept in buckets of users.
 
     A missing user is "unknown", as in the batch operators; the features of rows without a time are null.
     """
@@ -147,8 +181,9 @@ def window_features(
         behavior.CHAIN_ROWS,
     )
     return (
-        events.withWatermark("ts", lateness)
-        .groupBy("user_name")
+        events.withColumn("_bucket", F.pmod(F.xxhash64("user_name"), F.lit(BUCKETS)))
+        .withWatermark("ts", lateness)
+        .groupBy("_bucket")
         .transformWithStateInPandas(windows, schema, outputMode="Append", timeMode="EventTime")
     )
 
