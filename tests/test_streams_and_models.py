@@ -661,3 +661,20 @@ def test_idle_users_of_a_bucket_are_forgotten_and_others_stay():
     assert feed("c", 210) == [round(1 / 15, 4)] and feed("a", 220) == [round(3 / 15, 4)]
     fire(end + 300_000)
     assert users() == set() and "value" not in handle.states["kept"]
+
+
+def test_the_forest_is_trained_on_even_parts(spark, monkeypatch):
+    """However few parts the rows come in, each core gets its share of them."""
+    sizes = []
+
+    class Spied(forest.Pipeline):
+        def fit(self, df):
+            sizes.extend(df.select("x").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+            return super().fit(df)
+
+    monkeypatch.setattr(forest, "Pipeline", Spied)
+    rows = spark.range(0, 4000, 1, 1).selectExpr("double(id % 97) AS x", "double(id % 31) AS y", "int(id % 97 > 40) AS label")
+    model = forest.train_classifier(rows, ["x", "y"], trees=5, depth=4)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(sizes) == cores and sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / cores
+    assert model.transform(rows).filter("prediction <> label").count() == 0
