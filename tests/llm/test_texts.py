@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -42,6 +43,37 @@ def test_pieces_equal_the_library(model):
         assert own.decode(ids) == theirs.decode(ids)
 
 
+def held_mb(work):
+    """MB of Python objects that stay after some work."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[0] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_remember_little(model, monkeypatch):
+    """Whatever the number of different words, what a worker keeps of them is small beside its executor's memory."""
+    own = sentencepieces.PieceCodec(model)
+    texts = [" ".join(f"{i:06d}x" for i in range(start, start + 1000)) for start in range(0, 600_000, 1000)]
+    assert held_mb(lambda: [own.encode(text) for text in texts] and None) < 70
+    monkeypatch.setattr(toxicity, "_memo", {})
+    assert held_mb(lambda: [toxicity.vector(toxicity.counted(text)) for text in texts[:250]] and None) < 40
+
+
+def test_pieces_are_the_same_from_every_memo(model, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepieces, "MEMO_CHUNKS", 7)
+    theirs, own = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepieces.PieceCodec(model)
+    rng = random.Random(2)
+    for _ in range(500):
+        text = " ".join(f"wörd{min(rng.randrange(40), rng.randrange(40))}中" for _ in range(rng.randrange(30)))
+        assert list(own.encode(text)) == theirs.encode(text, add_bos=True, add_eos=True)
+        assert len(own.memo) <= 7 and len(own.older) <= 7
+
+
 def test_round_trip_column(spark, docs, no_docs, model):
     import sentencepiece
 

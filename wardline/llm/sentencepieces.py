@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from wardline.llm.shared import ready_python
 
 SPACE = "▁"
-#: Memo of chunk encodings: number of chunks, and the longest chunk kept. Memos only save time.
-MEMO_CHUNKS = 800_000
+#: Memo of chunk encodings: number of chunks, and the longest chunk kept. Memos only save time. A worker holds up to
+#: twice as many chunks (about 150 bytes each): those met of late, and the full memo before.
+MEMO_CHUNKS = 150_000
 MEMO_CHARS = 48
-#: Pairs of neighbours whose compatibility is remembered.
-MEMO_PAIRS = 1_000_000
+#: Pairs of neighbours whose compatibility is remembered (about 80 bytes each).
+MEMO_PAIRS = 300_000
 #: Texts of this length are taken word by word rather than as a list of words.
 LONG_TEXT = 1 << 20
 #: Positions for which matches are held at a time.
@@ -80,7 +81,9 @@ class PieceCodec:
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.lengths = list(map(len, self.pieces))
         self.fits: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        #: By chunk: its ids, as the bytes of an array.
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain merging, best score first and leftmost among equals: the definition, for short texts."""
@@ -159,8 +162,18 @@ class PieceCodec:
             before, at, token = token, end, -2
         return taken
 
-    def _ids(self, chunk: str) -> tuple[int, ...]:
-        out: list[int] = []
+    def _ids(self, chunk: str) -> bytes:
+        """The ids of a chunk that the memo lacks."""
+        known = self.older.get(chunk) or self._new_ids(chunk)
+        if len(chunk) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_CHUNKS:
+                self.older = self.memo.copy()
+                self.memo.clear()
+            self.memo[chunk] = known
+        return known
+
+    def _new_ids(self, chunk: str) -> bytes:
+        out = array("I")
         highest = len(self.pieces)
         for token in self.split(chunk):
             if token < highest:
@@ -169,19 +182,16 @@ class PieceCodec:
                 out.extend(self.byte_ids[b] for b in chr(token - highest).encode())
             else:
                 out.append(self.unknown)
-        known = tuple(out)
-        if len(chunk) <= MEMO_CHARS and len(self.memo) < MEMO_CHUNKS:
-            self.memo[chunk] = known
-        return known
+        return out.tobytes()
 
     def encode(self, text: str, ends: bool = True) -> array:
         """Ids of the whole text, with begin and end ids if ``ends``."""
         ids = array("I", [self.begin] if ends else [])
         if text:
             marked = SPACE + text.replace(" ", SPACE)
-            known, of = self.memo.get, self._ids
+            known, of, add = self.memo.get, self._ids, ids.frombytes
             for chunk in self._chunks(marked):
-                ids.extend(known(chunk) or of(chunk))
+                add(known(chunk) or of(chunk))
         if ends:
             ids.append(self.end)
         return ids

@@ -53,8 +53,8 @@ FIT_ROWS = 8000
 LEAST_ROWS = 8
 SCALE = 0.2
 ROUNDS, RATE, RIDGE, FAIRNESS = 150, 0.1, 1e-4, 1.0
-#: Words whose features a worker remembers; it only saves time.
-MEMO_WORDS = 200_000
+#: Words whose features a worker remembers (about 350 bytes each); it only saves time.
+MEMO_WORDS = 80_000
 _WORD = re.compile(r"\w+")
 _memo: dict[str, tuple[int, ...]] = {}
 
