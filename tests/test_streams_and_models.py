@@ -51,6 +51,21 @@ def test_window_stream_equals_batch(spark):
     assert got == want
 
 
+def test_chain_windows_have_no_limit_of_rows(spark):
+    """All rows of the span count, and a type's last row is found behind more than 200 others, also in a later run."""
+    kinds = ["login_failure", "process_create", *["network_connection"] * 448]
+    rows = [(f"e{i}", i, (1000 + 2 * i) * SECOND, "u", "h", kind, "10.0.0.1") for i, kind in enumerate(kinds)]
+    schema = "event_id string, seq bigint, at bigint, user_name string, host string, event_type string, ip_address string"
+    events = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("at")).cache()
+    want = {f"e{i}": (i + 1, i >= 2) for i in range(450)}
+    late = "1 second"  # so that the watermark is behind most rows of the first part
+    done = run_parts(spark, [events.filter("seq < 300"), events.filter("seq >= 300")], lambda s: jobs.window_features(s, lateness=late))
+    assert {r.event_id: (r.related_event_count, r.suspicious_chain) for r in done.collect()} == want
+    batch = behavior.suspicious_chain(events, with_types=True).collect()
+    assert {r.event_id: (r.related_event_count, r.suspicious_chain) for r in batch} == want
+    assert all(r.related_types == sorted(set(kinds[: r.seq + 1])) for r in batch)
+
+
 def test_scored_batches_equal_the_stream(spark):
     """A foreachBatch run over three micro-batches, one of them repeated, against one batch."""
     events = made_events(spark).cache()

@@ -48,7 +48,7 @@ STAGE = {
     "exfiltration": "exfiltration",
 }
 CHAIN_TYPES = ["login_failure", "process_create", "network_connection"]
-CHAIN_SPAN, CHAIN_ROWS = 900, 200
+CHAIN_SPAN = 900
 # Event types whose latest rows are followed when the related types are asked for.
 MOST_TYPES = 200
 
@@ -75,13 +75,13 @@ def suspicious_chain(
     at: str = "at",
     tie: str = "seq",
     span: float = CHAIN_SPAN,
-    rows: int = CHAIN_ROWS,
+    rows: int | None = None,
     with_types: bool = False,
 ) -> DataFrame:
     """Adds ``entity``, ``related_event_count`` and ``suspicious_chain``.
 
-    A row is related when it is among the entity's last ``rows`` rows and at most ``span``
-    old.  For each needed type it is enough to know its latest row: its age and its distance in
+    A row is related when it is at most ``span`` old and, if ``rows`` are given, among the entity's
+    last ``rows`` rows.  For each needed type it is enough to know its latest row: its age and its distance in
     rows come from running maxima inside the slice, which cost the same however many rows lie in the
     span.  ``with_types`` adds the sorted set of related types in the same way, for the types that
     the frame has: a vocabulary, of which at most MOST_TYPES are taken.
@@ -107,12 +107,14 @@ def suspicious_chain(
 
     def related(i: int) -> Column:
         last = F.col(f"_last_{i}")
-        return F.coalesce((last["_nth"] > F.col("_nth") - rows) & (last[at] >= F.col(at) - F.lit(back)), F.lit(False))
+        near = last[at] >= F.col(at) - F.lit(back)
+        return F.coalesce(near if rows is None else near & (last["_nth"] > F.col("_nth") - rows), F.lit(False))
 
     complete = F.lit(True)
     for i, _ in enumerate(CHAIN_TYPES):
         complete = complete & related(i)
-    added = {"related_event_count": F.least(F.col("_recent"), F.lit(rows)), "suspicious_chain": complete}
+    count = F.col("_recent") if rows is None else F.least(F.col("_recent"), F.lit(rows))
+    added = {"related_event_count": count, "suspicious_chain": complete}
     if with_types:
         held = F.array(*[F.when(related(i), F.lit(kind)) for i, kind in enumerate(kinds)])
         added["related_types"] = F.array_sort(F.array_compact(held))

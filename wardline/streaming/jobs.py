@@ -7,7 +7,7 @@ watermark are dropped by Spark and show in its progress (``wardline.streaming.la
 from __future__ import annotations
 
 import json
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,20 +43,17 @@ WINDOW_SCHEMA = (
 )
 
 
-def _kept(rows: list, watermark: int, limit: int, span: int = 0) -> list:
-    """What later rows may look back on: rows after the watermark, and before it the last ``limit``
-    (of those that a look-back of ``span`` from the watermark reaches, if there is a span)."""
-    old = bisect_left(rows, [watermark])
-    reached = bisect_left(rows, [watermark - span]) if span else 0
-    return rows[max(old - limit, reached, 0) :]
+def _kept(rows: list, watermark: int, limit: int) -> list:
+    """What later rows may look back on by number: rows after the watermark, and before it the last ``limit``."""
+    return rows[max(bisect_left(rows, [watermark]) - limit, 0) :]
 
 
 class UserWindows(StatefulProcessor):
     """Window features of the users of a bucket, row by row in event time.
 
     A row counts its user's rows at or before it only, however late it comes within the watermark. A user's state
-    holds the rows after the watermark, and of those before it as many as rates, the ring of addresses and
-    a host's chain check can look back on. Rows behind the watermark are dropped and counted by Spark;
+    holds the rows after the watermark, and of those before it as many as rates and the ring of addresses can look
+    back on, and all rows of the span of a host's chain check. Rows behind the watermark are dropped and counted by Spark;
     a timer clears the state of a user that has been idle for the chain window.
 
     There are many users with few rows each, and calls to the state store and for a frame of few rows take longer than
@@ -64,9 +61,8 @@ class UserWindows(StatefulProcessor):
     the times up to which they are kept are one value, with one timer at the earliest.
     """
 
-    def __init__(self, columns: list[str], login: int, request: int, chain: int, chain_rows: int) -> None:
-        self.columns, self.login, self.request = columns, login, request
-        self.chain, self.chain_rows = chain, chain_rows
+    def __init__(self, columns: list[str], login: int, request: int, chain: int) -> None:
+        self.columns, self.login, self.request, self.chain = columns, login, request, chain
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -96,7 +92,7 @@ class UserWindows(StatefulProcessor):
             end = bisect_right(users, user, first)
             held = json.loads(self.state.getValue((user,))[0]) if user in until else {"seen": [], "hosts": {}}
             made += self._counted(held, zip(*(column[first:end] for column in read)))
-            trails = {host: _kept(trail, watermark, self.chain_rows, self.chain) for host, trail in held["hosts"].items()}
+            trails = {host: trail[bisect_left(trail, [watermark - self.chain]) :] for host, trail in held["hosts"].items()}
             seen = _kept(held["seen"], watermark, max(LOGIN_FULL, REQUEST_FULL, ADDRESS_RING))
             self.state.updateValue((user,), (json.dumps({"seen": seen, "hosts": {h: t for h, t in trails.items() if t}}),))
             until[user] = int(seen[-1][0] + max(self.chain, self.login, self.request)) // 1000 + IDLE_MS
@@ -107,6 +103,8 @@ class UserWindows(StatefulProcessor):
     def _counted(self, held: dict, rows: Iterator[tuple]) -> list[tuple]:
         """The features of a user's rows in order; the rows are put into ``held``."""
         seen, hosts, made = held["seen"], held["hosts"], []
+        # The rows of each needed type, so that the span isn't gone through for each row.
+        typed = {}
         for at, seq, address, host, kind in rows:
             row = [at, seq, address if address is not None else "unknown"]
             here = bisect_right(seen, row)
@@ -116,18 +114,23 @@ class UserWindows(StatefulProcessor):
             ips = [r[2] for r in seen[max(here + 1 - ADDRESS_RING, 0) : here + 1]]
             changes = sum(a != b for a, b in zip(ips, ips[1:]))
             trail = hosts.setdefault(str(host), [])
-            step = [at, seq, kind if kind in behavior.CHAIN_TYPES else ""]
+            if str(host) not in typed:
+                typed[str(host)] = {t: [r for r in trail if r[2] == t] for t in behavior.CHAIN_TYPES}
+            kinds = typed[str(host)]
+            step = [at, seq, kind if kind in kinds else ""]
             place = bisect_right(trail, step)
             trail.insert(place, step)
-            first = max(bisect_left(trail, [at - self.chain]), place + 1 - self.chain_rows)
-            recent = {r[2] for r in trail[first : place + 1]}
+            if kind in kinds:
+                insort(kinds[kind], step)
+            first = bisect_left(trail, [at - self.chain])
+            latest = [(of, bisect_right(of, step) - 1) for of in kinds.values()]
             made.append(
                 (
                     round(min(logins / LOGIN_FULL, 1.0), 4),
                     round(min(requests / REQUEST_FULL, 1.0), 4),
                     round(changes / (len(ips) - 1), 4) if len(ips) > 1 else 0.0,
                     place + 1 - first,
-                    recent.issuperset(behavior.CHAIN_TYPES),
+                    all(last >= 0 and of[last][0] >= at - self.chain for of, last in latest),
                 )
             )
         return made
@@ -177,8 +180,7 @@ def window_features(
     columns = events.columns
     schema = ", ".join(f"`{name}` {kind}" for name, kind in events.dtypes) + ", " + WINDOW_SCHEMA
     windows = UserWindows(
-        columns, seconds_to_micros(login_span), seconds_to_micros(request_span), seconds_to_micros(chain_span),
-        behavior.CHAIN_ROWS,
+        columns, seconds_to_micros(login_span), seconds_to_micros(request_span), seconds_to_micros(chain_span)
     )
     return (
         events.withColumn("_bucket", F.pmod(F.xxhash64("user_name"), F.lit(BUCKETS)))
