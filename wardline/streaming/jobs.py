@@ -43,9 +43,12 @@ WINDOW_SCHEMA = (
 )
 
 
-def _kept(rows: list, watermark: int, limit: int) -> list:
-    """What later rows may look back on by number: rows after the watermark, and before it the last ``limit``."""
-    return rows[max(bisect_left(rows, [watermark]) - limit, 0) :]
+def _kept(rows: list, watermark: int, limit: int | None, span: int = 0) -> list:
+    """What later rows may look back on: rows after the watermark, and before it the last ``limit`` if there is one
+    (of those that a look-back of ``span`` from the watermark reaches, if there is a span)."""
+    old = 0 if limit is None else bisect_left(rows, [watermark]) - limit
+    reached = bisect_left(rows, [watermark - span]) if span else 0
+    return rows[max(old, reached, 0) :]
 
 
 class UserWindows(StatefulProcessor):
@@ -61,8 +64,9 @@ class UserWindows(StatefulProcessor):
     the times up to which they are kept are one value, with one timer at the earliest.
     """
 
-    def __init__(self, columns: list[str], login: int, request: int, chain: int) -> None:
-        self.columns, self.login, self.request, self.chain = columns, login, request, chain
+    def __init__(self, columns: list[str], login: int, request: int, chain: int, chain_rows: int | None = None) -> None:
+        self.columns, self.login, self.request = columns, login, request
+        self.chain, self.chain_rows = chain, chain_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -92,7 +96,7 @@ class UserWindows(StatefulProcessor):
             end = bisect_right(users, user, first)
             held = json.loads(self.state.getValue((user,))[0]) if user in until else {"seen": [], "hosts": {}}
             made += self._counted(held, zip(*(column[first:end] for column in read)))
-            trails = {host: trail[bisect_left(trail, [watermark - self.chain]) :] for host, trail in held["hosts"].items()}
+            trails = {host: _kept(trail, watermark, self.chain_rows, self.chain) for host, trail in held["hosts"].items()}
             seen = _kept(held["seen"], watermark, max(LOGIN_FULL, REQUEST_FULL, ADDRESS_RING))
             self.state.updateValue((user,), (json.dumps({"seen": seen, "hosts": {h: t for h, t in trails.items() if t}}),))
             until[user] = int(seen[-1][0] + max(self.chain, self.login, self.request)) // 1000 + IDLE_MS
@@ -123,6 +127,8 @@ class UserWindows(StatefulProcessor):
             if kind in kinds:
                 insort(kinds[kind], step)
             first = bisect_left(trail, [at - self.chain])
+            if self.chain_rows is not None:
+                first = max(first, place + 1 - self.chain_rows)
             latest = [(of, bisect_right(of, step) - 1) for of in kinds.values()]
             made.append(
                 (
@@ -130,7 +136,7 @@ class UserWindows(StatefulProcessor):
                     round(min(requests / REQUEST_FULL, 1.0), 4),
                     round(changes / (len(ips) - 1), 4) if len(ips) > 1 else 0.0,
                     place + 1 - first,
-                    all(last >= 0 and of[last][0] >= at - self.chain for of, last in latest),
+                    all(last >= 0 and of[last] >= trail[first] for of, last in latest),
                 )
             )
         return made
