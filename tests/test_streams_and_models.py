@@ -693,3 +693,28 @@ def test_the_forest_is_trained_on_even_parts(spark, monkeypatch):
     cores = spark.sparkContext.defaultParallelism
     assert len(sizes) == cores and sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / cores
     assert model.transform(rows).filter("prediction <> label").count() == 0
+
+
+def test_a_forest_of_many_rows_is_grown_in_batches_of_trees(spark, monkeypatch):
+    """The whole number of trees, at most so many rows x trees at a time, no two batches alike; and it is stored like any other."""
+    fitted = []
+
+    class Spied(forest.RandomForestClassifier):
+        def fit(self, df):
+            fitted.append((self.getNumTrees(), self.getSeed()))
+            return super().fit(df)
+
+    monkeypatch.setattr(forest, "RandomForestClassifier", Spied)
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id", "double(id % 97) AS x", "double(id % 31) AS y", "int(id % 97 > 40) AS label")
+    assert forest.train_classifier(rows, ["x", "y"], trees=10, depth=3).stages[-1].getNumTrees == 10 and len(fitted) == 1
+    monkeypatch.setattr(forest, "TREE_ROWS", 4 * 4000)
+    model = forest.train_classifier(rows, ["x", "y"], trees=10, depth=3)
+    whole = model.stages[-1]
+    assert [n for n, _ in fitted[1:]] == [4, 4, 2] and len({seed for _, seed in fitted[1:]}) == 3
+    assert whole.getNumTrees == len(whole.trees) == 10 and whole.numFeatures == 2 and whole.numClasses == 2
+    place = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    model.write().overwrite().save(place)
+    again = forest.PipelineModel.load(place)
+    first, second = ({r.id: tuple(r.probability) for r in m.transform(rows).collect()} for m in (model, again))
+    assert first == second and len(first) == 4000
+    assert model.transform(rows).filter("prediction <> label").count() == 0
