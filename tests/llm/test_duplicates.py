@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -207,6 +208,29 @@ def test_links_of_a_large_group_are_whole(spark):
     assert found == {i: (near[i].sum() - 1, root[i]) for i in range(len(x))}
 
 
+def test_angles_between_lists_are_computed_once_and_single_precision_loses_no_pair():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 24))
+    x[150:] = x[:150] + 0.45 * rng.normal(size=(150, 24)) * rng.uniform(0.5, 1.5, size=(150, 1))
+    rows = quantised.unit(x)
+    index = quantised.fit(x[:200], 17)
+    home = index.nearest(rows, 1)[:, 0]
+    regions = quantised.Regions.of(index, 0.9, np.bincount(home, minlength=17).astype(float), np.full(17, 0.1))
+    assert regions.apart is regions.apart and regions.near is regions.near
+    codes = index.code(rows - index.centres[home])
+    left_out = np.sqrt(((rows - index.centres[home] - index.approximate(codes)) ** 2).sum(axis=1))
+    block = pd.DataFrame({
+        "gid": np.arange(300), "length": 24, "vector": list(x), "home": home, "codes": list(codes.astype(np.int32)),
+        "left_out": left_out, "region": 0,
+    })
+    exact = np.array([[(a * b).sum() for b in rows] for a in rows])
+    # The limit is one of the cosines, and lies between two that are next to each other.
+    values = np.sort(exact[np.triu_indices(300, 1)])
+    for cosine in (values[-40], np.nextafter(values[-40], 2), values[-5000]):
+        want = {(i, j) for i, j in zip(*np.nonzero(exact >= cosine)) if i < j}
+        assert set(zip(*(found.tolist() for found in quantised.linked(block, block, index, cosine)))) == want
+
+
 def test_words_are_hashed_by_the_bytes_of_many(monkeypatch):
     """Equal words have one hash wherever they stand, however the words are dealt, and no call is made for a word."""
     parts = [b"a", b"b", b"ab", b"a" * 300, b"a" * 300, b"\xc3\xa9", b"b", b"ba", b"a"] * 50

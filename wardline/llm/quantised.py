@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -104,12 +105,12 @@ class Regions:
         """Of a table (row, list) whether any list of a region is set."""
         return np.logical_or.reduceat(lists, np.searchsorted(self.region, np.arange(len(self.lots))), axis=1)
 
-    @property
+    @cached_property
     def apart(self) -> np.ndarray:
         """(list, list): the angles between the centres."""
         return np.arccos(np.clip(self.index.centres @ self.index.centres.T, -1, 1))
 
-    @property
+    @cached_property
     def near(self) -> np.ndarray:
         """(region, later or same region): whether some vectors of both may be linked."""
         full = self.angles >= 0
@@ -185,20 +186,26 @@ def linked(asking: pd.DataFrame, filed: pd.DataFrame, index: Index, cosine: floa
     exact = index.unit(filed["vector"])
     slack = filed["left_out"].to_numpy()
     gids, lengths, regions = (filed[c].to_numpy() for c in ("gid", "length", "region"))
-    homes, home = np.unique(filed["home"].to_numpy(), return_inverse=True)
+    # The sums of the table look-ups, as one product with the decoded vectors. It is taken in single precision, whose
+    # rounding is at most size x 2^-24 of the product of both lengths, and a decoded vector's is at most 1 + what is left out.
+    decoded = (index.centres[filed["home"].to_numpy()] + index.approximate(codes)).astype(np.float32)
+    room = (index.size + 8) * 2.0**-23 * (2 + slack)
+    enough = (cosine - 1e-9 - slack - room).astype(np.float32)
+    short = exact.astype(np.float32)
     ones, others = [], []
     for start in range(0, len(asking), SLICE):
         part = asking.iloc[start : start + SLICE]
         rows = index.unit(part["vector"])
-        near = (rows @ index.centres[homes].T)[:, home]
-        for i, (own, book) in enumerate(zip(index.parts(rows), index.books)):
-            near += (own @ book.T)[:, codes[:, i]]
-        may = near + slack >= cosine - 1e-9
-        may &= (part["gid"].to_numpy()[:, None] < gids) | (part["region"].to_numpy()[:, None] < regions)
-        may &= part["length"].to_numpy()[:, None] == lengths
-        a, b = np.nonzero(may)
+        own_gids, own_lengths, own_regions = (part[c].to_numpy() for c in ("gid", "length", "region"))
+        short_rows = rows.astype(np.float32)
+        a, b = divmod(np.flatnonzero(short_rows @ decoded.T >= enough), len(filed))
+        may = ((own_gids[a] < gids[b]) | (own_regions[a] < regions[b])) & (own_lengths[a] == lengths[b])
+        a, b = a[may], b[may]
         for at in range(0, len(a), 1 << 16):
             one, other = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            # Most of them are told apart by the vectors in single precision, too.
+            close = np.einsum("ij,ij->i", short_rows[one], short[other]) >= cosine - 1e-9 - 2 * room.max()
+            one, other = one[close], other[close]
             true = (rows[one] * exact[other]).sum(axis=1) >= cosine
             ones.append(one[true] + start)
             others.append(other[true])
